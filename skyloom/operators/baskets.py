@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas as S
 from ..functions.expr import col, distance_level, dominant, inclination_level
+from ..session import stored
 
 
 def baskets_samples(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -37,12 +38,13 @@ def baskets_from_columns(df: DataFrame, cols: Sequence[str], keep: Sequence[str]
 def frequent_itemsets(df: DataFrame, min_support: float, items: str = "items", max_items: int = 12) -> DataFrame:
     """Exact frequent itemsets of short baskets.
 
-    Equal baskets are counted first, so subsets are unfolded once per distinct
+    Equal baskets are counted first and that table is written to the shared
+    folder: the input is read once, and subsets are unfolded once per distinct
     basket and not once per row. Baskets beyond ``max_items`` raise an error
     instead of being cut; use :func:`association_rules_fp` for those.
     """
     sets = F.sort_array(F.array_distinct(F.array_compact(col(items))))
-    distinct = df.select(sets.alias("items")).groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+    distinct = stored(df.select(sets.alias("items")).groupBy("items").agg(F.count(F.lit(1)).alias("n")), "baskets")
     total = distinct.agg(F.sum("n").alias("total")).scalar()
     limit = F.when(F.size("items") > max_items, F.raise_error(F.lit("basket too long for subset counting")).cast("int")) \
              .otherwise(F.size("items"))

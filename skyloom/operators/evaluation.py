@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.expr import col
+from .ordering import full_grid
 
 
 def confusion_matrix(df: DataFrame, truth: str = "label", predicted: str = "prediction") -> DataFrame:
     """Counts for every pair of labels, empty cells included, and their share of the largest cell."""
     counts = df.groupBy(col(truth).alias("truth"), col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
-    labels = counts.select(F.explode(F.array("truth", "predicted")).alias("truth")).distinct()
-    every = labels.agg(F.sort_array(F.collect_set("truth")).alias("labels")).scalar()
-    grid = labels.withColumn("_labels", every).select("truth", F.explode("_labels").alias("predicted"))
-    filled = grid.join(counts, ["truth", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    top = counts.agg(F.max("n").alias("top")).scalar()
-    return filled.withColumn("share", F.col("n") / top)
+    grid = full_grid(counts, "truth", "predicted", same_labels=True)
+    return grid.withColumn("share", F.col("n") / F.max("n").over(W.partitionBy()))  # labels x labels rows
 
 
 def accuracy(df: DataFrame, truth: str = "label", predicted: str = "prediction", weight: str | None = None) -> DataFrame:

@@ -175,7 +175,7 @@ def exact_quantiles(
                        for f in fractions])
     needed = spans.withColumn("_w", wanted).where(F.exists(
         "_w", lambda w: (F.floor(w["pos"]) < F.col("_end")) & (F.ceil(w["pos"]) >= F.col("_start"))))
-    picked = join_null_safe(celled.drop("_n"), needed.select(*whole, "_c", "_start", "_w"), [*keys, "_c"])
+    picked = join_null_safe(celled.withColumnRenamed("_n", "_rows"), needed.select(*whole, "_c", "_start", "_w"), [*keys, "_c"])
     values = picked.groupBy(*whole, "_c", "_v").agg(
         F.count(F.lit(1)).alias("_k"), F.first("_start").alias("_start"), F.first("_w").alias("_w"))
     in_cell = W.partitionBy(*whole, "_c").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
@@ -190,3 +190,21 @@ def exact_quantiles(
         .select(*whole, "fraction",
                 (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_p") - F.floor("_p"))).alias("quantile"))
     )
+
+
+def full_grid(counts: DataFrame, left: str, right: str, n: str = "n", same_labels: bool = False) -> DataFrame:
+    """Every (left, right) pair of a small count table, zero where it is missing.
+
+    The counts (labels x labels rows) are packed into one row and unfolded
+    again, so whatever produced them runs once.
+    """
+    packed = counts.agg(F.collect_list(F.struct(col(left).alias("a"), col(right).alias("b"), col(n).alias("n"))).alias("_cells"))
+    lefts = F.transform("_cells", lambda c: c["a"])
+    rights = F.transform("_cells", lambda c: c["b"])
+    if same_labels:
+        lefts = rights = F.array_union(lefts, rights)
+    rows = packed.select("_cells", F.array_distinct(rights).alias("_right"), F.explode(F.array_distinct(lefts)).alias(left))
+    mine = F.filter("_cells", lambda c: c["a"].eqNullSafe(F.col(left)))
+    cells = rows.withColumn("_cells", mine).select("_cells", left, F.explode("_right").alias(right))
+    hit = F.get(F.filter("_cells", lambda c: c["b"].eqNullSafe(F.col(right))), F.lit(0))["n"]
+    return cells.select(left, right, F.coalesce(hit, F.lit(0).cast("long")).alias(n))
