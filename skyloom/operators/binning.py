@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.expr import col
-from .ordering import attach, join_null_safe
 
 
 def bin_equal_width(df: DataFrame, cols: Sequence[str], bins: int = 5) -> DataFrame:
@@ -39,17 +38,21 @@ def range_bin(x: str | Column, lo: float, hi: float, bins: int) -> Column:
 
 def _binned(df: DataFrame, x: str, lo: float, hi: float, bins: int, by: Sequence[str],
             aggregates: dict[str, Column]) -> DataFrame:
-    """Aggregate per (by, bin) and add the empty bins of every group."""
-    marked = df.withColumn("bin", range_bin(x, lo, hi, bins)).where(F.col("bin").isNotNull())
-    sums = marked.groupBy(*[col(b) for b in by], "bin").agg(*[v.alias(k) for k, v in aggregates.items()])
-    every = F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")
-    if by:
-        grid = df.select(*[col(b) for b in by]).distinct().select(*[col(b) for b in by], every)
-    else:
-        grid = df.sparkSession.range(1).select(every)
+    """Aggregate per (by, bin) and add the empty bins of every group.
+
+    The sums of one group (at most ``bins`` entries) are packed into a map and
+    unfolded over all bin numbers, so the input is read once.
+    """
+    keys = [col(b) for b in by]
+    marked = df.withColumn("bin", range_bin(x, lo, hi, bins))
+    sums = marked.groupBy(*keys, "bin").agg(*[v.alias(k) for k, v in aggregates.items()])
+    entry = F.when(F.col("bin").isNotNull(), F.struct(F.col("bin"), F.struct(*aggregates)))
+    packed = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_sums"))
+    rows = packed.select(*keys, "_sums", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    found = F.try_element_at("_sums", F.col("bin"))
     width = (hi - lo) / bins
-    return join_null_safe(grid, sums, [*by, "bin"], "left").withColumn(
-        "centre", F.lit(float(lo)) + (F.col("bin") - 0.5) * F.lit(width))
+    return rows.select(*keys, "bin", *[found[k].alias(k) for k in aggregates],
+                       (F.lit(float(lo)) + (F.col("bin") - 0.5) * F.lit(width)).alias("centre"))
 
 
 def histogram_sum(df: DataFrame, x: str, w: str | Column, lo: float, hi: float, bins: int,
@@ -78,8 +81,8 @@ def transfer_function(df: DataFrame, t: str, w: str, bins: int, t_max: float,
                       by: Sequence[str] = ()) -> DataFrame:
     """Weighted delay histogram scaled to a peak of 1, with its mean delay."""
     hist = histogram_sum(df, t, w, 0.0, t_max, bins, by)
-    marked = attach(hist, list(by), _peak=F.max("total"),
-                    _mean=F.sum(F.col("centre") * F.col("total")) / F.nullif(F.sum("total"), F.lit(0.0)))
-    return marked.select(*[col(b) for b in by], "bin", "centre",
-                         (F.col("total") / F.nullif("_peak", F.lit(0.0))).alias("psi"),
-                         F.col("_mean").alias("mean_delay"))
+    group = W.partitionBy(*[col(b) for b in by])  # one row per bin
+    mean = F.sum(F.col("centre") * F.col("total")).over(group) / F.nullif(F.sum("total").over(group), F.lit(0.0))
+    return hist.select(*[col(b) for b in by], "bin", "centre",
+                       (F.col("total") / F.nullif(F.max("total").over(group), F.lit(0.0))).alias("psi"),
+                       mean.alias("mean_delay"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.expr import add, col, gaussian, rest_frame_time, uniform
 from ..schemas import flux_column
+from ..session import stored
 from .ordering import attach, explode_range, join_null_safe, ordered, over_blocks
 from .selection import clip_range
 
@@ -43,14 +44,21 @@ def normalise_curve(df: DataFrame, keys: Sequence[str], t: str = "t", flux: str
 
 # --- interpolation -----------------------------------------------------------
 
-def _segments(knots: DataFrame, keys: Sequence[str], x: str, y: str, cell: float) -> DataFrame:
-    """Straight pieces between neighbouring knots: start, slope and whether they end the series."""
-    near = ordered(knots, keys, x, cell=cell, previous=[x], following=[x, y], index="_k", size="_n")
-    slope = (F.col(f"next_{y}") - col(y)) / F.nullif(F.col(f"next_{x}") - col(x), F.lit(0.0))
-    return near.where(F.col(f"next_{x}").isNotNull() | (F.col("_n") == 1)).select(
-        *[col(k) for k in keys], col(x).alias("_x0"), col(y).alias("_y0"), F.coalesce(slope, F.lit(0.0)).alias("_slope"),
-        F.col(f"next_{x}").alias("_x1"), (F.col("_k") == 1).alias("_begins"),
-        ((F.col("_k") == F.col("_n") - 1) | (F.col("_n") == 1)).alias("_ends"))
+def _segments(knots: DataFrame, keys: Sequence[str], x: str, y: str, cell: float, *, rebased: bool = False,
+              z: float = 0.0) -> DataFrame:
+    """Straight pieces between neighbouring knots: start, slope and whether they end the series.
+
+    ``rebased`` moves the first knot to the origin and divides ``x`` by 1 + z.
+    The pieces are written to the shared folder, because several steps read them.
+    """
+    near = ordered(knots, keys, x, cell=cell, following=[x, y], first=[x, y] if rebased else [], index="_k", size="_n")
+    x0 = F.col(f"first_{x}") if rebased else F.lit(0.0)
+    y0 = F.col(f"first_{y}") if rebased else F.lit(0.0)
+    slope = (F.col(f"next_{y}") - col(y)) / F.nullif(rest_frame_time(F.col(f"next_{x}") - col(x), z), F.lit(0.0))
+    return stored(near.where(F.col(f"next_{x}").isNotNull() | (F.col("_n") == 1)).select(
+        *[col(k) for k in keys], rest_frame_time(col(x) - x0, z).alias("_x0"), (col(y) - y0).alias("_y0"),
+        F.coalesce(slope, F.lit(0.0)).alias("_slope"), rest_frame_time(F.col(f"next_{x}") - x0, z).alias("_x1"), "_n",
+        (F.col("_k") == 1).alias("_begins"), ((F.col("_k") == F.col("_n") - 1) | (F.col("_n") == 1)).alias("_ends")), "segments")
 
 
 def interpolate(knots: DataFrame, queries: DataFrame, keys: Sequence[str], x: str = "t", y: str = "flux", *,
@@ -79,17 +87,17 @@ def interpolate(knots: DataFrame, queries: DataFrame, keys: Sequence[str], x: st
     return found.select(*ks, *[F.col("_row").getField(c).alias(c) for c in extra], value.alias(y))
 
 
-def _grid(df: DataFrame, keys: Sequence[str], x: str, factor: int) -> DataFrame:
+def _grid(segments: DataFrame, keys: Sequence[str], factor: int) -> DataFrame:
     """Uniform grid of ``factor`` times as many points as the series, one row per series."""
-    spec = df.groupBy(*[col(k) for k in keys]).agg(
-        F.min(col(x)).alias("_g0"), F.max(col(x)).alias("_g1"), (F.count(F.lit(1)) * factor).alias("_m"))
+    spec = segments.groupBy(*[col(k) for k in keys]).agg(
+        F.min("_x0").alias("_g0"), F.max(F.coalesce("_x1", "_x0")).alias("_g1"), (F.max("_n") * factor).alias("_m"))
     step = F.coalesce((F.col("_g1") - F.col("_g0")) / F.nullif(F.col("_m") - 1, F.lit(0).cast("long")), F.lit(0.0))
     return spec.withColumn("_step", step).drop("_g1")
 
 
 def _fill_grid(segments: DataFrame, grid: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Values on the grid points, generated from the segments that cover them (no as-of join)."""
-    joined = join_null_safe(segments, grid, keys)
+    joined = join_null_safe(segments.drop("_n"), grid, keys)
 
     def first_at_or_after(edge):
         place = F.ceil((F.col(edge) - F.col("_g0")) / F.nullif("_step", F.lit(0.0)) - 1e-9)
@@ -105,7 +113,8 @@ def _fill_grid(segments: DataFrame, grid: DataFrame, keys: Sequence[str], name:
 def resample(df: DataFrame, keys: Sequence[str], factor: int = 100, x: str = "t", y: str = "flux", *,
              cell: float = 1.0) -> DataFrame:
     """The series on ``factor * n`` equally spaced points between its ends; ``j`` numbers them from 0."""
-    out = _fill_grid(_segments(df, keys, x, y, cell), _grid(df, keys, x, factor), keys, y)
+    pieces = _segments(df, keys, x, y, cell)
+    out = _fill_grid(pieces, _grid(pieces, keys, factor), keys, y)
     return out.select(*[col(k) for k in keys], F.col("_j").alias("j"),
                       (F.col("_g0") + F.col("_j") * F.col("_step")).alias(x), col(y))
 
@@ -126,9 +135,9 @@ def synthetic_curve(df: DataFrame, keys: Sequence[str], t: str = "t", flux: str
     stats = attach(near, keys, _p=F.max(col(psi)), _hi=F.max(col(flux)), _lo=F.min(col(flux)), _f0=F.min_by(col(flux), col(t)))
     span = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     step = F.coalesce(F.col(f"next_{t}") - col(t), col(t) - F.col(f"prev_{t}"), F.lit(0.0))
-    rows = stats.select(*ks, col(t).alias("t"), "_i", "_n", step.alias("_step"),
-                        F.coalesce((col(flux) - F.col("_f0")) / span, F.lit(0.0)).alias("change"),
-                        (col(psi) / F.nullif("_p", F.lit(0.0))).alias("_psi"))
+    rows = stored(stats.select(*ks, col(t).alias("t"), "_i", "_n", step.alias("_step"),
+                               F.coalesce((col(flux) - F.col("_f0")) / span, F.lit(0.0)).alias("change"),
+                               (col(psi) / F.nullif("_p", F.lit(0.0))).alias("_psi")), "synthetic")
     home = F.floor((F.col("_i") - 1) / block)
     mates = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / block) - home)
     base = rows.select(*ks, "_i", "_n", "_step", "change", "_psi", home.alias("_h"), F.explode(mates).alias("_o"))
@@ -159,7 +168,7 @@ def synthetic_curve(df: DataFrame, keys: Sequence[str], t: str = "t", flux: str
     sums = parts.groupBy(*ks, "_i").agg(F.sum("_part").alias("_part"), F.sum("_tail").alias("_tail"))
     joined = join_null_safe(rows, sums, [*keys, "_i"])
     raw = joined.withColumn("synthetic", F.when(F.col("_i") == F.col("_n"), F.col("_tail") * F.col("_step")).otherwise(F.col("_part")))
-    limits = attach(raw.select(*ks, "t", "change", "synthetic"), keys, _hi=F.max("synthetic"), _lo=F.min("synthetic"))
+    limits = attach(stored(raw.select(*ks, "t", "change", "synthetic"), "synthetic"), keys, _hi=F.max("synthetic"), _lo=F.min("synthetic"))
     return limits.select(*ks, "t", "change",
                          (F.col("synthetic") / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))).alias("synthetic"))
 
@@ -201,36 +210,37 @@ def cross_correlation(
     names = list(keys)
     ks = [col(k) for k in names]
 
-    def prepared(df: DataFrame) -> DataFrame:
+    def pieces_of(df: DataFrame) -> DataFrame:
+        if t_range is None:
+            return _segments(df.select(*ks, "t", "flux"), names, "t", "flux", cell, rebased=True, z=z)
         moved = attach(df.select(*ks, "t", "flux"), names, _t0=F.min("t"), _f0=F.min_by("flux", "t"))
         moved = moved.select(*ks, rest_frame_time(F.col("t") - F.col("_t0"), z).alias("t"), (F.col("flux") - F.col("_f0")).alias("flux"))
-        return moved if t_range is None else clip_range(moved, "t", *t_range)
+        return _segments(clip_range(moved, "t", *t_range), names, "t", "flux", cell)
 
-    curves = [prepared(u), prepared(v)]
-    pieces = [_segments(c, names, "t", "flux", cell) for c in curves]
+    pieces = [pieces_of(u), pieces_of(v)]
     sides = []
-    for number, c in enumerate(curves[:1] if shared_times else curves):
-        grid = _grid(c, names, "t", factor)
+    for number, c in enumerate(pieces[:1] if shared_times else pieces):
+        grid = _grid(c, names, factor)
         if lags is None:
             reach = F.least(F.col("_m") - 1, F.floor(10 * F.log10(F.col("_m").cast("double"))))
-            grid = grid.withColumns({"_lo": -reach, "_hi": reach})
+            grid = grid.withColumns({"_lag_lo": -reach, "_lag_hi": reach})
         elif len(lags) == 2 and any(isinstance(x, float) for x in lags):
             step = F.nullif("_step", F.lit(0.0))
             grid = grid.withColumns({
-                "_lo": F.greatest(1 - F.col("_m"), F.coalesce(F.ceil(F.lit(float(lags[0])) / step - 1e-9), F.lit(0).cast("long"))),
-                "_hi": F.least(F.col("_m") - 1, F.coalesce(F.floor(F.lit(float(lags[1])) / step + 1e-9), F.lit(0).cast("long")))})
+                "_lag_lo": F.greatest(1 - F.col("_m"), F.coalesce(F.ceil(F.lit(float(lags[0])) / step - 1e-9), F.lit(0).cast("long"))),
+                "_lag_hi": F.least(F.col("_m") - 1, F.coalesce(F.floor(F.lit(float(lags[1])) / step + 1e-9), F.lit(0).cast("long")))})
         else:
-            grid = grid.withColumns({"_lo": F.lit(min(lags)).cast("long"), "_hi": F.lit(max(lags)).cast("long")})
+            grid = grid.withColumns({"_lag_lo": F.lit(min(lags)).cast("long"), "_lag_hi": F.lit(max(lags)).cast("long")})
         for which, p in enumerate(pieces):
             filled = _fill_grid(p, grid, names, "_y")
             if which == 0:
                 reached = F.array(F.floor(F.col("_j") / block))
             else:  # every block whose points this one can meet, its own block included
                 reached = F.sequence(
-                    F.floor(F.greatest(F.lit(0).cast("long"), F.col("_j") - F.greatest("_hi", F.lit(0).cast("long"))) / block),
-                    F.floor(F.least(F.col("_m") - 1, F.col("_j") - F.least("_lo", F.lit(0).cast("long"))) / block))
+                    F.floor(F.greatest(F.lit(0).cast("long"), F.col("_j") - F.greatest("_lag_hi", F.lit(0).cast("long"))) / block),
+                    F.floor(F.least(F.col("_m") - 1, F.col("_j") - F.least("_lag_lo", F.lit(0).cast("long"))) / block))
             sides.append(filled.select(*ks, F.lit(number).alias("_g"), F.lit(which).alias("_side"), "_j", "_y", "_m", "_step",
-                                       "_lo", "_hi", F.explode(reached).alias("_block")))
+                                       "_lag_lo", "_lag_hi", F.explode(reached).alias("_block")))
     points = sides[0]
     for s in sides[1:]:
         points = points.unionByName(s)
@@ -243,7 +253,7 @@ def cross_correlation(
         if a.empty:
             return pd.DataFrame(columns=[*names, "_g", "_step", "_m", "lag_index", "dot", "sa", "sb", "n", "ta", "taa", "tb", "tbb"])
         head = a.iloc[0]
-        m, lo, hi, start = int(head["_m"]), int(head["_lo"]), int(head["_hi"]), int(head["_block"]) * block
+        m, lo, hi, start = int(head["_m"]), int(head["_lag_lo"]), int(head["_lag_hi"]), int(head["_block"]) * block
         stop = min(start + block, m)
         x = np.zeros(stop - start)
         x[a["_j"].to_numpy() - start] = a["_y"].to_numpy()
@@ -293,7 +303,8 @@ def ccf_peak(ccf: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def ccf_centroid(ccf: DataFrame, keys: Sequence[str], cut: float = 0.8) -> DataFrame:
     """Correlation-weighted mean lag over correlations above ``cut`` times the maximum."""
-    near = attach(ccf, keys, _top=F.max("r")).where(F.col("r") > F.lit(float(cut)) * F.col("_top"))
+    top = F.max("r").over(W.partitionBy(*[col(k) for k in keys]))  # one row per lag
+    near = ccf.withColumn("_top", top).where(F.col("r") > F.lit(float(cut)) * F.col("_top"))
     return near.groupBy(*[col(k) for k in keys]).agg(
         (F.sum(F.col("r") * F.col("lag")) / F.nullif(F.sum("r"), F.lit(0.0))).alias("delay"))
 
@@ -315,8 +326,8 @@ def monte_carlo_curves(df: DataFrame, keys: Sequence[str], n_mc: int, seed: int
     integer column that tells series apart.
     """
     numbered = ordered(df, keys, "t", cell=cell, index="_i", size="_n")
-    salted = numbered.withColumn("_salt", F.crc32(F.concat_ws("|", *[col(k).cast("string") for k in keys])) % 9973
-                                 if salt is None else col(salt).cast("long"))
+    salted = stored(numbered.withColumn("_salt", F.crc32(F.concat_ws("|", *[col(k).cast("string") for k in keys])) % 9973
+                                        if salt is None else col(salt).cast("long")), "numbered")
     repeats = F.explode(F.sequence(F.lit(0), F.lit(n_mc - 1))).alias("mc")
     drawn = salted.select(*[col(k) for k in keys], "_i", "_n", "_salt", repeats)
     pick = F.floor(uniform(draw_key(F.col("_i"), F.col("mc"), F.col("_salt")), seed) * F.col("_n")) + 1
@@ -345,8 +356,11 @@ def gaussian_smooth(df: DataFrame, keys: Sequence[str], sigma: float, order: str
     used = F.filter(images, lambda p: (p >= 1 - radius) & (p <= F.col("_n") + radius))
     padded = numbered.withColumn("_p", F.explode(used))
 
+    def shifted(k: int):
+        return F.lag(col(value), -k) if k < 0 else F.lead(col(value), k)
+
     def build(window):
-        return [add(F.lit(w) * (F.lag(col(value), -k) if k < 0 else F.lag(col(value), k)).over(window)
+        return [add(F.lit(w) * (col(value) if k == 0 else shifted(k).over(window))
                     for w, k in zip(weights, range(-radius, radius + 1))).alias("smoothed")]
 
     out = over_blocks(padded, keys, "_p", build, before=radius, after=radius)

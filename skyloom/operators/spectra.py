@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.expr import col
 from ..functions.text import header_number, visit_rank
+from ..session import stored
 from .binning import range_bin
-from .ordering import attach, join_null_safe, ordered
+from .ordering import join_null_safe, ordered
 from .selection import clip_range
 from .series import ccf_centroid, ccf_peak, cross_correlation, monte_carlo_curves
 
@@ -113,12 +114,14 @@ def binned_delays(
 ) -> DataFrame:
     """Delay of every wavelength bin behind the continuum, averaged over Monte Carlo curves.
 
-    All bins and repeats run side by side, keyed by (bin, mc).
+    All bins and repeats run side by side, keyed by (bin, mc). Every stage that
+    later steps read more than once is written to the shared folder first.
     """
-    lines = line_light_curves(spectra, dl, lo, hi, cont, use_model=use_model)
-    repeats = monte_carlo_curves(lines.select("bin", "t", "flux", "error"), ["bin"], n_mc, seed, salt="bin", cell=cell)
+    spectra = stored(spectra.select("visit", "t", "lambda", "flux", "error", "model_flux"), "spectra")
+    lines = stored(line_light_curves(spectra, dl, lo, hi, cont, use_model=use_model), "lines")
+    repeats = stored(monte_carlo_curves(lines.select("bin", "t", "flux", "error"), ["bin"], n_mc, seed, salt="bin", cell=cell), "repeats")
     bins = math.ceil((hi - lo) / dl)
-    driver = continuum.select("t", "flux", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")) \
+    driver = stored(continuum.select("t", "flux"), "continuum").select("t", "flux", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")) \
                       .withColumn("mc", F.explode(F.sequence(F.lit(0), F.lit(n_mc - 1))))
     found = cross_correlation(driver, repeats, ["bin", "mc"], cell=cell, **ccf)
     delays = ccf_centroid(found, ["bin", "mc"]) if centroid else ccf_peak(found, ["bin", "mc"])
@@ -131,7 +134,8 @@ def binned_delays(
 # A profile is one row per (model, bin) by construction, so its window is bounded by the bin count.
 
 def normalise_profiles(df: DataFrame, keys: Sequence[str], flux: str = "flux", name: str = "lp") -> DataFrame:
-    return attach(df, keys, _top=F.max(col(flux))).withColumn(name, col(flux) / F.nullif("_top", F.lit(0.0))).drop("_top")
+    top = F.max(col(flux)).over(W.partitionBy(*[col(k) for k in keys]))
+    return df.withColumn(name, col(flux) / F.nullif(top, F.lit(0.0)))
 
 
 def tag_profiles(df: DataFrame, keys: Sequence[str], bins: int, bin_col: str = "bin", lp: str = "lp") -> DataFrame:
@@ -139,7 +143,8 @@ def tag_profiles(df: DataFrame, keys: Sequence[str], bins: int, bin_col: str = "
     buffer = round(bins / 100)
     b, y = col(bin_col), col(lp)
     lit = F.when(y > 0, b)
-    seen = attach(df, keys, _peak=F.max_by(b, F.struct(y, -b)), _lo=F.min(lit), _hi=F.max(lit))
+    whole = W.partitionBy(*[col(k) for k in keys])
+    seen = df.withColumns({"_peak": F.max_by(b, F.struct(y, -b)).over(whole), "_lo": F.min(lit).over(whole), "_hi": F.max(lit).over(whole)})
     window = W.partitionBy(*[col(k) for k in keys]).orderBy(b)
     reach = F.least(F.col("_peak") - F.col("_lo"), F.col("_hi") - F.col("_peak")) - buffer
     distance = F.abs(b - F.col("_peak"))

@@ -134,7 +134,7 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPECTRA_SQL = (f"SELECT 'visit_' || day AS visit, CAST(day AS DOUBLE) AS t, CAST(n AS DOUBLE) AS exp, "
-               f"CAST(1450 + 2 * slot AS DOUBLE) AS lambda, flux, error, CAST(1 AS DOUBLE) AS cont_flux, flux - 1 AS model_flux "
+               f"CAST(1450 + 2 * slot AS DOUBLE) AS \"lambda\", flux, error, CAST(1 AS DOUBLE) AS cont_flux, flux - 1 AS model_flux "
                f"FROM (SELECT us // {DAY_MICROS} AS day, (us % {DAY_MICROS}) // 600000000 AS slot, {_FLUX} AS flux, "
                f"{_ERROR} AS error, count(*) AS n FROM ({MICROS_SQL}) GROUP BY 1, 2)")
 
