@@ -1,6 +1,6 @@
 """Queries over the given tables and multi-step jobs."""
 
-from . import catalogue_queries, learning_queries, series_queries  # noqa: F401
+from . import catalogue_queries, io_queries, learning_queries, series_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
