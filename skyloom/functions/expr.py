@@ -77,12 +77,14 @@ def hash31(key: str | Column, seed: int) -> Column:
     Any SQL engine with 64-bit integers gives the same value, so a draw does
     not depend on partitioning, task retries or the engine that checks it.
     """
+    def low31(c: Column) -> Column:
+        return c.bitwiseAND(F.lit(MODULUS - 1))
+
     k = col(key).cast("long")
-    x = F.pmod(k.bitwiseXOR(F.shiftright(k, 31)), F.lit(MODULUS))
-    x = F.pmod(x + F.lit((seed * 7919 + 104729) % MODULUS), F.lit(MODULUS))
+    x = low31(k.bitwiseXOR(F.shiftright(k, 31)))
+    x = low31(x + F.lit((seed * 7919 + 104729) % MODULUS))
     for _ in range(2):
-        x = x.bitwiseXOR(F.shiftright(x, 15))
-        x = F.pmod(x * F.lit(MIX_FACTOR), F.lit(MODULUS))
+        x = low31(x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(MIX_FACTOR))
     return x.bitwiseXOR(F.shiftright(x, 16))
 
 

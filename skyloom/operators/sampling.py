@@ -13,9 +13,16 @@ def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = 0) ->
     return df.where(uniform(key, seed) < fraction)
 
 
-def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """Exactly n rows without replacement: the n smallest hashes."""
-    return df.orderBy(hash31(key, seed), col(key)).limit(n)
+def sample_n(df: DataFrame, n: int, key: str, seed: int = 0, top: int = 100000) -> DataFrame:
+    """Exactly n rows without replacement: the n smallest hashes.
+
+    Up to ``top`` rows this is a top-n in every task; larger samples rank the
+    hashes cell by cell instead of gathering n rows in one place.
+    """
+    if n <= top:
+        return df.orderBy(hash31(key, seed), col(key)).limit(n)
+    ranked = ordered(df.withColumn("_h", hash31(key, seed)), [], "_h", cell=32768.0, ties=[key], index="_rank")
+    return ranked.where(F.col("_rank") <= n).drop("_h", "_rank")
 
 
 def sample_with_replacement(df: DataFrame, n: int, key: str, seed: int = 0, cell: float = 1e5) -> DataFrame:

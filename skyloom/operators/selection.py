@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas as S
 from ..functions.expr import add, all_of, col, peak_name, positive
@@ -125,13 +125,7 @@ def distinct_labels(df: DataFrame, column: str) -> DataFrame:
 
 
 def row_lookup(df: DataFrame, order_cols: Sequence[str], n: int) -> DataFrame:
-    """The n-th row (from 0) in the given order as name/value pairs.
-
-    Sorting for the first n + 1 rows is a bounded top-k on every task; the
-    last of those is the wanted row.
-    """
-    rank = F.row_number().over(W.orderBy(*[col(c) for c in order_cols]))
-    top = df.orderBy(*[col(c) for c in order_cols]).limit(n + 1)
-    row = top.withColumn("_rank", rank).where(F.col("_rank") == n + 1).drop("_rank")
+    """The n-th row (from 0) in the given order as name/value pairs."""
+    row = df.orderBy(*[col(c) for c in order_cols]).offset(n).limit(1)
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), col(c).cast("string").alias("value")) for c in df.columns])
     return row.select(F.explode(pairs).alias("p")).select("p.name", "p.value")
