@@ -142,16 +142,19 @@ def _(spark, d):
     return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("clu2_silhouette", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-    p AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS s, count(*) AS n FROM e a, e b GROUP BY 1, 2, 3),
+_SILHOUETTE = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    p AS (SELECT a.vec_id, a.label, b.label AS other, sum({measure}) AS s, count(*) AS n FROM e a, e b GROUP BY 1, 2, 3),
     w AS (SELECT vec_id, max(CASE WHEN label = other THEN s / (n - 1) END) AS a, min(CASE WHEN label <> other THEN s / n END) AS b FROM p GROUP BY 1)
-    SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM w""")
+    SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM w"""
+
+
+@query("clu2_silhouette", _SILHOUETTE.format(measure="list_distance(a.x, b.x)"))
 def _(spark, d):
     df, cols = _vectors(spark, d)
     return rounded(G.silhouette(df.withColumn("cluster", F.col("class").cast("int")), cols, rows_per_block=512))
 
 
-@query("clu2_silhouette_squared")
+@query("clu2_silhouette_squared", _SILHOUETTE.format(measure="power(list_distance(a.x, b.x), 2)"))
 def _(spark, d):
     df, cols = _vectors(spark, d)
     return rounded(G.silhouette(df.withColumn("cluster", F.col("class").cast("int")), cols, approx=True))

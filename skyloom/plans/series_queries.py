@@ -225,9 +225,36 @@ def _delays(spark, d, n_mc=2):
     return Q.binned_delays(spectra(spark, d), continuum, 35.0, 1540.0, 1680.0, n_mc=n_mc, seed=41, factor=1, cont=_CONT, lags=(-3.0, 6.0))
 
 
-@query("ts9_binned_delays")
+def _delays_sql(n_mc: int, seed: int, lo: float, hi: float) -> str:
+    """Delays per bin in SQL: resampled curves, both grids, correlation, centroid, mean over the repeats."""
+    seg = """SELECT bin, mc, t AS x0, flux AS y0, lead(t) OVER w AS x1, (lead(flux) OVER w - flux) / (lead(t) OVER w - t) AS s, row_number() OVER w AS i
+        FROM {src} WINDOW w AS (PARTITION BY bin, mc ORDER BY t)"""
+    out = {**K, **_line_sql(35.0, 1540.0, 1680.0, _CONT, "model_flux"), "ls": "SELECT bin, bin AS salt, t, flux, error FROM cells", **_mc_sql("ls", "salt", n_mc, seed, "bin"),
+           "v": "SELECT bin, mc, t - min(t) OVER (PARTITION BY bin, mc) AS t, flux FROM mcurve",
+           "u": "SELECT bin, mc, t - min(t) OVER (PARTITION BY bin, mc) AS t, flux FROM (SELECT t, flux FROM k WHERE series_id = 'purchase') CROSS JOIN (SELECT DISTINCT bin, mc FROM v)"}
+    for side in ("u", "v"):
+        out[f"s{side}"] = "SELECT * FROM (" + seg.format(src=side) + ") WHERE x1 IS NOT NULL"
+    for g in ("u", "v"):
+        out[f"p{g}"] = (f"SELECT *, g0 + j * step AS x FROM (SELECT *, unnest(range(m)) AS j FROM (SELECT bin, mc, min(t) AS g0, count(*) AS m, "
+                        f"(max(t) - min(t)) / (count(*) - 1) AS step FROM {g} GROUP BY 1, 2))")
+        for side in ("u", "v"):
+            out[f"f{g}{side}"] = (f"SELECT p.bin, p.mc, p.j, p.step, arg_max(y0 + s * (x - x0), x0) AS y FROM p{g} p JOIN s{side} q ON p.bin = q.bin AND p.mc = q.mc "
+                                  f"AND (x0 <= x + 1e-12 OR i = 1) GROUP BY 1, 2, 3, 4")
+        out[f"c{g}"] = (f"SELECT a.bin, a.mc, a.j, a.step, a.y - avg(a.y) OVER w AS a, b.y - avg(b.y) OVER w AS b FROM f{g}u a JOIN f{g}v b USING (bin, mc, j) "
+                        f"WINDOW w AS (PARTITION BY a.bin, a.mc)")
+        out[f"e{g}"] = f"SELECT bin, mc, any_value(step) AS step, sqrt(sum(a * a) * sum(b * b)) AS e FROM c{g} GROUP BY 1, 2"
+        out[f"l{g}"] = (f"SELECT *, unnest(range(CAST(ceil({lo}::DOUBLE / step - 1e-9) AS BIGINT), CAST(floor({hi}::DOUBLE / step + 1e-9) AS BIGINT) + 1)) AS l FROM e{g}")
+        out[f"r{g}"] = (f"SELECT l.bin, l.mc, l, l * any_value(l.step) AS lag, sum(x.a * y.b) / any_value(e) AS r FROM l{g} l JOIN c{g} x ON x.bin = l.bin AND x.mc = l.mc "
+                        f"JOIN c{g} y ON y.bin = l.bin AND y.mc = l.mc AND y.j = x.j + l GROUP BY 1, 2, 3")
+    out["ccf"] = "SELECT bin, mc, l, avg(lag) AS lag, avg(r) AS r FROM (SELECT * FROM ru UNION ALL SELECT * FROM rv) GROUP BY 1, 2, 3"
+    out["top"] = "SELECT *, max(r) OVER (PARTITION BY bin, mc) AS best FROM ccf"
+    out["d"] = "SELECT bin, mc, sum(r * lag) / sum(r) AS delay FROM top WHERE r > 0.8 * best GROUP BY 1, 2"
+    return with_sql(out, "SELECT bin, round(avg(delay), 5) AS delay, 1540 + (bin - 0.5::DOUBLE) * 35 AS centre FROM d GROUP BY 1")
+
+
+@query("ts9_binned_delays", _delays_sql(2, 41, -3.0, 6.0))
 def _(spark, d):
-    return rounded(_delays(spark, d))
+    return rounded(_delays(spark, d), 5, ["delay"])
 
 
 @query("agg9_mean_over_draws", with_sql({**K, "ks": "SELECT *, len(series_id) AS salt FROM k", **_mc_sql("ks", "salt", 4, 31, "series_id")},
