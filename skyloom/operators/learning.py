@@ -213,6 +213,7 @@ def linear_svr(train: DataFrame, test: DataFrame, cols: Sequence[str], target: s
     normal equations over the cached rows; p (p + 3) / 2 numbers come back.
     Every step starts from the same cached frame, so the lineage stays flat.
     """
+    spark = train.sparkSession
     train, test = scale_standard(train, cols, fit_on=train), scale_standard(test, cols, fit_on=train)
     names = [*cols, None]  # None is the constant 1
     p = len(names)
@@ -226,12 +227,15 @@ def linear_svr(train: DataFrame, test: DataFrame, cols: Sequence[str], target: s
         weights[-1] = ready.agg(F.percentile_approx("_y", 0.5)).first()[0]
         floor = 1e-6 * (ready.agg(F.stddev_pop("_y")).first()[0] or 1.0)
         for _ in range(max_iter):
-            fitted = add(F.lit(float(w)) * value(c) for w, c in zip(weights, names))
+            # as a scalar subquery the weights are data, not constants, so all steps share one compiled plan
+            current = spark.createDataFrame([tuple(map(float, weights))], ", ".join(f"w{k} double" for k in range(p)))
+            held = ready.withColumn("_w", current.agg(F.first(F.struct(*current.columns))).scalar())
+            fitted = add(F.col("_w").getField(f"w{k}") * value(c) for k, c in enumerate(names))
             residual = F.col("_y") - fitted
             slack = F.abs(residual) - F.lit(float(epsilon))
             shift = F.col("_y") - F.signum(residual) * F.lit(float(epsilon))
             factor = F.when(slack > 0, F.lit(float(C)) / F.greatest(slack, F.lit(float(floor)))).otherwise(F.lit(0.0))
-            step = ready.withColumns({"_f": factor, "_t": shift})
+            step = held.withColumns({"_f": factor, "_t": shift})
             row = step.agg(
                 *[F.sum(F.col("_f") * value(names[i]) * value(names[j])).alias(f"m{i}_{j}") for i in range(p) for j in range(i, p)],
                 *[F.sum(F.col("_f") * value(names[i]) * F.col("_t")).alias(f"r{i}") for i in range(p)]).first()

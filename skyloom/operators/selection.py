@@ -99,8 +99,11 @@ def model_flux(df: DataFrame, components: Sequence[int] | str = "all", name: str
 
 
 def objects_with_images(df: DataFrame, files: DataFrame, file_col: str = "file", key: str = "specObjID") -> DataFrame:
-    """Rows whose id occurs in an image file name."""
-    ids = files.select(image_object_id(file_col).alias(key)).where(F.col(key).isNotNull())
+    """Rows whose id occurs in an image file name.
+
+    Repeated ids are merged before the shuffle, so one id with very many files does no harm.
+    """
+    ids = files.select(image_object_id(file_col).alias(key)).where(F.col(key).isNotNull()).distinct()
     return df.join(ids, key, "left_semi")
 
 

@@ -17,16 +17,17 @@ from .catalogue_queries import LINE_MEASURES
 from .registry import query, rounded
 from .series_queries import _wide
 
-FILES = 3
+ROWS_PER_FILE = 200000
 
 
 def write_lines(df: DataFrame, head: Sequence[str], key: str, path: str) -> str:
-    """Text files with head lines: column ``value`` spread over a few files by an integer key."""
-    lines = df.select((F.col(key) % FILES).cast("int").alias("file"), F.lit(len(head)).alias("no"), "value")
-    tops = df.sparkSession.range(FILES).select(
+    """Text files with head lines: column ``value`` spread by an integer key over files of bounded size."""
+    files = max(3, -(-df.count() // ROWS_PER_FILE))
+    lines = df.select((F.col(key) % files).cast("int").alias("file"), F.lit(len(head)).alias("no"), "value")
+    tops = df.sparkSession.range(files).select(
         F.col("id").cast("int").alias("file"),
         F.posexplode(F.array(*[F.lit(h) for h in head])).alias("no", "value"))
-    both = lines.unionByName(tops).repartition(FILES, "file").sortWithinPartitions("file", "no")
+    both = lines.unionByName(tops).repartition(files, "file").sortWithinPartitions("file", "no")
     both.drop("no").write.partitionBy("file").text(path)
     return f"{path}/file=*"
 

@@ -11,6 +11,7 @@ from ..operators import aggregates as A
 from ..operators import binning as B
 from ..operators import series as R
 from ..operators import spectra as Q
+from ..operators.ordering import ordered
 from ..session import stored
 from .bindings import (
     CURVES_SQL, RAYS_SQL, SPECTRA_SQL, curves, gaussian_sql, rays, spectra, table, uniform_sql, with_sql,
@@ -181,6 +182,14 @@ def _(spark, d):
     return rounded(rounded(R.match_scale(model, k, ["series_id"]), 9, ["t"]), 6, ["synthetic"])
 
 
+@query("srt3_time_order", with_sql({**K, "ks": "SELECT *, len(series_id) AS salt FROM k", **_mc_sql("ks", "salt", 2, 31, "series_id")},
+       "SELECT series_id, mc, round(t, 9) AS t, row_number() OVER (PARTITION BY series_id, mc ORDER BY t) AS rank FROM mcurve"))
+def _(spark, d):
+    k = curves(spark, d).withColumn("salt", F.length("series_id"))
+    draws = R.monte_carlo_curves(k, ["series_id"], 2, 31, salt="salt", cell=CELL)
+    return rounded(ordered(draws, ["series_id", "mc"], "t", cell=CELL, index="rank").select("series_id", "mc", "t", "rank"), 9)
+
+
 # --- spectra ---------------------------------------------------------------------------
 
 SP = {"sp": SPECTRA_SQL}
