@@ -62,7 +62,9 @@ def line_light_curves(
 
     The continuum is the straight line through the mean flux of two side bands.
     Inside a bin neighbouring samples are joined by trapezoids. Visits after the
-    first one at or beyond ``t_stop`` are left out.
+    first one at or beyond ``t_stop`` are left out. A bin with fewer than two
+    samples is 0; a visit without samples in a side band has no continuum, so its
+    fluxes are NULL.
     """
     (a0, a1), (b0, b1) = cont or [(lo - 10, lo), (hi, hi + 10)]
     bins = math.ceil((hi - lo) / dl)
@@ -78,15 +80,15 @@ def line_light_curves(
         F.avg(F.when((wave > b0) & (wave < b1), F.col("f"))).alias("_f2"))
     l1, l2 = (a0 + a1) / 2, (b0 + b1) / 2
     tilt = (F.col("_f2") - F.col("_f1")) / F.lit(l2 - l1)
-    lines = bands.select("visit", "t", tilt.alias("_m"), (F.col("_f1") - tilt * F.lit(l1)).alias("_b"))
+    lines = bands.select("visit", "t", tilt.alias("_m"), F.col("_f1").alias("_b"))
 
     binned = rows.drop("t").withColumn("bin", range_bin("lambda", lo, hi, bins)).where(F.col("bin").isNotNull())
     pairs = ordered(binned, ["visit", "bin"], "lambda", cell=cell, previous=["lambda", "f", "error"])
     step = wave - F.col("prev_lambda")
-    # the tilted continuum is linear, so its integral needs only the sums of step and step * (sum of both ends)
+    # the continuum is b + m (wave - l1), so its integral needs only the sums of step and step * (wave - l1)
     sums = pairs.where(F.col("prev_lambda").isNotNull()).groupBy("visit", "bin").agg(
         F.sum(step * (F.col("f") + F.col("prev_f")) / 2).alias("_area"), F.sum(step).alias("_width"),
-        F.sum(step * (wave + F.col("prev_lambda")) / 2).alias("_moment"),
+        F.sum(step * ((wave - F.lit(l1)) + (F.col("prev_lambda") - F.lit(l1))) / 2).alias("_moment"),
         F.sum(F.pow((F.col("error") + F.col("prev_error")) * step / 2, F.lit(2.0))).alias("_e2"))
     grid = lines.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     full = join_null_safe(grid, sums, ["visit", "bin"], "left")
@@ -116,10 +118,11 @@ def binned_delays(
 
     All bins and repeats run side by side, keyed by (bin, mc). Every stage that
     later steps read more than once is written to the shared folder first.
+    Fluxes without a continuum (NULL) take no part.
     """
     spectra = stored(spectra.select("visit", "t", "lambda", "flux", "error", "model_flux"), "spectra")
     lines = stored(line_light_curves(spectra, dl, lo, hi, cont, use_model=use_model), "lines")
-    repeats = stored(monte_carlo_curves(lines.select("bin", "t", "flux", "error"), ["bin"], n_mc, seed, salt="bin", cell=cell), "repeats")
+    repeats = stored(monte_carlo_curves(lines.where("flux IS NOT NULL").select("bin", "t", "flux", "error"), ["bin"], n_mc, seed, salt="bin", cell=cell), "repeats")
     bins = math.ceil((hi - lo) / dl)
     driver = stored(continuum.select("t", "flux"), "continuum").select("t", "flux", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")) \
                       .withColumn("mc", F.explode(F.sequence(F.lit(0), F.lit(n_mc - 1))))

@@ -210,12 +210,12 @@ def _line_sql(dl: float, lo: float, hi: float, cont, flux: str) -> dict[str, str
         **SP,
         "rw": f"SELECT visit, t - (SELECT min(t) FROM sp) AS t, \"lambda\" AS wl, {flux} AS f, error FROM sp",
         "side": f"SELECT visit, t, avg(CASE WHEN wl > {a0} AND wl < {a1} THEN f END) AS f1, avg(CASE WHEN wl > {b0} AND wl < {b1} THEN f END) AS f2 FROM rw GROUP BY 1, 2",
-        "line": f"SELECT visit, t, (f2 - f1) / {l2 - l1}::DOUBLE AS m, f1 - (f2 - f1) / {l2 - l1}::DOUBLE * {l1}::DOUBLE AS b FROM side",
+        "line": f"SELECT visit, t, (f2 - f1) / {l2 - l1}::DOUBLE AS m, f1 AS b FROM side",
         "bn": f"SELECT *, CAST(ceil((wl - {lo}::DOUBLE) / {width!r}::DOUBLE) AS INT) AS bin FROM rw WHERE wl > {lo} AND wl <= {hi}",
         "pr": "SELECT visit, bin, wl, f, error, lag(wl) OVER w AS pl, lag(f) OVER w AS pf, lag(error) OVER w AS pe FROM bn WINDOW w AS (PARTITION BY visit, bin ORDER BY wl)",
-        "ar": """SELECT visit, bin, sum((wl - pl) * ((pf - (m * pl + b)) + (f - (m * wl + b))) / 2) AS a, sum(power((error + pe) * (wl - pl) / 2, 2)) AS e2
+        "ar": f"""SELECT visit, bin, sum((wl - pl) * ((pf - (m * (pl - {l1}) + b)) + (f - (m * (wl - {l1}) + b))) / 2) AS a, sum(power((error + pe) * (wl - pl) / 2, 2)) AS e2
             FROM pr JOIN line USING (visit) WHERE pl IS NOT NULL GROUP BY 1, 2""",
-        "cells": f"SELECT visit, t, bin, {lo}::DOUBLE + (bin - 0.5) * {width!r}::DOUBLE AS centre, coalesce(a, 0) AS flux, sqrt(coalesce(e2, 0)) AS error FROM (SELECT visit, t, CAST(unnest(range(1, {bins + 1})) AS INT) AS bin FROM line) LEFT JOIN ar USING (visit, bin)",
+        "cells": f"SELECT visit, t, bin, {lo}::DOUBLE + (bin - 0.5) * {width!r}::DOUBLE AS centre, CASE WHEN e2 IS NULL THEN 0 ELSE a END AS flux, sqrt(coalesce(e2, 0)) AS error FROM (SELECT visit, t, CAST(unnest(range(1, {bins + 1})) AS INT) AS bin FROM line) LEFT JOIN ar USING (visit, bin)",
     }
 
 
@@ -223,10 +223,10 @@ _CONT = [(1500.0, 1540.0), (1680.0, 1720.0)]
 
 
 @query("spc3_line_light_curves", with_sql(_line_sql(25.0, 1540.0, 1680.0, _CONT, "model_flux"),
-       "SELECT visit, t, bin, round(centre, 6) AS centre, round(flux, 4) AS flux, round(error, 5) AS error FROM cells"))
+       "SELECT visit, t, bin, round(centre, 6) AS centre, round(flux, 6) AS flux, round(error, 6) AS error FROM cells"))
 def _(spark, d):
     out = Q.line_light_curves(spectra(spark, d), 25.0, 1540.0, 1680.0, _CONT)
-    return rounded(rounded(rounded(out, 6, ["centre"]), 4, ["flux"]), 5, ["error"])
+    return rounded(out, 6, ["centre", "flux", "error"])
 
 
 def _delays(spark, d, n_mc=2):
@@ -238,7 +238,7 @@ def _delays_sql(n_mc: int, seed: int, lo: float, hi: float) -> str:
     """Delays per bin in SQL: resampled curves, both grids, correlation, centroid, mean over the repeats."""
     seg = """SELECT bin, mc, t AS x0, flux AS y0, lead(t) OVER w AS x1, (lead(flux) OVER w - flux) / (lead(t) OVER w - t) AS s, row_number() OVER w AS i
         FROM {src} WINDOW w AS (PARTITION BY bin, mc ORDER BY t)"""
-    out = {**K, **_line_sql(35.0, 1540.0, 1680.0, _CONT, "model_flux"), "ls": "SELECT bin, bin AS salt, t, flux, error FROM cells", **_mc_sql("ls", "salt", n_mc, seed, "bin"),
+    out = {**K, **_line_sql(35.0, 1540.0, 1680.0, _CONT, "model_flux"), "ls": "SELECT bin, bin AS salt, t, flux, error FROM cells WHERE flux IS NOT NULL", **_mc_sql("ls", "salt", n_mc, seed, "bin"),
            "v": "SELECT bin, mc, t - min(t) OVER (PARTITION BY bin, mc) AS t, flux FROM mcurve",
            "u": "SELECT bin, mc, t - min(t) OVER (PARTITION BY bin, mc) AS t, flux FROM (SELECT t, flux FROM k WHERE series_id = 'purchase') CROSS JOIN (SELECT DISTINCT bin, mc FROM v)"}
     for side in ("u", "v"):
