@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,22 +29,43 @@ def local_session(cores: str = "*", app: str = "skyloom", memory: str = "8g") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is made only where none is configured."""
-    base = spark.conf.get(CHECKPOINT_CONF, None)
-    if base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
-        return base
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skyloom-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    """The cluster's shared folder.
+
+    It is read from the session. Only a local master, where driver and tasks
+    are one process, may do without the setting; on a cluster a machine-local
+    folder would lose rows, so that is an error.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="skyloom-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
+    return base
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    """This application's folder below the shared one; Hadoop deletes it when the driver ends."""
+    sc = spark.sparkContext
+    root = f"{shared_dir(spark).rstrip('/')}/skyloom-{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nobody else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_stored(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that is no longer read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
