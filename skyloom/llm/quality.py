@@ -17,7 +17,7 @@ SYMBOLS = "#*$%&|<>"
 NAVIGATION = frozenset("home menu login logout register search contact about sitemap next previous share tweet subscribe print".split())
 BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "javascript",
                "licensed under", "released under", "lorem ipsum")
-TERMINALS = tuple(".!?…。！？:;\"'”’»)]")
+MARKS = re.compile("[.!?…。！？:;]")
 
 METRICS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
            "n_lines long, n_failed_lines long, cleaned string")
@@ -30,7 +30,7 @@ def line_fails(line: str, symbol_share: float = 0.1, run_on_words: int = 8) -> b
     * navigation: two words or more, every one of them a menu word or a bare separator;
     * boilerplate: a phrase of legal notices or script warnings;
     * table or menu row: it ends in a separator ``|``, or a tenth of its characters are symbols;
-    * punctuation: ``run_on_words`` words or more with no mark that ends a sentence at the line's end.
+    * punctuation: ``run_on_words`` words or more and no mark that ends a sentence or clause anywhere, as in lists of links.
     """
     words = line.split() or [line]
     bare = [_EDGES.sub("", w).lower() for w in words]
@@ -43,7 +43,7 @@ def line_fails(line: str, symbol_share: float = 0.1, run_on_words: int = 8) -> b
     symbols = sum(line.count(c) for c in SYMBOLS)
     if words[-1] == "|" or symbols > symbol_share * sum(map(len, words)):
         return True
-    return len(words) >= run_on_words and not line.rstrip().endswith(TERMINALS)
+    return len(words) >= run_on_words and not MARKS.search(line)
 
 
 def measure(text: str, most_lost: float = 0.5) -> dict:
