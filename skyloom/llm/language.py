@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -234,20 +235,36 @@ def predict(docs: DataFrame, net: Network | None, ident: str = "doc_id", text: s
     """
     def run(parts: Iterator[dict[str, pa.Array]]) -> Iterator[dict]:
         for part in parts:
-            texts = as_bytes(part["t"])
-            lettered = [net is not None and has_letter(t) for t in texts]
-            if net is None:
-                yield {"doc_id": part["d"], "lang_pred": [UNKNOWN] * len(texts), "score": [0.0] * len(texts)}
-                continue
-            p = pooled(net, [t if ok else b"" for t, ok in zip(texts, lettered)])
-            best = p.argmax(axis=1)
-            yield {"doc_id": part["d"], "lang_pred": [net.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)],
-                   "score": [min(1.0, float(p[i, b])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, lettered))]}
+            lang, score = judge(net, as_bytes(part["t"]))
+            yield {"doc_id": part["d"], "lang_pred": lang, "score": score}
 
     return map_texts(docs.select(F.col(ident).cast("long").alias("d"), F.col(text).alias("t")), run,
                      "doc_id long, lang_pred string, score double", rows=4096, megabytes=2)
 
 
+def judge(net: Network | None, texts: list[bytes]) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    lettered = [net is not None and has_letter(t) for t in texts]
+    if net is None:
+        return [UNKNOWN] * len(texts), [0.0] * len(texts)
+    p = pooled(net, [t if ok else b"" for t, ok in zip(texts, lettered)])
+    best = p.argmax(axis=1)
+    return ([net.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)],
+            [min(1.0, float(p[i, b])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, lettered))])
+
+
+def score_column(net: Network | None, text: str = "text") -> Column:
+    """The score of ``predict`` as a column, for filtering rows without moving them."""
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        out: list[float] = []
+        for at in range(0, len(texts), 512):
+            out += judge(net, [(t or "").encode() for t in texts.iloc[at:at + 512]])[1]
+        return pd.Series(out, dtype="float64")
+
+    return score(F.col(text))
+
+
 def label_runs(docs: DataFrame, net: Network, ident: str = "doc_id", text: str = "text", window: int = 64) -> DataFrame:
     """The label of every byte position, as runs ``(doc_id, start, end, lang)`` in bytes of the UTF-8 text."""
     def run(parts: Iterator[dict[str, pa.Array]]) -> Iterator[dict]:

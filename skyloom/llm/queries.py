@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, quality, secrets, warc
+from . import decontamination, language, lines, packing, pii, quality, secrets, simhash, spans, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,27 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, net).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op4_simhash_groups")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op5_line_templates")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_templates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", "text")
+
+
+@query("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(table(spark, sf_dir, "documents")).drop("sanitised")
+
+
 @query("op7_secret_scan")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("found")
@@ -52,6 +73,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op9_benchmark_tiling")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.flag_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("cleaned")
