@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 LIGHT_SPEED_KM_S = 3e5  # fixed value
-MODULUS = 2147483648  # 2^31
-MIX_FACTOR = 73244475  # fixed odd factor of the bit mixer
 
 
 def col(c: str | Column) -> Column:
@@ -71,29 +70,24 @@ def rest_frame_time(t: str | Column, z: float) -> Column:
     return col(t) / F.lit(1.0 + z)
 
 
-def hash31(key: str | Column, seed: int) -> Column:
-    """31-bit hash of an integer key from shifts, xors and products below 2^63.
+def keyed_hash(key: str | Column | Sequence[str | Column], seed: int | str) -> Column:
+    """60-bit hash of a key (or of several, one after another) and a seed.
 
-    Any SQL engine with 64-bit integers gives the same value, so a draw does
-    not depend on partitioning, task retries or the engine that checks it.
+    The leading digits of the MD5 of ``seed:key``: seeds, axes and repeats give
+    streams that have nothing in common, any SQL engine computes the same
+    value, and a draw depends on neither partitioning nor retries.
     """
-    def low31(c: Column) -> Column:
-        return c.bitwiseAND(F.lit(MODULUS - 1))
+    keys = [key] if isinstance(key, (str, Column)) else list(key)
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
-    k = col(key).cast("long")
-    x = low31(k.bitwiseXOR(F.shiftright(k, 31)))
-    x = low31(x + F.lit((seed * 7919 + 104729) % MODULUS))
-    for _ in range(2):
-        x = low31(x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(MIX_FACTOR))
-    return x.bitwiseXOR(F.shiftright(x, 16))
 
+def uniform(key: str | Column | Sequence[str | Column], seed: int | str) -> Column:
+    """Uniform draw in (0, 1), of 52 bits, that depends only on the key and the seed."""
+    return (F.shiftright(keyed_hash(key, seed), 8).cast("double") + 0.5) / float(1 << 52)
 
-def uniform(key: str | Column, seed: int) -> Column:
-    """Uniform draw in (0, 1) that depends only on the key and the seed."""
-    return (hash31(key, seed).cast("double") + 0.5) / float(MODULUS)
 
-
-def gaussian(key: str | Column, seed: int) -> Column:
-    """Standard normal draw by the Box-Muller transform of two keyed uniforms."""
-    radius = F.sqrt(-2.0 * F.log(uniform(key, seed)))
-    return radius * F.cos(F.lit(6.283185307179586) * uniform(key, seed + 1))
+def gaussian(key: str | Column | Sequence[str | Column], seed: int | str) -> Column:
+    """Standard normal draw by the Box-Muller transform of two independent keyed uniforms."""
+    radius = F.sqrt(-2.0 * F.log(uniform(key, f"{seed}/radius")))
+    return radius * F.cos(F.lit(6.283185307179586) * uniform(key, f"{seed}/angle"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.expr import col, hash31, uniform
+from ..functions.expr import col, keyed_hash, uniform
 from .ordering import ordered
 
 
@@ -20,8 +20,8 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 0, top: int = 100000)
     hashes cell by cell instead of gathering n rows in one place.
     """
     if n <= top:
-        return df.orderBy(hash31(key, seed), col(key)).limit(n)
-    ranked = ordered(df.withColumn("_h", hash31(key, seed)), [], "_h", cell=32768.0, ties=[key], index="_rank")
+        return df.orderBy(keyed_hash(key, seed), col(key)).limit(n)
+    ranked = ordered(df.withColumn("_h", keyed_hash(key, seed)), [], "_h", cell=32768.0, ties=[key], index="_rank")
     return ranked.where(F.col("_rank") <= n).drop("_h", "_rank")
 
 
@@ -45,7 +45,7 @@ def sample_class(df: DataFrame, n: int, key: str, class_col: str = "class", cls=
     """
     if cls is not None:
         return sample_n(df.where(col(class_col) == cls), n, key, seed)
-    rank = F.row_number().over(W.partitionBy(col(class_col)).orderBy(hash31(key, seed), col(key)))
+    rank = F.row_number().over(W.partitionBy(col(class_col)).orderBy(keyed_hash(key, seed), col(key)))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 

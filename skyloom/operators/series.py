@@ -311,30 +311,23 @@ def ccf_centroid(ccf: DataFrame, keys: Sequence[str], cut: float = 0.8) -> DataF
 
 # --- Monte Carlo ---------------------------------------------------------------------
 
-def draw_key(index, mc, salt):
-    """Integer key of one draw: distinct for every point, repeat and series salt."""
-    return index + F.lit(1000003) * (mc + F.lit(10007) * salt)
-
-
-def monte_carlo_curves(df: DataFrame, keys: Sequence[str], n_mc: int, seed: int = 0, *, salt: str | None = None,
-                       cell: float = 1.0) -> DataFrame:
+def monte_carlo_curves(df: DataFrame, keys: Sequence[str], n_mc: int, seed: int = 0, *, cell: float = 1.0) -> DataFrame:
     """Flux-randomised, resampled curves: ``mc`` numbers the repeats.
 
     Every repeat draws n of the n points with replacement, keeps each drawn
     point once, and scatters its flux by error / sqrt(times drawn). Draws are
-    keyed hashes, so a lost task repeats the same curve. ``salt`` names an
-    integer column that tells series apart.
+    hashes of (series, repeat, point), so a lost task repeats the same curve and
+    no two points share a draw.
     """
-    numbered = ordered(df, keys, "t", cell=cell, index="_i", size="_n")
-    salted = stored(numbered.withColumn("_salt", F.crc32(F.concat_ws("|", *[col(k).cast("string") for k in keys])) % 9973
-                                        if salt is None else col(salt).cast("long")), "numbered")
+    numbered = stored(ordered(df, keys, "t", cell=cell, index="_i", size="_n"), "numbered")
+    own = [*keys, "mc", "_i"]
     repeats = F.explode(F.sequence(F.lit(0), F.lit(n_mc - 1))).alias("mc")
-    drawn = salted.select(*[col(k) for k in keys], "_i", "_n", "_salt", repeats)
-    pick = F.floor(uniform(draw_key(F.col("_i"), F.col("mc"), F.col("_salt")), seed) * F.col("_n")) + 1
+    drawn = numbered.select(*[col(k) for k in keys], "_i", "_n", repeats)
+    pick = F.floor(uniform(own, f"{seed}/pick") * F.col("_n")) + 1
     counts = drawn.select(*[col(k) for k in keys], "mc", pick.alias("_i")) \
                   .groupBy(*[col(k) for k in keys], "mc", "_i").agg(F.count(F.lit(1)).alias("_times"))
-    points = join_null_safe(salted, counts, [*keys, "_i"])
-    noise = gaussian(draw_key(F.col("_i"), F.col("mc"), F.col("_salt")), seed + 1)
+    points = join_null_safe(numbered, counts, [*keys, "_i"])
+    noise = gaussian(own, f"{seed}/noise")
     return points.select(*[col(k) for k in keys], "mc", "t",
                          (F.col("flux") + F.col("error") / F.sqrt(F.col("_times").cast("double")) * noise).alias("flux"))
 

@@ -122,7 +122,7 @@ def binned_delays(
     """
     spectra = stored(spectra.select("visit", "t", "lambda", "flux", "error", "model_flux"), "spectra")
     lines = stored(line_light_curves(spectra, dl, lo, hi, cont, use_model=use_model), "lines")
-    repeats = stored(monte_carlo_curves(lines.where("flux IS NOT NULL").select("bin", "t", "flux", "error"), ["bin"], n_mc, seed, salt="bin", cell=cell), "repeats")
+    repeats = stored(monte_carlo_curves(lines.where("flux IS NOT NULL").select("bin", "t", "flux", "error"), ["bin"], n_mc, seed, cell=cell), "repeats")
     bins = math.ceil((hi - lo) / dl)
     driver = stored(continuum.select("t", "flux"), "continuum").select("t", "flux", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")) \
                       .withColumn("mc", F.explode(F.sequence(F.lit(0), F.lit(n_mc - 1))))

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
-from ..functions.expr import MIX_FACTOR, MODULUS
 from ..session import scratch_path
 
 DAY_MICROS = 86400000000
@@ -174,22 +173,18 @@ RAYS_SQL = (f"SELECT user_id AS model_id, CAST(us % {DAY_MICROS} AS DOUBLE) / {D
             f"CAST(us // {DAY_MICROS} AS DOUBLE) + 0.5 AS delay, CAST(c % 199 - 99 AS DOUBLE) * c AS phase_weight FROM ({MICROS_SQL})")
 
 
-def hash31_sql(key: str, seed: int) -> str:
-    """SQL text of the keyed 31-bit hash."""
-    x = f"(xor(CAST({key} AS BIGINT), CAST({key} AS BIGINT) >> 31) % {MODULUS})"
-    x = f"(({x} + {(seed * 7919 + 104729) % MODULUS}) % {MODULUS})"
-    for _ in range(2):
-        x = f"(xor({x}, {x} >> 15) * {MIX_FACTOR} % {MODULUS})"
-    return f"xor({x}, {x} >> 16)"
+def keyed_hash_sql(key: str, seed: int | str) -> str:
+    """SQL text of the keyed 60-bit hash; ``key`` may be several expressions with commas between."""
+    return f"CAST(('0x' || substr(md5(concat_ws(':', '{seed}', {key})), 1, 15)) AS BIGINT)"
 
 
-def uniform_sql(key: str, seed: int) -> str:
-    return f"((CAST({hash31_sql(key, seed)} AS DOUBLE) + 0.5) / {MODULUS}.0::DOUBLE)"
+def uniform_sql(key: str, seed: int | str) -> str:
+    return f"((CAST({keyed_hash_sql(key, seed)} >> 8 AS DOUBLE) + 0.5) / {1 << 52}.0::DOUBLE)"
 
 
-def gaussian_sql(key: str, seed: int) -> str:
-    return (f"(sqrt(-2 * ln({uniform_sql(key, seed)})) "
-            f"* cos(6.283185307179586::DOUBLE * {uniform_sql(key, seed + 1)}))")
+def gaussian_sql(key: str, seed: int | str) -> str:
+    return (f"(sqrt(-2 * ln({uniform_sql(key, f'{seed}/radius')})) "
+            f"* cos(6.283185307179586::DOUBLE * {uniform_sql(key, f'{seed}/angle')}))")
 
 
 def with_sql(ctes: dict[str, str], body: str) -> str:

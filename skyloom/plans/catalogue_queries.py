@@ -16,7 +16,7 @@ from ..operators import scaling as Z
 from ..operators import selection as L
 from ..operators.ordering import attach, ordered
 from .bindings import (
-    CATALOGUE_SQL, MASKED_SQL, MICROS_SQL, RAYS_SQL, SAMPLES_SQL, CURVES_SQL, catalogue, curves, hash31_sql, rays,
+    CATALOGUE_SQL, MASKED_SQL, MICROS_SQL, RAYS_SQL, SAMPLES_SQL, CURVES_SQL, catalogue, curves, keyed_hash_sql, rays,
     samples, table, uniform_sql, with_micros, with_sql,
 )
 from .registry import query, rounded
@@ -316,7 +316,7 @@ def _(spark, d):
     return P.sample_fraction(table(spark, d, "orders"), 0.1, "o_orderkey", 5).select("o_orderkey")
 
 
-@query("smp2_exact_n", f"SELECT o_orderkey FROM orders ORDER BY {hash31_sql('o_orderkey', 6)}, o_orderkey LIMIT 500")
+@query("smp2_exact_n", f"SELECT o_orderkey FROM orders ORDER BY {keyed_hash_sql('o_orderkey', 6)}, o_orderkey LIMIT 500")
 def _(spark, d):
     return P.sample_n(table(spark, d, "orders"), 500, "o_orderkey", 6).select("o_orderkey")
 
@@ -329,7 +329,7 @@ def _(spark, d):
 
 
 @query("smp4_per_class", f"""SELECT o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus
-    ORDER BY {hash31_sql('o_orderkey', 8)}, o_orderkey) <= 50""")
+    ORDER BY {keyed_hash_sql('o_orderkey', 8)}, o_orderkey) <= 50""")
 def _(spark, d):
     return P.sample_class(table(spark, d, "orders").select("o_orderstatus", "o_orderkey"), 50, "o_orderkey", "o_orderstatus", seed=8)
 

@@ -138,23 +138,21 @@ def _(spark, d):
     return rounded(peak.join(R.ccf_centroid(ccf, ["series_id"]).withColumnRenamed("delay", "centroid"), "series_id"))
 
 
-def _mc_sql(source: str, salt: str, n_mc: int, seed: int, keys: str) -> dict[str, str]:
-    def key(i: str) -> str:
-        return f"({i} + 1000003 * (mc + 10007 * {salt}))"
+def _mc_sql(source: str, n_mc: int, seed: int, keys: str) -> dict[str, str]:
     return {
         "numbered": f"SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY t) AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM {source}",
-        "draws": f"SELECT {keys}, mc, CAST(floor({uniform_sql(key('i'), seed)} * n) AS BIGINT) + 1 AS pick, count(*) AS times FROM "
+        "draws": f"SELECT {keys}, mc, CAST(floor({uniform_sql(f'{keys}, mc, i', f'{seed}/pick')} * n) AS BIGINT) + 1 AS pick, count(*) AS times FROM "
                  f"(SELECT *, unnest(range({n_mc})) AS mc FROM numbered) GROUP BY ALL",
-        "mcurve": f"SELECT a.{keys}, CAST(mc AS INT) AS mc, a.t, flux + error / sqrt(times::DOUBLE) * {gaussian_sql(key('a.i'), seed + 1)} AS flux "
+        "mcurve": f"SELECT a.{keys}, CAST(mc AS INT) AS mc, a.t, flux + error / sqrt(times::DOUBLE) * {gaussian_sql(f'a.{keys}, mc, a.i', f'{seed}/noise')} AS flux "
                   f"FROM numbered a JOIN draws d ON a.{keys} = d.{keys} AND a.i = d.pick",
     }
 
 
-@query("ts8_monte_carlo_curves", with_sql({**K, "ks": "SELECT *, len(series_id) AS salt FROM k", **_mc_sql("ks", "salt", 3, 31, "series_id")},
+@query("ts8_monte_carlo_curves", with_sql({**K, **_mc_sql("k", 3, 31, "series_id")},
        "SELECT series_id, mc, round(t, 9) AS t, round(flux, 6) AS flux FROM mcurve"))
 def _(spark, d):
-    k = curves(spark, d).withColumn("salt", F.length("series_id"))
-    out = R.monte_carlo_curves(k, ["series_id"], 3, 31, salt="salt", cell=CELL)
+    k = curves(spark, d)
+    out = R.monte_carlo_curves(k, ["series_id"], 3, 31, cell=CELL)
     return rounded(rounded(out, 9, ["t"]), 6, ["flux"])
 
 
@@ -182,11 +180,11 @@ def _(spark, d):
     return rounded(rounded(R.match_scale(model, k, ["series_id"]), 9, ["t"]), 6, ["synthetic"])
 
 
-@query("srt3_time_order", with_sql({**K, "ks": "SELECT *, len(series_id) AS salt FROM k", **_mc_sql("ks", "salt", 2, 31, "series_id")},
+@query("srt3_time_order", with_sql({**K, **_mc_sql("k", 2, 31, "series_id")},
        "SELECT series_id, mc, round(t, 9) AS t, row_number() OVER (PARTITION BY series_id, mc ORDER BY t) AS rank FROM mcurve"))
 def _(spark, d):
-    k = curves(spark, d).withColumn("salt", F.length("series_id"))
-    draws = R.monte_carlo_curves(k, ["series_id"], 2, 31, salt="salt", cell=CELL)
+    k = curves(spark, d)
+    draws = R.monte_carlo_curves(k, ["series_id"], 2, 31, cell=CELL)
     return rounded(ordered(draws, ["series_id", "mc"], "t", cell=CELL, index="rank").select("series_id", "mc", "t", "rank"), 9)
 
 
@@ -238,7 +236,7 @@ def _delays_sql(n_mc: int, seed: int, lo: float, hi: float) -> str:
     """Delays per bin in SQL: resampled curves, both grids, correlation, centroid, mean over the repeats."""
     seg = """SELECT bin, mc, t AS x0, flux AS y0, lead(t) OVER w AS x1, (lead(flux) OVER w - flux) / (lead(t) OVER w - t) AS s, row_number() OVER w AS i
         FROM {src} WINDOW w AS (PARTITION BY bin, mc ORDER BY t)"""
-    out = {**K, **_line_sql(35.0, 1540.0, 1680.0, _CONT, "model_flux"), "ls": "SELECT bin, bin AS salt, t, flux, error FROM cells WHERE flux IS NOT NULL", **_mc_sql("ls", "salt", n_mc, seed, "bin"),
+    out = {**K, **_line_sql(35.0, 1540.0, 1680.0, _CONT, "model_flux"), "ls": "SELECT bin, t, flux, error FROM cells WHERE flux IS NOT NULL", **_mc_sql("ls", n_mc, seed, "bin"),
            "v": "SELECT bin, mc, t - min(t) OVER (PARTITION BY bin, mc) AS t, flux FROM mcurve",
            "u": "SELECT bin, mc, t - min(t) OVER (PARTITION BY bin, mc) AS t, flux FROM (SELECT t, flux FROM k WHERE series_id = 'purchase') CROSS JOIN (SELECT DISTINCT bin, mc FROM v)"}
     for side in ("u", "v"):
@@ -266,11 +264,11 @@ def _(spark, d):
     return rounded(_delays(spark, d), 5, ["delay"])
 
 
-@query("agg9_mean_over_draws", with_sql({**K, "ks": "SELECT *, len(series_id) AS salt FROM k", **_mc_sql("ks", "salt", 4, 31, "series_id")},
+@query("agg9_mean_over_draws", with_sql({**K, **_mc_sql("k", 4, 31, "series_id")},
        "SELECT series_id, round(avg(m), 6) AS mean FROM (SELECT series_id, mc, avg(flux) AS m FROM mcurve GROUP BY 1, 2) GROUP BY 1"))
 def _(spark, d):
-    k = curves(spark, d).withColumn("salt", F.length("series_id"))
-    draws = R.monte_carlo_curves(k, ["series_id"], 4, 31, salt="salt", cell=CELL)
+    k = curves(spark, d)
+    draws = R.monte_carlo_curves(k, ["series_id"], 4, 31, cell=CELL)
     per_draw = A.mean_over(draws, "flux", ["series_id", "mc"], "m")
     return rounded(A.mean_over(per_draw, "m", ["series_id"]))
 
