@@ -35,32 +35,25 @@ def baskets_from_columns(df: DataFrame, cols: Sequence[str], keep: Sequence[str]
     return df.select(*[col(k) for k in keep], F.array_compact(F.array(*items)).alias("items"))
 
 
-def frequent_itemsets(df: DataFrame, min_support: float, items: str = "items", max_items: int = 12) -> DataFrame:
-    """Exact frequent itemsets of short baskets.
+def frequent_itemsets(df: DataFrame, min_support: float, items: str = "items") -> DataFrame:
+    """Exact frequent itemsets ``(items, count, total)`` of baskets of any length, by the FP-growth of Spark ML.
 
-    Equal baskets are counted first and that table is written to the shared
-    folder: the input is read once, and subsets are unfolded once per distinct
-    basket and not once per row. Baskets beyond ``max_items`` raise an error
-    instead of being cut; use :func:`association_rules_fp` for those.
+    Every group of items mines the trees of the baskets that reach it, so a
+    long basket costs what its frequent subsets cost. A set is frequent from
+    ``min_support`` of all baskets on; empty baskets count in the total.
     """
-    sets = F.sort_array(F.array_distinct(F.array_compact(col(items))))
-    distinct = stored(df.select(sets.alias("items")).groupBy("items").agg(F.count(F.lit(1)).alias("n")), "baskets")
-    total = distinct.agg(F.sum("n").alias("total")).scalar()
-    limit = F.when(F.size("items") > max_items, F.raise_error(F.lit("basket too long for subset counting")).cast("int")) \
-             .otherwise(F.size("items"))
-    masks = F.expr("sequence(1, shiftleft(1, width) - 1)")
-    subsets = (
-        distinct.where(F.size("items") > 0).withColumn("width", limit).withColumn("mask", F.explode(masks))
-        .select(F.expr("filter(items, (x, k) -> (shiftright(mask, k) & 1) = 1)").alias("items"), "n")
-        .groupBy("items").agg(F.sum("n").alias("count"))
-    )
-    return subsets.withColumn("total", total).where(F.col("count") >= F.col("total") * F.lit(float(min_support)))
-
-
-def association_rules(df: DataFrame, min_support: float = 0.1, min_confidence: float = 0.2,
-                      items: str = "items", max_items: int = 12) -> DataFrame:
+    sets = df.select(F.array_distinct(F.array_compact(col(items))).alias("items")).persist()
+    try:
+        frequent = FPGrowth(itemsCol="items", minSupport=min_support).fit(sets).freqItemsets
+        total = sets.count()
+    finally:
+        sets.unpersist()
+    return frequent.select(F.sort_array("items").alias("items"), F.col("freq").alias("count"), F.lit(total).alias("total"))
+
+
+def association_rules(df: DataFrame, min_support: float = 0.1, min_confidence: float = 0.2, items: str = "items") -> DataFrame:
     """Rules with one consequent and a non-empty antecedent: support, confidence, lift and count."""
-    frequent = frequent_itemsets(df, min_support, items, max_items)
+    frequent = stored(frequent_itemsets(df, min_support, items), "itemsets")
     wide = frequent.where(F.size("items") >= 2).withColumn("consequent", F.explode("items")) \
                    .withColumn("antecedent", F.array_except("items", F.array("consequent")))
     left = frequent.select(F.col("items").alias("antecedent"), F.col("count").alias("_na"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -29,22 +29,23 @@ def bin_equal_width(df: DataFrame, cols: Sequence[str], bins: int = 5) -> DataFr
     return df.withColumn("_limits", limits).withColumns({c: number(k, c) for k, c in enumerate(cols)}).drop("_limits")
 
 
-def range_bin(x: str | Column, lo: float, hi: float, bins: int) -> Column:
-    """Bin number 1..bins of (lo, hi] in equal steps, NULL outside."""
+def range_bin(x: str | Column, lo: float, hi: float, bins: int, closed: bool = False) -> Column:
+    """Bin number 1..bins of (lo, hi] in equal steps, NULL outside; ``closed`` puts ``lo`` itself into the first bin."""
     width = (hi - lo) / bins
-    return F.when((col(x) > lo) & (col(x) <= hi),
+    inside = (col(x) >= lo) if closed else (col(x) > lo)
+    return F.when(inside & (col(x) <= hi),
                   F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((col(x) - F.lit(lo)) / F.lit(width)).cast("int"))))
 
 
 def _binned(df: DataFrame, x: str, lo: float, hi: float, bins: int, by: Sequence[str],
-            aggregates: dict[str, Column]) -> DataFrame:
+            aggregates: dict[str, Column], closed: bool = True) -> DataFrame:
     """Aggregate per (by, bin) and add the empty bins of every group.
 
     The sums of one group (at most ``bins`` entries) are packed into a map and
     unfolded over all bin numbers, so the input is read once.
     """
     keys = [col(b) for b in by]
-    marked = df.withColumn("bin", range_bin(x, lo, hi, bins))
+    marked = df.withColumn("bin", range_bin(x, lo, hi, bins, closed))
     sums = marked.groupBy(*keys, "bin").agg(*[v.alias(k) for k, v in aggregates.items()])
     entry = F.when(F.col("bin").isNotNull(), F.struct(F.col("bin"), F.struct(*aggregates)))
     packed = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_sums"))
@@ -57,24 +58,33 @@ def _binned(df: DataFrame, x: str, lo: float, hi: float, bins: int, by: Sequence
 
 def histogram_sum(df: DataFrame, x: str, w: str | Column, lo: float, hi: float, bins: int,
                   by: Sequence[str] = ()) -> DataFrame:
-    """Sum of the weights per bin of a fixed range; values outside are ignored."""
-    out = _binned(df, x, lo, hi, bins, by, {"total": F.sum(col(w))})
-    return out.withColumn("total", F.coalesce("total", F.lit(0.0)))
+    """Sum of the weights per bin of a fixed range, limits included; values outside are ignored."""
+    return histogram_sums(df, x, {"total": w}, lo, hi, bins, by)
+
+
+def histogram_sums(df: DataFrame, x: str, sums: Mapping[str, str | Column], lo: float, hi: float, bins: int,
+                   by: Sequence[str] = ()) -> DataFrame:
+    """Several sums per bin from one pass."""
+    out = _binned(df, x, lo, hi, bins, by, {name: F.sum(col(w)) for name, w in sums.items()})
+    return out.withColumns({name: F.coalesce(name, F.lit(0.0)) for name in sums})
 
 
 def binned_weighted_mean(df: DataFrame, x: str, v: str, w: str, lo: float, hi: float, bins: int,
                          by: Sequence[str] = ()) -> DataFrame:
     """Weighted mean of ``v`` per bin of ``x``, NULL in empty bins."""
     mean = F.sum(col(v) * col(w)) / F.nullif(F.sum(col(w)).cast("double"), F.lit(0.0))
-    return _binned(df, x, lo, hi, bins, by, {"mean": mean})
+    return _binned(df, x, lo, hi, bins, by, {"mean": mean}, closed=False)
 
 
 def binned_ratio(df: DataFrame, x: str, a: str, b: str, lo: float, hi: float, bins: int,
                  by: Sequence[str] = ()) -> DataFrame:
     """Ratio of two binned sums; a zero denominator counts as one."""
-    out = _binned(df, x, lo, hi, bins, by, {"_a": F.sum(col(a)), "_b": F.sum(col(b))})
-    below = F.when(F.coalesce(F.col("_b"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("_b"))
-    return out.withColumn("ratio", F.coalesce(F.col("_a"), F.lit(0.0)) / below).drop("_a", "_b")
+    out = histogram_sums(df, x, {"_a": a, "_b": b}, lo, hi, bins, by)
+    return out.withColumn("ratio", safe_ratio("_a", "_b")).drop("_a", "_b")
+
+
+def safe_ratio(a: str, b: str) -> Column:
+    return col(a) / F.when(col(b) == 0, F.lit(1.0)).otherwise(col(b))
 
 
 def transfer_function(df: DataFrame, t: str, w: str, bins: int, t_max: float,

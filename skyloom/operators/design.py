@@ -13,10 +13,10 @@ from ..functions.expr import uniform
 
 def uniform_design(ids: DataFrame, key: str, ranges: Mapping[str, tuple[float, float]] = S.PARAMETER_RANGES,
                    seed: int = 0) -> DataFrame:
-    """One uniform random point per id; every axis uses its own stream."""
+    """One uniform random point per id; every axis draws from a hash of its own name."""
     return ids.select(F.col(key), *[
-        (F.lit(float(lo)) + F.lit(float(hi) - float(lo)) * uniform(key, seed + k)).alias(name)
-        for k, (name, (lo, hi)) in enumerate(ranges.items())])
+        (F.lit(float(lo)) + F.lit(float(hi) - float(lo)) * uniform(key, f"{seed}/{name}")).alias(name)
+        for name, (lo, hi) in ranges.items()])
 
 
 def param_grid(spark: SparkSession, axes: Mapping[str, Sequence]) -> DataFrame:
@@ -34,6 +34,20 @@ def param_grid(spark: SparkSession, axes: Mapping[str, Sequence]) -> DataFrame:
     return spark.range(total).select(F.col("id").alias("grid_id"), *out)
 
 
+def label_grid(labels: DataFrame, axes: Mapping[str, Sequence]) -> DataFrame:
+    """All combinations of the distinct labels of every column with the values of the axes.
+
+    The label sets come from one aggregate of the table and are unfolded from
+    its one row, without a join and without a collect. NULL is no label.
+    """
+    sets = labels.agg(*[F.collect_set(F.col(f"`{c}`")).alias(c) for c in labels.columns])
+    for name in labels.columns:
+        sets = sets.withColumn(name, F.explode(F.col(f"`{name}`")))
+    for name, values in axes.items():
+        sets = sets.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return sets
+
+
 def points_per_axis(n: int, axes: int) -> int:
     """Largest p with p ** axes <= n."""
     p = 1

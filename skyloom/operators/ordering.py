@@ -60,10 +60,10 @@ def ordered(
     so that one cell of one series fits a task.
     """
     keys = list(keys)
-    part = [*keys, "_cell"]
     rank_by = [col(order), *[col(t) for t in ties]]
     sort_key = F.struct(*rank_by)
-    base = df.withColumn("_cell", F.floor(col(order) / F.lit(float(cell))))
+    # one struct of series and cell, NULLs included: the join and the windows below then share one exchange of the table
+    base = df.withColumn("_part", F.struct(*[col(k) for k in keys], F.floor(col(order) / F.lit(float(cell))).alias("_cell")))
 
     summary = [F.count(F.lit(1)).alias("_n")]
     if previous:
@@ -71,12 +71,13 @@ def ordered(
     heads = list(dict.fromkeys([*following, *first]))
     if heads:
         summary.append(F.min_by(F.struct(*[col(c) for c in heads]), sort_key).alias("_head"))
-    cells = base.groupBy(*[col(k) for k in part]).agg(*summary)
+    cells = base.groupBy("_part").agg(*summary)
 
-    by_cell = W.partitionBy(*[col(k) for k in keys]).orderBy("_cell")
+    series = [F.col("_part").getField(k) for k in keys]
+    by_cell = W.partitionBy(*series).orderBy(F.col("_part._cell"))
     before = by_cell.rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*[col(k) for k in keys])
-    edges = [col(k) for k in part]
+    whole = W.partitionBy(*series)
+    edges = [F.col("_part")]
     if index:
         edges.append(F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     if size:
@@ -87,9 +88,9 @@ def ordered(
         edges.append(F.lead("_head").over(by_cell).alias("_out"))
     if first:
         edges.append(F.first("_head").over(by_cell.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_first"))
-    joined = join_null_safe(base, cells.select(*edges), part)
+    joined = base.join(cells.select(*edges), "_part")
 
-    inside = W.partitionBy(*[col(k) for k in part]).orderBy(*rank_by)
+    inside = W.partitionBy("_part").orderBy(*rank_by)
     out = [col(c) for c in df.columns]
     if index:
         out.append((F.col("_before") + F.row_number().over(inside)).alias(index))

@@ -13,16 +13,22 @@ def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = 0) ->
     return df.where(uniform(key, seed) < fraction)
 
 
-def sample_n(df: DataFrame, n: int, key: str, seed: int = 0, top: int = 100000) -> DataFrame:
+def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """Exactly n rows without replacement: the n smallest hashes.
 
-    Up to ``top`` rows this is a top-n in every task; larger samples rank the
-    hashes cell by cell instead of gathering n rows in one place.
+    Counts of 65,536 equal ranges of the hash say in which range the n-th
+    smallest lies. Rows below that range are taken by a filter, and only the
+    rows of that one range are ranked, so no task sees n rows.
     """
-    if n <= top:
-        return df.orderBy(keyed_hash(key, seed), col(key)).limit(n)
-    ranked = ordered(df.withColumn("_h", keyed_hash(key, seed)), [], "_h", cell=32768.0, ties=[key], index="_rank")
-    return ranked.where(F.col("_rank") <= n).drop("_h", "_rank")
+    hashed = df.withColumn("_h", keyed_hash(key, seed)).withColumn("_b", F.shiftright("_h", 44))
+    counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_m"))
+    upto = counts.withColumn("_end", F.sum("_m").over(W.orderBy("_b")))  # one row per range
+    last = upto.where(F.col("_end") >= n).agg(F.min(F.struct("_b", (F.col("_end") - F.col("_m")).alias("before")))).scalar()
+    marked = hashed.withColumn("_last", last)
+    below = marked.where(F.col("_last").isNull() | (F.col("_b") < F.col("_last._b")))
+    edge = (marked.where(F.col("_b") == F.col("_last._b")).withColumn("_rank", F.row_number().over(W.partitionBy("_b").orderBy("_h", col(key))))
+            .where(F.col("_rank") <= n - F.col("_last.before")))
+    return below.select(*[col(c) for c in df.columns]).unionByName(edge.select(*[col(c) for c in df.columns]))
 
 
 def sample_with_replacement(df: DataFrame, n: int, key: str, seed: int = 0, cell: float = 1e5) -> DataFrame:
@@ -53,7 +59,7 @@ def with_split(df: DataFrame, key: str, test: float = 0.3, val: float = 0.0, see
     """Add ``split``: test, val (a share of what is not test) or train."""
     label = F.when(uniform(key, seed) < test, "test")
     if val:
-        label = label.when(uniform(key, seed + 1) < val, "val")
+        label = label.when(uniform(key, f"{seed}/val") < val, "val")
     return df.withColumn("split", label.otherwise("train"))
 
 

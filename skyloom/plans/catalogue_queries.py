@@ -247,7 +247,7 @@ def _(spark, d):
 def _(spark, d):
     scores = A.sweep_marginals(table(spark, d, "lineitem").withColumn("key", F.struct("l_linenumber", "l_returnflag")), "key", ["l_discount"])
     flat = scores.select("key.*", F.col("l_discount").alias("score"))
-    return rounded(A.pivot_scores(flat, "l_linenumber", "l_returnflag", values=["A", "N", "R"]))
+    return rounded(A.pivot_scores(flat, "l_linenumber", "l_returnflag"))
 
 
 # --- windows -------------------------------------------------------------
@@ -318,7 +318,7 @@ def _(spark, d):
 
 @query("smp2_exact_n", f"SELECT o_orderkey FROM orders ORDER BY {keyed_hash_sql('o_orderkey', 6)}, o_orderkey LIMIT 500")
 def _(spark, d):
-    return P.sample_n(table(spark, d, "orders"), 500, "o_orderkey", 6).select("o_orderkey")
+    return P.sample_n(table(spark, d, "orders").select("o_orderkey"), 500, "o_orderkey", 6)
 
 
 @query("smp3_with_replacement", f"""SELECT CAST(draw AS BIGINT) AS draw, o_orderkey FROM (SELECT range AS draw, CAST(floor({uniform_sql('range', 7)}
@@ -335,16 +335,16 @@ def _(spark, d):
 
 
 @query("smp5_split", f"""SELECT o_orderkey, CASE WHEN {uniform_sql('o_orderkey', 1)} < 0.3 THEN 'test'
-    WHEN {uniform_sql('o_orderkey', 2)} < 0.2 THEN 'val' ELSE 'train' END AS split FROM orders""")
+    WHEN {uniform_sql('o_orderkey', '1/val')} < 0.2 THEN 'val' ELSE 'train' END AS split FROM orders""")
 def _(spark, d):
     return P.with_split(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.3, 0.2, 1)
 
 
-@query("set1_union_all", """SELECT o_orderkey, 'F' AS class FROM orders WHERE o_orderstatus = 'F' UNION ALL
-    SELECT o_orderkey, 'O' FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'P' FROM orders WHERE o_orderstatus = 'P'""")
+@query("set1_union_all", """SELECT c_custkey AS id, c_nationkey AS nation, 'customer' AS class FROM customer UNION ALL
+    SELECT s_suppkey, s_nationkey, 'supplier' FROM supplier""")
 def _(spark, d):
-    orders = table(spark, d, "orders")
-    return L.combine({c: orders.where(F.col("o_orderstatus") == c).select("o_orderkey") for c in ("F", "O", "P")})
+    return L.combine({"customer": table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation")),
+                      "supplier": table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"))})
 
 
 @query("set4_distinct_labels", "SELECT DISTINCT o_orderpriority FROM orders ORDER BY 1")
@@ -483,7 +483,10 @@ def _grid_sql(select, groups="by_", bins=24):
 _RAY_BIN = "CAST(ceil(x / (CAST(1 AS DOUBLE) / 24)) AS INT)"
 
 
-@query("bin2_histogram_sum", with_sql({"r": RAYS_SQL, "s": f"SELECT model_id, {_RAY_BIN} AS bin, sum(intensity) AS total FROM r WHERE x > 0 AND x <= 1 GROUP BY 1, 2"},
+_FIRST_BIN = f"greatest(1, {_RAY_BIN})"  # the lower limit belongs to the first bin of a sum
+
+
+@query("bin2_histogram_sum", with_sql({"r": RAYS_SQL, "s": f"SELECT model_id, {_FIRST_BIN} AS bin, sum(intensity) AS total FROM r WHERE x >= 0 AND x <= 1 GROUP BY 1, 2"},
        _grid_sql("model_id, bin, round((bin - 0.5) * (1::DOUBLE / 24), 9) AS centre, coalesce(total, 0) AS total")))
 def _(spark, d):
     out = B.histogram_sum(rays(spark, d), "x", "intensity", 0.0, 1.0, 24, ["model_id"])
@@ -497,8 +500,8 @@ def _(spark, d):
     return rounded(rounded(out, 9, ["centre"]), 6, ["mean"])
 
 
-@query("bin4_ratio", with_sql({"r": RAYS_SQL, "s": f"""SELECT model_id, {_RAY_BIN} AS bin, sum(phase_weight) AS a, sum(intensity) AS b FROM r
-       WHERE x > 0 AND x <= 1 GROUP BY 1, 2"""}, _grid_sql("""model_id, bin, round((bin - 0.5) * (1::DOUBLE / 24), 9) AS centre,
+@query("bin4_ratio", with_sql({"r": RAYS_SQL, "s": f"""SELECT model_id, {_FIRST_BIN} AS bin, sum(phase_weight) AS a, sum(intensity) AS b FROM r
+       WHERE x >= 0 AND x <= 1 GROUP BY 1, 2"""}, _grid_sql("""model_id, bin, round((bin - 0.5) * (1::DOUBLE / 24), 9) AS centre,
        round(coalesce(a, 0) / CASE WHEN coalesce(b, 0) = 0 THEN 1 ELSE b END, 6) AS ratio""")))
 def _(spark, d):
     out = B.binned_ratio(rays(spark, d), "x", "phase_weight", "intensity", 0.0, 1.0, 24, ["model_id"])
@@ -506,8 +509,8 @@ def _(spark, d):
 
 
 @query("bin5_transfer_function", with_sql({"r": RAYS_SQL, "s": """SELECT bin, (bin - 0.5) * (30::DOUBLE / 60) AS centre, coalesce(total, 0) AS total FROM
-       (SELECT CAST(range AS INT) AS bin FROM range(1, 61)) LEFT JOIN (SELECT CAST(ceil(delay / 0.5) AS INT) AS bin, sum(intensity) AS total FROM r
-       WHERE delay > 0 AND delay <= 30 GROUP BY 1) USING (bin)"""}, """SELECT bin, centre, round(total / (SELECT max(total) FROM s), 9) AS psi,
+       (SELECT CAST(range AS INT) AS bin FROM range(1, 61)) LEFT JOIN (SELECT greatest(1, CAST(ceil(delay / 0.5) AS INT)) AS bin, sum(intensity) AS total FROM r
+       WHERE delay >= 0 AND delay <= 30 GROUP BY 1) USING (bin)"""}, """SELECT bin, centre, round(total / (SELECT max(total) FROM s), 9) AS psi,
        round((SELECT sum(centre * total) / sum(total) FROM s), 6) AS mean_delay FROM s"""))
 def _(spark, d):
     out = B.transfer_function(rays(spark, d), "delay", "intensity", 60, 30.0)
@@ -557,7 +560,7 @@ def _(spark, d):
 # --- designs -------------------------------------------------------------
 
 @query("gen1_uniform_design", "SELECT o_orderkey, " + ", ".join(
-    f'round({lo} + {hi - lo} * {uniform_sql("o_orderkey", 20 + k)}, 6) AS "{name}"' for k, (name, (lo, hi)) in enumerate(S.PARAMETER_RANGES.items()))
+    f'round({lo} + {hi - lo} * {uniform_sql("o_orderkey", f"20/{name}")}, 6) AS "{name}"' for name, (lo, hi) in S.PARAMETER_RANGES.items())
     + " FROM orders")
 def _(spark, d):
     return rounded(D.uniform_design(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", seed=20))
@@ -566,18 +569,20 @@ def _(spark, d):
 _GRID_RANGES = {"i": (0.0, 90.0), "pa": (0.0, 360.0), "Mfac": (0.05, 5.0)}
 
 
-@query("gen2_grid_design", """WITH n AS (SELECT max(p) AS p FROM (SELECT range AS p FROM range(1, 2000)) WHERE p * p * p <= (SELECT count(*) FROM orders))
-    SELECT CAST(id AS BIGINT) AS grid_id, round(90 * CAST(id // (p * p) AS DOUBLE) / (p - 1), 6) AS i, round(360 * CAST(id // p % p AS DOUBLE) / (p - 1), 6) AS pa,
-    round(0.05 + 4.95 * CAST(id % p AS DOUBLE) / (p - 1), 6) AS "Mfac" FROM n, (SELECT unnest(range(p * p * p)) AS id FROM n)""")
+@query("gen2_grid_design", """WITH n AS (SELECT max(p) AS p FROM (SELECT range AS p FROM range(1, 2000)) WHERE p * p * p <= (SELECT count(*) FROM orders)),
+    g AS (SELECT o_orderkey, o_orderkey % (p * p * p) AS id, p FROM orders, n)
+    SELECT o_orderkey, id AS grid_id, round(90 * CAST(id // (p * p) AS DOUBLE) / (p - 1), 6) AS i, round(360 * CAST(id // p % p AS DOUBLE) / (p - 1), 6) AS pa,
+    round(0.05 + 4.95 * CAST(id % p AS DOUBLE) / (p - 1), 6) AS "Mfac" FROM g""")
 def _(spark, d):
-    return rounded(D.grid_design(spark, table(spark, d, "orders").count(), _GRID_RANGES))
+    orders = table(spark, d, "orders").select("o_orderkey")
+    n = orders.count()
+    points = D.points_per_axis(n, len(_GRID_RANGES)) ** len(_GRID_RANGES)
+    placed = orders.withColumn("grid_id", F.col("o_orderkey") % F.lit(points))
+    return rounded(placed.join(D.grid_design(spark, n, _GRID_RANGES), "grid_id"))
 
 
 @query("jn10_param_grid", """WITH s AS (SELECT DISTINCT o_orderstatus AS status FROM orders), p AS (SELECT DISTINCT o_orderpriority AS priority FROM orders)
     SELECT status, priority, c AS "C" FROM s, p, (SELECT unnest([0.1::DOUBLE, 0.5, 1, 2, 3, 4, 5]) AS c)""")
 def _(spark, d):
-    orders = table(spark, d, "orders")
-    axes = {"status": [r[0] for r in L.distinct_labels(orders, "o_orderstatus").collect()],
-            "priority": [r[0] for r in L.distinct_labels(orders, "o_orderpriority").collect()],
-            "C": [0.1, 0.5, 1.0, 2.0, 3.0, 4.0, 5.0]}
-    return D.param_grid(spark, axes).drop("grid_id")
+    labels = table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    return D.label_grid(labels, {"C": [0.1, 0.5, 1.0, 2.0, 3.0, 4.0, 5.0]})

@@ -114,10 +114,10 @@ def _(spark, d):
     return L.combine([retrieval_manifest(cat), retrieval_manifest(cat, "spectrum"), retrieval_manifest(cat, "spectrum", "csv")])
 
 
-@query("snk2_write_by_class", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
+@query("snk2_write_by_class", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
 def _(spark, d):
     path = O.write_by_class(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), scratch_path(spark, "by_class"), "o_orderstatus")
-    return spark.read.parquet(path).where("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice")
+    return spark.read.parquet(path).select("o_orderkey", "o_totalprice", "o_orderstatus")
 
 
 @query("snk3_save_and_load_clusters", """SELECT label AS cluster, count(*) AS n, round(avg(c), 6) AS centre FROM embeddings

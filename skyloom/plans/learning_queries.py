@@ -383,7 +383,5 @@ def _(spark, d):
 
 @query("set3_sweep_table", """SELECT l_linenumber AS "C", l_returnflag AS file, round(avg(l_discount), 6) AS score FROM lineitem GROUP BY 1, 2""")
 def _(spark, d):
-    line = table(spark, d, "lineitem")
-    frames = [line.where(F.col("l_linenumber") == c).groupBy(F.col("l_returnflag").alias("file")).agg(F.round(F.avg("l_discount"), 6).alias("score"))
-              .select(F.lit(c).cast("int").alias("C"), "file", "score") for c in range(1, 8)]
-    return L.combine(frames)
+    return rounded(table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("C"), F.col("l_returnflag").alias("file"))
+                   .agg(F.avg("l_discount").alias("score")))

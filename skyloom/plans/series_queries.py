@@ -275,11 +275,11 @@ def _(spark, d):
 
 # --- profiles ---------------------------------------------------------------------------
 
-BINS = 24
-_STEP = "(CAST(1 AS DOUBLE) / 24)"
+BINS = 100
+_STEP = f"(CAST(1 AS DOUBLE) / {BINS})"
 PROFILES = {
     "r": RAYS_SQL,
-    "b": f"SELECT model_id, CAST(ceil(x / {_STEP}) AS INT) AS bin, sum(intensity) AS f, sum(phase_weight) AS p FROM r WHERE x > 0 AND x <= 1 GROUP BY 1, 2",
+    "b": f"SELECT model_id, greatest(1, CAST(ceil(x / {_STEP}) AS INT)) AS bin, sum(intensity) AS f, sum(phase_weight) AS p FROM r WHERE x >= 0 AND x <= 1 GROUP BY 1, 2",
     "filled": f"SELECT model_id, bin, (0.95 + 0.1 * ((bin - 0.5) * {_STEP}) - 1) * 300000 AS v, coalesce(f, 0) AS f, coalesce(p, 0) / CASE WHEN coalesce(f, 0) = 0 THEN 1 ELSE f END AS phase "
             f"FROM (SELECT DISTINCT model_id FROM r) CROSS JOIN (SELECT CAST(range AS INT) AS bin FROM range(1, {BINS + 1})) LEFT JOIN b USING (model_id, bin)",
     "prof": "SELECT model_id, bin, v, phase, f / max(f) OVER (PARTITION BY model_id) AS lp FROM filled",
@@ -287,11 +287,8 @@ PROFILES = {
 
 
 def profiles(spark, d):
-    points = rays(spark, d)
-    flux = B.histogram_sum(points, "x", "intensity", 0.0, 1.0, BINS, ["model_id"]).withColumnRenamed("total", "flux")
-    phase = B.binned_ratio(points, "x", "phase_weight", "intensity", 0.0, 1.0, BINS, ["model_id"]).select("model_id", "bin", F.col("ratio").alias("phase"))
-    v = (0.95 + 0.1 * F.col("centre") - 1) * 300000
-    both = flux.join(phase, ["model_id", "bin"]).withColumn("v", v)
+    sums = B.histogram_sums(rays(spark, d), "x", {"flux": "intensity", "_p": "phase_weight"}, 0.0, 1.0, BINS, ["model_id"])
+    both = sums.withColumns({"phase": B.safe_ratio("_p", "flux"), "v": (0.95 + 0.1 * F.col("centre") - 1) * 300000})
     return Q.normalise_profiles(both, ["model_id"]).select("model_id", "bin", "v", "phase", "lp")
 
 
@@ -299,7 +296,7 @@ def profiles(spark, d):
        "pk": "SELECT model_id, arg_max(bin, (lp, -bin)) AS peak, min(CASE WHEN lp > 0 THEN bin END) AS lo, max(CASE WHEN lp > 0 THEN bin END) AS hi FROM prof GROUP BY 1",
        "ri": """SELECT p.model_id, abs(p.bin - peak) AS dist, least(peak - lo, hi - peak) AS reach, q.lp > p.lp AS rise FROM prof p JOIN pk USING (model_id)
        JOIN prof q ON q.model_id = p.model_id AND ((p.bin <= peak AND q.bin = p.bin - 1) OR (p.bin >= peak AND q.bin = p.bin + 1))"""},
-       """SELECT model_id, NOT dbl AS "singlePeak", dbl AS "doublePeak" FROM (SELECT model_id, coalesce(bool_or(rise AND dist < reach), false) AS dbl FROM pk LEFT JOIN ri USING (model_id) GROUP BY 1)"""))
+       """SELECT model_id, NOT dbl AS "singlePeak", dbl AS "doublePeak" FROM (SELECT model_id, coalesce(bool_or(rise AND dist >= 1 AND dist < reach - 1), false) AS dbl FROM pk LEFT JOIN ri USING (model_id) GROUP BY 1)"""))
 def _(spark, d):
     return Q.tag_profiles(profiles(spark, d), ["model_id"], BINS)
 

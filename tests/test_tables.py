@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,13 +59,13 @@ def test_bins_clamp_the_maximum_and_centre_constants(spark):
     assert {r.c for r in rows} == {3}
 
 
-def test_histogram_is_open_below_and_keeps_empty_bins(spark):
+def test_histogram_takes_both_limits_and_keeps_empty_bins(spark):
     df = spark.createDataFrame([(0.0, 1.0), (0.5, 2.0), (1.0, 4.0), (3.0, 8.0), (9.0, 16.0)], "x double, w double")
     rows = {r.bin: r.total for r in B.histogram_sum(df, "x", "w", 0.0, 4.0, 4).collect()}
-    assert rows == {1: 6.0, 2: 0.0, 3: 8.0, 4: 0.0}
-    assert sum(rows.values()) == 14.0
+    assert rows == {1: 7.0, 2: 0.0, 3: 8.0, 4: 0.0}
+    assert sum(rows.values()) == 15.0
     mean = {r.bin: r["mean"] for r in B.binned_weighted_mean(df, "x", "x", "w", 0.0, 4.0, 4).collect()}
-    assert mean[2] is None and mean[3] == 3.0
+    assert mean[1] == pytest.approx(5 / 6) and mean[2] is None and mean[3] == 3.0  # a mean leaves the lower limit out
     assert {r.bin: r.ratio for r in B.binned_ratio(df, "x", "w", "w", 0.0, 4.0, 4).collect()}[2] == 0.0
 
 
@@ -110,10 +111,15 @@ def test_rules_match_brute_force_and_fp_growth(spark):
         assert got == want
 
 
-def test_too_long_baskets_are_refused(spark):
-    df = spark.createDataFrame([([str(k) for k in range(20)],)], "items array<string>")
-    with pytest.raises(Exception, match="too long"):
-        K.association_rules(df).collect()
+def test_long_baskets_have_exact_rules(spark):
+    rng = random.Random(9)
+    baskets = [[f"i{k:02d}" for k in range(40) if rng.random() < (0.9 if k < 4 else 0.3)] for _ in range(60)] + [[f"i{k:02d}" for k in range(40)], []]
+    df = spark.createDataFrame([(b,) for b in baskets], "items array<string>")
+    got = {(r.antecedent, r.consequent): r["count"] for r in K.association_rules(df, 0.3, 0.2).where("NOT antecedent LIKE '%,%'").collect()}
+    names = sorted({x for b in baskets for x in b})
+    want = {(x, y): n for x in names for y in names if x != y and (n := sum(x in b and y in b for b in baskets)) >= 0.3 * len(baskets)
+            and n / sum(x in b for b in baskets) >= 0.2}
+    assert got == want and max(map(len, baskets)) == 40
 
 
 def test_recommendations_are_ordered_and_skip_purchases(spark):
@@ -170,7 +176,9 @@ def test_quantiles_are_exact_with_repeats_and_outliers(spark):
 def test_samples_and_splits(spark):
     df = spark.range(5000).withColumn("class", F.when(F.col("id") % 3 == 0, "x").otherwise("y"))
     assert P.sample_n(df, 700, "id", 1).count() == 700
-    assert {r.id for r in P.sample_n(df, 700, "id", 1, top=10).collect()} == {r.id for r in P.sample_n(df, 700, "id", 1).collect()}
+    ranked = df.withColumn("h", X.keyed_hash("id", 1)).orderBy("h", "id").limit(700)
+    assert {r.id for r in P.sample_n(df, 700, "id", 1).collect()} == {r.id for r in ranked.collect()}
+    assert P.sample_n(df, 5000, "id", 1).count() == P.sample_n(df, 9999, "id", 1).count() == 5000 and P.sample_n(df, 0, "id", 1).count() == 0
     drawn = P.sample_with_replacement(df, 5000, "id", 2, cell=500.0).collect()
     assert len(drawn) == 5000 and 2900 < len({r.id for r in drawn}) < 3400
     parts = P.split(df, "id", 0.3, 0.2, 5)
@@ -179,6 +187,28 @@ def test_samples_and_splits(spark):
     assert {r["class"]: r["count"] for r in P.sample_class(df, 20, "id").groupBy("class").count().collect()} == {"x": 20, "y": 20}
 
 
+def test_streams_are_unrelated(spark):
+    names = ["a/0", "a/1", 7, 8, "8/val"]
+    x = np.array(spark.range(30000).select(*[X.uniform("id", n) for n in names], X.gaussian("id", 7)).collect())
+    for i in range(len(names)):
+        for j in range(len(names)):
+            for lag in (0, 1, 7919, 12081) if i != j else (1, 7919):
+                a, b = x[lag:, i], x[:len(x) - lag, j]
+                assert abs(np.corrcoef(a, b)[0, 1]) < 5 / np.sqrt(len(a)) and not (a == b).any()
+    assert abs(x[:, :5].mean() - 0.5) < 0.005 and abs(x[:, 5].mean()) < 0.03 and abs(x[:, 5].std() - 1) < 0.03
+    cells = np.histogram2d(x[:, 2] < 0.3, x[:, 3] < 0.2, bins=2)[0]
+    expected = np.outer(cells.sum(1), cells.sum(0)) / cells.sum()
+    assert ((cells - expected) ** 2 / expected).sum() < 15
+
+
+def test_hashes_reach_beyond_31_bits(spark):
+    keys = spark.range(20000)
+    row = keys.select(F.max(X.keyed_hash("id", 1)), F.count_distinct(X.keyed_hash("id", 1))).first()
+    assert 2 ** 59 < row[0] < 2 ** 60 and row[1] == 20000
+    far = spark.createDataFrame([(5,), (2 ** 31 + 4,), (2 ** 62,), (-5,), (None,)], "id long").select(X.uniform("id", 0)).collect()
+    assert len({r[0] for r in far}) == 5 and all(0 < r[0] < 1 for r in far)
+
+
 def test_scaling_of_constant_columns(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, c double")
     assert [tuple(r) for r in Z.scale_minmax(df, ["a", "c"]).orderBy("a").collect()] == [(0.0, 0.0), (1.0, 0.0)]
