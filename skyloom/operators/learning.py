@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.feature import IndexToString, PolynomialExpansion, StringIndexer
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -93,7 +95,11 @@ def logistic(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str,
 
 def decision_tree(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, max_depth: int = 30,
                   max_bins: int = 256, seed: int = 0):
-    """Gini decision tree grown to purity within ``max_depth``; thresholds are bin edges."""
+    """Gini decision tree grown to purity within ``max_depth``.
+
+    An approximation: thresholds are the edges of ``max_bins`` bins, and 30 is
+    the greatest depth that Spark ML has.
+    """
     return _fit_predict(train, test, cols, label, lambda n: DecisionTreeClassifier(
         impurity="gini", maxDepth=max_depth, maxBins=max_bins, seed=seed, featuresCol="features", labelCol="_y",
         predictionCol="_p"), standardise=False)
@@ -101,7 +107,7 @@ def decision_tree(train: DataFrame, test: DataFrame, cols: Sequence[str], label:
 
 def random_forest(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, trees: int = 100,
                   max_depth: int = 30, max_bins: int = 256, seed: int = 0):
-    """Random forest; returns (model, predictions, importance per feature)."""
+    """Random forest with the limits of ``decision_tree``; returns (model, predictions, importance per feature)."""
     model, scored, _ = _fit_predict(train, test, cols, label, lambda n: RandomForestClassifier(
         numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=max_depth, maxBins=max_bins, seed=seed,
         featuresCol="features", labelCol="_y", predictionCol="_p"), standardise=False)
@@ -153,11 +159,13 @@ def fourier_features(df: DataFrame, cols: Sequence[str], gamma: float, size: int
 
 
 def svm(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, kernel: str = "rbf", C: float = 1.0,
-        degree: int = 3, gamma: float | None = None, max_iter: int = 100, size: int = 128, seed: int = 0):
+        degree: int = 3, gamma: float | None = None, max_iter: int = 100, tol: float = 1e-3, size: int = 128, seed: int = 0):
     """Support vector classifier, one class against the rest.
 
-    ``linear`` is exact, ``poly`` expands the monomials up to ``degree``, ``rbf``
-    uses random Fourier features with gamma 1 / p unless given.
+    ``linear`` fits hyperplanes, ``poly`` expands the monomials up to
+    ``degree``, ``rbf`` uses random Fourier features with gamma 1 / p unless
+    given. The machines of the classes are fitted side by side over one cached
+    frame.
     """
     expand = None
     if kernel == "poly":
@@ -173,7 +181,7 @@ def svm(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, kern
         raise ValueError(f"unknown kernel {kernel}")
 
     def make(n: int):
-        return _OneAgainstRest(LinearSVC(regParam=1.0 / (C * n), standardization=False, maxIter=max_iter,
+        return _OneAgainstRest(LinearSVC(regParam=1.0 / (C * n), standardization=False, maxIter=max_iter, tol=tol,
                                          featuresCol="features", labelCol="_hit", predictionCol="_ignored"))
 
     return _fit_predict(train, test, cols, label, make, standardise=True, expand=expand)[:2]
@@ -191,7 +199,9 @@ class _OneAgainstRest:
 
     def fit(self, ready: DataFrame) -> "_OneAgainstRest":
         classes = int(ready.agg(F.max("_y")).first()[0]) + 1
-        self.models = [self.machine.fit(ready.withColumn("_hit", (F.col("_y") == c).cast("double"))) for c in range(classes)]
+        fit = inheritable_thread_target(ready.sparkSession)(lambda c: self.machine.fit(ready.withColumn("_hit", (F.col("_y") == c).cast("double"))))
+        with ThreadPoolExecutor(min(classes, 8)) as pool:
+            self.models = list(pool.map(fit, range(classes)))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -209,11 +219,11 @@ def linear_svr(train: DataFrame, test: DataFrame, cols: Sequence[str], target: s
     """Linear support vector regression after standardising.
 
     Minimises |w|^2 / 2 + C sum max(0, |y - w x - b| - epsilon) by iteratively
-    reweighted least squares. Each step is one aggregate of the weighted
-    normal equations over the cached rows; p (p + 3) / 2 numbers come back.
-    Every step starts from the same cached frame, so the lineage stays flat.
+    reweighted least squares. In each step a task turns its Arrow batches into
+    one sum of the weighted normal equations, Spark adds the sums up, and
+    p (p + 1) numbers come back. Every step starts from the same cached frame,
+    so the lineage stays flat.
     """
-    spark = train.sparkSession
     train, test = scale_standard(train, cols, fit_on=train), scale_standard(test, cols, fit_on=train)
     names = [*cols, None]  # None is the constant 1
     p = len(names)
@@ -221,32 +231,38 @@ def linear_svr(train: DataFrame, test: DataFrame, cols: Sequence[str], target: s
     def value(name: str | None) -> Column:
         return F.lit(1.0) if name is None else col(name)
 
-    ready = train.select(*[col(c).cast("double").alias(c) for c in cols], col(target).cast("double").alias("_y")).persist()
+    def equations(weights: np.ndarray, floor: float):
+        def run(batches):
+            import numpy as np
+            import pandas as pd
+
+            total = np.zeros((p, p + 1))
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                x, y = np.column_stack([np.vstack(pdf["x"].to_numpy()), np.ones(len(pdf))]), pdf["_y"].to_numpy()
+                residual = y - x @ weights
+                slack = np.abs(residual) - epsilon
+                factor = np.where(slack > 0, C / np.maximum(slack, floor), 0.0)
+                weighted = x * factor[:, None]
+                total[:, :p] += weighted.T @ x
+                total[:, p] += weighted.T @ (y - np.sign(residual) * epsilon)
+            yield pd.DataFrame({"k": np.arange(p * (p + 1)), "g": total.ravel()})
+        return run
+
+    ready = train.select(F.array(*[col(c).cast("double") for c in cols]).alias("x"), col(target).cast("double").alias("_y")).persist()
     try:
+        start = ready.agg(F.percentile_approx("_y", 0.5), F.stddev_pop("_y")).first()
         weights = np.zeros(p)
-        weights[-1] = ready.agg(F.percentile_approx("_y", 0.5)).first()[0]
-        floor = 1e-6 * (ready.agg(F.stddev_pop("_y")).first()[0] or 1.0)
+        weights[-1] = start[0]
+        floor = 1e-6 * (start[1] or 1.0)
         for _ in range(max_iter):
-            # as a scalar subquery the weights are data, not constants, so all steps share one compiled plan
-            current = spark.createDataFrame([tuple(map(float, weights))], ", ".join(f"w{k} double" for k in range(p)))
-            held = ready.withColumn("_w", current.agg(F.first(F.struct(*current.columns))).scalar())
-            fitted = add(F.col("_w").getField(f"w{k}") * value(c) for k, c in enumerate(names))
-            residual = F.col("_y") - fitted
-            slack = F.abs(residual) - F.lit(float(epsilon))
-            shift = F.col("_y") - F.signum(residual) * F.lit(float(epsilon))
-            factor = F.when(slack > 0, F.lit(float(C)) / F.greatest(slack, F.lit(float(floor)))).otherwise(F.lit(0.0))
-            step = held.withColumns({"_f": factor, "_t": shift})
-            row = step.agg(
-                *[F.sum(F.col("_f") * value(names[i]) * value(names[j])).alias(f"m{i}_{j}") for i in range(p) for j in range(i, p)],
-                *[F.sum(F.col("_f") * value(names[i]) * F.col("_t")).alias(f"r{i}") for i in range(p)]).first()
-            matrix, right = np.eye(p), np.zeros(p)
-            for i in range(p):
-                right[i] = row[f"r{i}"]
-                for j in range(i, p):
-                    matrix[i, j] += row[f"m{i}_{j}"]
-                    if i != j:
-                        matrix[j, i] = matrix[i, j]
-            updated = np.linalg.solve(matrix, right)
+            sums = ready.mapInPandas(equations(weights, floor), "k long, g double").groupBy("k").agg(F.sum("g").alias("g"))
+            flat = np.zeros(p * (p + 1))
+            for row in sums.collect():  # p (p + 1) rows
+                flat[row["k"]] = row["g"]
+            flat = flat.reshape(p, p + 1)
+            updated = np.linalg.solve(np.eye(p) + flat[:, :p], flat[:, p])
             change = np.abs(updated - weights).max()
             weights = updated
             if change <= tol * max(1.0, np.abs(weights).max()):
@@ -260,14 +276,19 @@ def linear_svr(train: DataFrame, test: DataFrame, cols: Sequence[str], target: s
 # --- sweeps ------------------------------------------------------------------
 
 def sweep(fit: Callable[..., float | Mapping[str, float]], grid: Iterable[Mapping[str, object]],
-          datasets: Mapping[str, object], schema: str) -> DataFrame:
+          datasets: Mapping[str, object], schema: str, at_once: int = 8) -> DataFrame:
     """Run ``fit(dataset, **point)`` for every grid point and data set; one row of settings and scores each.
 
-    Every fit is a distributed job of its own; the driver keeps one row per fit.
+    Every fit is a distributed job of its own, ``at_once`` of them side by side;
+    the driver keeps one row per fit.
     """
-    rows = []
-    for name, data in datasets.items():
-        for point in grid:
-            scores = fit(data, **point)
-            rows.append({"file": name, **point, **(scores if isinstance(scores, Mapping) else {"score": scores})})
+    points = [(name, data, point) for name, data in datasets.items() for point in grid]
+
+    def run(task) -> dict:
+        name, data, point = task
+        scores = fit(data, **point)
+        return {"file": name, **point, **(scores if isinstance(scores, Mapping) else {"score": scores})}
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(inheritable_thread_target(SparkSession.active())(run), points))
     return SparkSession.active().createDataFrame(rows, schema)

@@ -26,14 +26,16 @@ def _initial(sizes: Sequence[int], seed: int) -> np.ndarray:
 
 
 def mlp_regress(train: DataFrame, test: DataFrame, cols: Sequence[str], target: str, *, weight_power: int = 0,
-                layers: int = 2, width: int = 4, steps: int = 100, rate: float = 0.001, seed: int = 0,
+                layers: int = 2, width: int = 4, epochs: int = 100, batch: int = 32, rate: float = 0.001, seed: int = 0,
                 val: DataFrame | None = None):
     """Weighted mean-absolute-error regression with ReLU layers and Adam.
 
-    Synchronous data-parallel training: one step sends the current weights to
-    every partition, Arrow batches are turned into one gradient sum per
-    partition, Spark adds those up by weight index, and the update is applied
-    to the (model-sized) result. Returns (weights, scored test rows, history).
+    Data-parallel training by averaging: in each epoch every partition starts
+    from the current weights and moments, takes one Adam step per ``batch`` of
+    its rows, and returns what it arrived at; Spark averages that by row count,
+    index by index, so model-sized sums are all that moves. Returns (weights,
+    scored test rows, history of the loss while training by epoch; -1 is the
+    loss on ``val``).
     """
     sizes = _layer_sizes(len(cols), layers, width)
     flat = _initial(sizes, seed)
@@ -43,44 +45,57 @@ def mlp_regress(train: DataFrame, test: DataFrame, cols: Sequence[str], target:
         return scaled.select(F.array(*[col(c).cast("float") for c in cols]).alias("x"), "_y",
                              F.pow("_y", F.lit(float(weight_power))).alias("w"))
 
-    def gradient(parameters):
+    def pieces(parameters):
+        shaped, at = [], 0
+        for a, b in zip(sizes[:-1], sizes[1:]):
+            shaped.append((parameters[at:at + a * b].reshape(a, b), parameters[at + a * b:at + a * b + b]))
+            at += a * b + b
+        return shaped
+
+    def gradient(parameters, x, y, w):
+        """Loss and gradient, summed over the rows."""
+        shaped, h, seen = pieces(parameters), x, [x]
+        for k, (m, b) in enumerate(shaped):
+            h = h @ m + b
+            if k < len(shaped) - 1:
+                h = np.maximum(h, 0.0)
+            seen.append(h)
+        miss = h[:, 0] - y
+        delta, parts = (w * np.sign(miss))[:, None], []
+        for k in range(len(shaped) - 1, -1, -1):
+            parts[:0] = [(seen[k].T @ delta).ravel(), delta.sum(axis=0)]
+            if k:
+                delta = (delta @ shaped[k][0].T) * (seen[k] > 0)
+        return float((w * np.abs(miss)).sum()), np.concatenate(parts)
+
+    def epoch(state, done, learn):
         def run(batches):
             import numpy as np
             import pandas as pd
 
-            shaped, at = [], 0
-            for a, b in zip(sizes[:-1], sizes[1:]):
-                shaped.append((parameters[at:at + a * b].reshape(a, b), parameters[at + a * b:at + a * b + b]))
-                at += a * b + b
-            total = np.zeros(len(parameters) + 2)
+            (p, m, v), loss, rows, t = state.copy(), 0.0, 0, done
             for pdf in batches:
                 if pdf.empty:
                     continue
-                h = np.vstack(pdf["x"].to_numpy()).astype("float64")
-                y, w = pdf["_y"].to_numpy(), pdf["w"].to_numpy()
-                seen = [h]
-                for k, (m, b) in enumerate(shaped):
-                    h = h @ m + b
-                    if k < len(shaped) - 1:
-                        h = np.maximum(h, 0.0)
-                    seen.append(h)
-                miss = seen[-1][:, 0] - y
-                delta = (w * np.sign(miss))[:, None]
-                pieces = []
-                for k in range(len(shaped) - 1, -1, -1):
-                    pieces[:0] = [(seen[k].T @ delta).ravel(), delta.sum(axis=0)]
-                    if k:
-                        delta = (delta @ shaped[k][0].T) * (seen[k] > 0)
-                total[:-2] += np.concatenate(pieces)
-                total[-2] += float((w * np.abs(miss)).sum())
-                total[-1] += len(y)
-            yield pd.DataFrame({"k": np.arange(len(total)), "g": total})
+                x, y, w = np.vstack(pdf["x"].to_numpy()).astype("float64"), pdf["_y"].to_numpy(), pdf["w"].to_numpy()
+                for at in range(0, len(y), batch if learn else len(y)):
+                    n = min(batch, len(y) - at) if learn else len(y)
+                    part, g = gradient(p, x[at:at + n], y[at:at + n], w[at:at + n])
+                    loss, rows = loss + part, rows + n
+                    if learn:
+                        t += 1
+                        g = g / n
+                        m = 0.9 * m + 0.1 * g
+                        v = 0.999 * v + 0.001 * g * g
+                        p = p - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-7)
+            out = np.concatenate([rows * p, rows * m, rows * v, [loss, rows, rows * (t - done)]])
+            yield pd.DataFrame({"k": np.arange(len(out)), "g": out})
         return run
 
-    def summed(frame: DataFrame, parameters: np.ndarray) -> np.ndarray:
-        sums = frame.mapInPandas(gradient(parameters), "k long, g double").groupBy("k").agg(F.sum("g").alias("g"))
-        out = np.zeros(len(parameters) + 2)
-        for row in sums.collect():  # one row per weight of the model
+    def summed(frame: DataFrame, state: np.ndarray, done: int, learn: bool) -> np.ndarray:
+        sums = frame.mapInPandas(epoch(state, done, learn), "k long, g double").groupBy("k").agg(F.sum("g").alias("g"))
+        out = np.zeros(state.size + 3)
+        for row in sums.collect():  # a few numbers per weight of the model
             out[row["k"]] = row["g"]
         return out
 
@@ -88,18 +103,17 @@ def mlp_regress(train: DataFrame, test: DataFrame, cols: Sequence[str], target:
     held = prepare(val).persist() if val is not None else None
     history = []
     try:
-        first, second = np.zeros_like(flat), np.zeros_like(flat)
-        for step in range(1, steps + 1):
-            got = summed(ready, flat)
-            count = max(got[-1], 1.0)
-            g = got[:-2] / count
-            first = 0.9 * first + 0.1 * g
-            second = 0.999 * second + 0.001 * g * g
-            flat = flat - rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-7)
-            history.append((step, float(got[-2] / count)))
+        state, done = np.stack([flat, np.zeros_like(flat), np.zeros_like(flat)]), 0
+        for number in range(1, epochs + 1):
+            got = summed(ready, state, done, True)
+            count = max(got[-2], 1.0)
+            state = got[:-3].reshape(3, -1) / count if got[-2] else state
+            done += round(got[-1] / count)
+            history.append((number, float(got[-3] / count)))
+        flat = state[0]
         if held is not None:
-            got = summed(held, flat)
-            history.append((-1, float(got[-2] / max(got[-1], 1.0))))
+            got = summed(held, state, done, False)
+            history.append((-1, float(got[-3] / max(got[-2], 1.0))))
     finally:
         ready.unpersist()
         if held is not None:
@@ -120,5 +134,5 @@ def mlp_regress(train: DataFrame, test: DataFrame, cols: Sequence[str], target:
 
     scaled = scale_standard(test, cols, fit_on=train)
     scored = scaled.withColumn("prediction", forward(F.array(*[col(c).cast("float") for c in cols])))
-    table = test.sparkSession.createDataFrame(history, "step int, loss double")
+    table = test.sparkSession.createDataFrame(history, "epoch int, loss double")
     return flat, scored, table

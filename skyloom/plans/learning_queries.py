@@ -135,7 +135,23 @@ def _vectors(spark, d):
                       *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(64)]), [f"x{k}" for k in range(64)]
 
 
-@query("clu1_kmeans")
+# rows of three states, far apart: SQL knows the clusters
+_FAR = "SELECT o_orderkey AS row_id, o_orderstatus AS class, o_custkey % 50 + CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 5000 ELSE 12000 END AS x FROM orders"
+
+
+def _far(spark, d):
+    table(spark, d, "orders").createOrReplaceTempView("orders_far")
+    return spark.sql(_FAR.replace("FROM orders", "FROM orders_far"))
+
+
+@query("clu1_kmeans", with_sql({"p": _FAR}, "SELECT count(*) AS n, round(avg(x), 4) AS centre FROM p GROUP BY class"))
+def _(spark, d):
+    assigned, centres, _ = G.kmeans(_far(spark, d), ["x"], 3, seed=7)
+    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(sizes.join(centres.withColumnRenamed("x", "centre"), "cluster").select("n", "centre"), 4)
+
+
+@query("clu1_kmeans_vectors")
 def _(spark, d):
     df, cols = _vectors(spark, d)
     assigned, _, _ = G.kmeans(df, cols, 4, seed=7)
@@ -160,14 +176,30 @@ def _(spark, d):
     return rounded(G.silhouette(df.withColumn("cluster", F.col("class").cast("int")), cols, approx=True))
 
 
-@query("clu3_select_k")
+@query("clu3_select_k", with_sql({"p": _FAR, "g": "SELECT class, avg(x) AS m, avg(x * x) AS q, count(*) AS n FROM p GROUP BY 1",
+       "w": """SELECT p.row_id, max(CASE WHEN p.class = g.class THEN (p.x * p.x - 2 * p.x * g.m + g.q) * g.n / (g.n - 1) END) AS a,
+    min(CASE WHEN p.class <> g.class THEN p.x * p.x - 2 * p.x * g.m + g.q END) AS b FROM p CROSS JOIN g GROUP BY 1"""},
+       "SELECT 3 AS k, round(avg((b - a) / greatest(a, b)), 6) AS score, true AS best FROM w"))
+def _(spark, d):
+    return rounded(G.select_k(_far(spark, d), ["x"], seed=7)[0].where("best"))
+
+
+@query("clu3_select_k_vectors")
 def _(spark, d):
     df, cols = _vectors(spark, d)
-    table_of_k, _ = G.select_k(df, cols, range(2, 6), seed=7, normalise=True)
-    return rounded(table_of_k)
+    return rounded(G.select_k(df, cols, seed=7, normalise=True)[0])
+
+
+@query("clu4_attach_clusters", with_sql({"p": _FAR}, "SELECT class, class AS cluster_of, count(*) AS n FROM p GROUP BY 1"))
+def _(spark, d):
+    df = _far(spark, d)
+    assigned, centres, _ = G.kmeans(df, ["x"], 3, seed=7)
+    near = F.when(F.col("centre") < 2500, "F").when(F.col("centre") < 8500, "O").otherwise("P")
+    both = L.attach_clusters(df.select("row_id", "class"), assigned.select("row_id", "cluster")).join(centres.withColumnRenamed("x", "centre"), "cluster")
+    return both.groupBy("class", near.alias("cluster_of")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("clu4_attach_clusters")
+@query("clu4_attach_clusters_vectors")
 def _(spark, d):
     df, cols = _vectors(spark, d)
     assigned, _, _ = G.kmeans(df, cols, 4, seed=7)
@@ -294,10 +326,30 @@ def _(spark, d):
     return rounded(rounded(out, 4, ["mae", "mean_target"]), 6, ["relative_error"])
 
 
-# --- fitted models (no SQL form; rows only) ------------------------------------------
+# --- fitted models -------------------------------------------------------------------
+# Where a model must be exact, SQL knows what it predicts: three classes of order lines that lie apart in two of four features.
+
+_APART = """SELECT l_orderkey * 8 + l_linenumber AS key, l_quantity + CASE WHEN l_quantity > 25 THEN 100 ELSE 0 END AS q,
+    100 * l_discount + CASE WHEN l_discount > 0.05 THEN 10 ELSE 0 END AS disc, l_tax AS tax, CAST(l_linenumber AS DOUBLE) AS line,
+    CASE WHEN l_quantity <= 25 THEN 'few' WHEN l_discount <= 0.05 THEN 'many' ELSE 'sale' END AS class FROM lineitem"""
+_APART_COLS = ["q", "disc", "tax", "line"]
+_APART_CONFUSION = with_sql({"x": _APART, "t": f"SELECT class, count(*) AS n FROM x WHERE {uniform_sql('key', 14)} < 0.3 GROUP BY 1"},
+                            """SELECT a.class AS truth, b.class AS predicted, CASE WHEN a.class = b.class THEN a.n ELSE 0 END AS n,
+    round(CASE WHEN a.class = b.class THEN a.n ELSE 0 END / (SELECT max(n) FROM t), 9) AS share FROM t a CROSS JOIN t b""")
+
+
+def _apart(spark, d):
+    table(spark, d, "lineitem").createOrReplaceTempView("lineitem_apart")
+    return spark.sql(_APART.replace("FROM lineitem", "FROM lineitem_apart"))
+
+
+def _apart_confusion(spark, d, fit):
+    parts = P.split(_apart(spark, d), "key", 0.3, seed=14)
+    return rounded(E.confusion_matrix(fit(parts["train"], parts["test"], _APART_COLS, "class"), "class"), 9)
+
 
 def _parts(spark, d, seed=13, val=0.0):
-    cleaned = L.all_positive(catalogue(spark, d)).select("specObjID", "class", *FEATURES)
+    cleaned = L.all_positive(catalogue(spark, d)).select("specObjID", "class", *FEATURES, *S.RADII)
     return P.split(cleaned, "specObjID", 0.3, val, seed)
 
 
@@ -305,82 +357,163 @@ def _score(scored: DataFrame) -> DataFrame:
     return rounded(E.accuracy(scored, "class"), 4)
 
 
-@query("ml2_logistic")
+@query("ml2_logistic", _APART_CONFUSION)
+def _(spark, d):
+    return _apart_confusion(spark, d, lambda *a: M.logistic(*a)[1])
+
+
+@query("ml2_logistic_catalogue")
 def _(spark, d):
     parts = _parts(spark, d)
-    return _score(M.logistic(parts["train"], parts["test"], FEATURES, "class", max_iter=100)[1])
+    return _score(M.logistic(parts["train"], parts["test"], FEATURES, "class")[1])
 
 
-@query("ml3_decision_tree")
+@query("ml3_decision_tree", _APART_CONFUSION)
+def _(spark, d):
+    return _apart_confusion(spark, d, lambda *a: M.decision_tree(*a)[1])
+
+
+@query("ml3_decision_tree_catalogue")
 def _(spark, d):
     parts = _parts(spark, d)
-    return _score(M.decision_tree(parts["train"], parts["test"], FEATURES, "class", max_depth=12)[1])
+    return _score(M.decision_tree(parts["train"], parts["test"], FEATURES, "class")[1])
+
+
+@query("ml4_tree_rules", with_sql({"x": _APART, "t": f"SELECT * FROM x WHERE {uniform_sql('key', 14)} >= 0.3"}, """
+    SELECT 1 AS node, CAST(NULL AS INT) AS parent, 0 AS depth, 'q' AS feature, 75.5::DOUBLE AS threshold, mode(class) AS class FROM t
+    UNION ALL SELECT 2, 1, 1, NULL, NULL, mode(class) FROM t WHERE q <= 75.5
+    UNION ALL SELECT 3, 1, 1, 'disc', 10.5, mode(class) FROM t WHERE q > 75.5
+    UNION ALL SELECT 6, 3, 2, NULL, NULL, mode(class) FROM t WHERE q > 75.5 AND disc <= 10.5
+    UNION ALL SELECT 7, 3, 2, NULL, NULL, mode(class) FROM t WHERE q > 75.5 AND disc > 10.5"""))
+def _(spark, d):
+    parts = P.split(_apart(spark, d), "key", 0.3, seed=14)
+    model, _, labels = M.decision_tree(parts["train"], parts["test"], _APART_COLS, "class")
+    return rounded(M.tree_rules(model, labels, _APART_COLS, 3), 4)
 
 
-@query("ml4_tree_rules")
+@query("ml4_tree_rules_catalogue")
 def _(spark, d):
     parts = _parts(spark, d)
-    model, _, labels = M.decision_tree(parts["train"], parts["test"], FEATURES, "class", max_depth=12)
+    model, _, labels = M.decision_tree(parts["train"], parts["test"], FEATURES, "class")
     return rounded(M.tree_rules(model, labels, FEATURES, 3), 4)
 
 
+@query("ml5_forest", _APART_CONFUSION)
+def _(spark, d):
+    return _apart_confusion(spark, d, lambda *a: M.random_forest(*a, seed=1)[1])
+
+
 @query("ml5_forest_importances")
 def _(spark, d):
     parts = _parts(spark, d)
-    return rounded(M.random_forest(parts["train"], parts["test"], FEATURES, "class", trees=20, max_depth=8, seed=1)[2], 4)
+    return rounded(M.random_forest(parts["train"], parts["test"], FEATURES, "class", seed=1)[2], 4)
 
 
-@query("ml6_svm_linear")
+@query("ml6_svm_linear", _APART_CONFUSION)
+def _(spark, d):
+    return _apart_confusion(spark, d, lambda *a: M.svm(*a, "linear")[1])
+
+
+@query("ml6_svm_linear_catalogue")
 def _(spark, d):
     parts = _parts(spark, d)
-    return _score(M.svm(parts["train"], parts["test"], FEATURES, "class", "linear", max_iter=20)[1])
+    return _score(M.svm(parts["train"], parts["test"], FEATURES, "class", "linear")[1])
+
+
+@query("ml7_svm_poly", _APART_CONFUSION)
+def _(spark, d):
+    return _apart_confusion(spark, d, lambda *a: M.svm(*a, "poly")[1])
 
 
-@query("ml7_svm_poly")
+@query("ml7_svm_poly_catalogue")
 def _(spark, d):
     parts = _parts(spark, d)
-    return _score(M.svm(parts["train"], parts["test"], FEATURES, "class", "poly", max_iter=10)[1])
+    return _score(M.svm(parts["train"], parts["test"], FEATURES, "class", "poly")[1])
 
 
-@query("ml8_svm_rbf")
+@query("ml8_svm_rbf", _APART_CONFUSION)
+def _(spark, d):
+    return _apart_confusion(spark, d, lambda *a: M.svm(*a, "rbf")[1])
+
+
+@query("ml8_svm_rbf_catalogue")
 def _(spark, d):
     parts = _parts(spark, d)
-    return _score(M.svm(parts["train"], parts["test"], FEATURES, "class", "rbf", max_iter=10, size=64)[1])
+    return _score(M.svm(parts["train"], parts["test"], FEATURES, "class", "rbf")[1])
+
 
+_LINEAR = "(3 * q - 2 * disc + 50 * tax + line)"
 
-@query("ml9_linear_svr")
+
+@query("ml9_linear_svr", with_sql({"x": _APART}, f"""SELECT class, count(*) AS n, round(avg({_LINEAR}), 2) AS mean, round(max({_LINEAR}), 2) AS top
+    FROM x WHERE {uniform_sql('key', 14)} < 0.3 GROUP BY 1"""))
+def _(spark, d):
+    parts = P.split(_apart(spark, d).withColumn("y", F.expr(_LINEAR)), "key", 0.3, seed=14)
+    _, scored = M.linear_svr(parts["train"], parts["test"], _APART_COLS, "y")
+    return scored.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prediction"), 2).alias("mean"), F.round(F.max("prediction"), 2).alias("top"))
+
+
+@query("ml9_linear_svr_redshift")
 def _(spark, d):
     parts = _parts(spark, d)
-    _, scored = M.linear_svr(parts["train"], parts["test"], S.BANDS, "redshift", max_iter=15)
+    _, scored = M.linear_svr(parts["train"], parts["test"], [*S.BANDS, *S.RADII], "redshift")
     return rounded(E.r2(scored, "redshift"), 4)
 
 
 @query("ml10_mlp_regression")
 def _(spark, d):
     parts = _parts(spark, d, val=0.2)
-    _, scored, _ = N.mlp_regress(parts["train"], parts["test"], S.BANDS, "redshift", width=8, steps=8, rate=0.05,
-                                 val=parts["val"], weight_power=1)
+    _, scored, _ = N.mlp_regress(parts["train"], parts["test"], [*S.BANDS, *S.RADII], "redshift", val=parts["val"], weight_power=2)
     return rounded(E.mae_by_class(scored, "redshift", "prediction", "class"), 4)
 
 
-@query("ml11_sweep")
-def _(spark, d):
+_COSTS = [0.1, 0.5, 1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+def _sweep(spark, d, grid, schema):
+    """Settings x three data sets: model samples by peak kind, and the catalogue with and without sizes."""
     parts = _parts(spark, d)
-    train, test = parts["train"].persist(), parts["test"].persist()
+    peaks = samples(spark, d).withColumn("class", F.when(F.col("singlePeak"), "single").when(F.col("doublePeak"), "double").otherwise("none"))
+    own = P.split(peaks, "row_id", 0.3, seed=13)
+    frames = [f.persist() for f in (parts["train"], parts["test"], own["train"], own["test"])]
+    shape = [*S.SAMPLE_SHARES, "i", "phaseAmplitude", "t_char", "rBLR", "FHWM"]
 
-    def fit(cols, C):
-        scored = M.svm(train, test, cols, "class", "linear", C=C, max_iter=5)[1]
-        return E.accuracy(scored, "class").first()[0]
+    def fit(data, **point):
+        train, test, cols = data
+        return E.accuracy(M.svm(train, test, cols, "class", **{"kernel": "rbf", **point})[1], "class").first()[0]
 
     try:
-        grid = [{"C": C} for C in (0.1, 1.0, 5.0)]
-        out = M.sweep(fit, grid, {"all": FEATURES, "bands": S.BANDS}, "file string, C double, score double")
+        sets = {"samples": (frames[2], frames[3], shape), "wSize": (frames[0], frames[1], [*FEATURES, *S.RADII]), "noSize": (frames[0], frames[1], FEATURES)}
+        out = M.sweep(fit, grid, sets, schema)
     finally:
-        train.unpersist()
-        test.unpersist()
+        for f in frames:
+            f.unpersist()
     return rounded(out, 4, ["score"])
 
 
+@query("ml11_sweep")
+def _(spark, d):
+    return _sweep(spark, d, [{"C": c} for c in _COSTS], "file string, C double, score double")
+
+
+@query("ml11_kernel_sweep")
+def _(spark, d):
+    return _sweep(spark, d, [{"kernel": k} for k in ("rbf", "linear", "poly")], "file string, kernel string, score double")
+
+
+@query("ml11_sweep_apart", "SELECT 'lines' AS file, unnest([0.1::DOUBLE, 0.5, 1, 2, 3, 4, 5]) AS \"C\", count(*) AS n, CAST(sum(CASE WHEN class = 'few' THEN 1 ELSE 0 END) AS BIGINT) AS few "
+       f"FROM ({_APART}) WHERE {uniform_sql('key', 14)} < 0.3")
+def _(spark, d):
+    parts = P.split(_apart(spark, d), "key", 0.3, seed=14)
+
+    def fit(data, C):
+        scored = M.svm(*data, _APART_COLS, "class", "linear", C=C)[1]
+        right = F.col("class") == F.col("prediction")
+        return scored.agg(F.count_if(right).alias("n"), F.count_if(right & (F.col("class") == "few")).alias("few")).first().asDict()
+
+    return M.sweep(fit, [{"C": c} for c in _COSTS], {"lines": (parts["train"], parts["test"])}, "file string, C double, n long, few long")
+
+
 @query("set3_sweep_table", """SELECT l_linenumber AS "C", l_returnflag AS file, round(avg(l_discount), 6) AS score FROM lineitem GROUP BY 1, 2""")
 def _(spark, d):
     return rounded(table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("C"), F.col("l_returnflag").alias("file"))

@@ -101,9 +101,9 @@ def test_support_vector_regression_ignores_outliers(spark):
 def test_network_learns_a_line(spark):
     rng = random.Random(6)
     df = spark.createDataFrame([(x, 3 * x + 2) for _ in range(300) for x in [rng.uniform(-1, 1)]], "x double, y double").repartition(3)
-    _, scored, history = N.mlp_regress(df, df, ["x"], "y", layers=1, width=8, steps=60, rate=0.1, val=df)
-    losses = {r.step: r.loss for r in history.collect()}
-    assert losses[60] < losses[1] / 5 and -1 in losses
+    _, scored, history = N.mlp_regress(df, df, ["x"], "y", layers=1, width=8, epochs=30, rate=0.01, val=df)
+    losses = {r.epoch: r.loss for r in history.collect()}
+    assert losses[30] < losses[1] / 5 and -1 in losses
     assert scored.agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0] < 0.5
 
 
