@@ -122,13 +122,13 @@ def resample(df: DataFrame, keys: Sequence[str], factor: int = 100, x: str = "t"
 # --- synthetic curves ----------------------------------------------------------
 
 def synthetic_curve(df: DataFrame, keys: Sequence[str], t: str = "t", flux: str = "flux", psi: str = "psi", *,
-                    t_stop: float = 75.0, cell: float = 1.0, block: int = 4096) -> DataFrame:
+                    t_stop: float = 75.0, cell: float = 1.0, block: int = 1 << 18) -> DataFrame:
     """Causal convolution of a continuum curve with a response, scaled to a span of 1.
 
     Output i sums psi[i - k + 1] * change[k] * step[k] over k <= i; for the last
-    row every term takes the last step. Both factors are cut into blocks, every
-    pair of blocks is convolved by one small task that returns sums per output
-    position, and Spark adds those.
+    row every term takes the last step. Both factors are cut into long blocks,
+    every pair of blocks is convolved by one product of transforms that returns
+    sums per output position, and Spark adds those.
     """
     ks = [col(k) for k in keys]
     near = ordered(clip_range(df, t, hi=t_stop), keys, t, cell=cell, previous=[t], following=[t], index="_i", size="_n")
@@ -152,8 +152,10 @@ def synthetic_curve(df: DataFrame, keys: Sequence[str], t: str = "t", flux: str
 
         left, right = pdf[pdf["_left"]].sort_values("_i"), pdf[~pdf["_left"]].sort_values("_i")
         change, response = left["change"].to_numpy(), right["_psi"].to_numpy()
-        part = np.convolve(change * left["_step"].to_numpy(), response)
-        plain = np.convolve(change, response)
+        n = len(change) + len(response) - 1
+        wave = np.fft.rfft(response, n)
+        part = np.fft.irfft(np.fft.rfft(change * left["_step"].to_numpy(), n) * wave, n)
+        plain = np.fft.irfft(np.fft.rfft(change, n) * wave, n)
         place = int(left["_i"].iloc[0]) + int(right["_i"].iloc[0]) - 1 + np.arange(len(part))
         n = int(left["_n"].iloc[0])
         out = pd.DataFrame({"_i": place, "_part": part, "_tail": np.where(place == n, plain, 0.0)})
@@ -200,12 +202,13 @@ def cross_correlation(
 
     Both curves are put on the grid of ``u`` and, unless ``shared_times`` says
     the sampling is the same, also on the grid of ``v``; the results are
-    averaged. ``lags`` is a pair of floats (a time window), a list of grid
-    offsets, or None for +-min(m - 1, 10 log10 m). Values are centred and divided
+    averaged. ``lags`` is a pair of numbers (a time window), a list of one or of
+    more than two grid offsets, or None for +-min(m - 1, 10 log10 m). Values are centred and divided
     by the energy of the whole series, which makes a maximum scaling irrelevant.
 
     A task holds one block of the grid and a halo as wide as the lags. It
-    returns partial sums per lag, so pairs of points are never materialised.
+    returns partial sums per lag, all lags from one product of transforms, so
+    pairs of points are never materialised.
     """
     names = list(keys)
     ks = [col(k) for k in names]
@@ -224,7 +227,7 @@ def cross_correlation(
         if lags is None:
             reach = F.least(F.col("_m") - 1, F.floor(10 * F.log10(F.col("_m").cast("double"))))
             grid = grid.withColumns({"_lag_lo": -reach, "_lag_hi": reach})
-        elif len(lags) == 2 and any(isinstance(x, float) for x in lags):
+        elif len(lags) == 2:
             step = F.nullif("_step", F.lit(0.0))
             grid = grid.withColumns({
                 "_lag_lo": F.greatest(1 - F.col("_m"), F.coalesce(F.ceil(F.lit(float(lags[0])) / step - 1e-9), F.lit(0).cast("long"))),
@@ -263,15 +266,17 @@ def cross_correlation(
         inside = (where >= 0) & (where < len(y))
         y[where[inside]] = b["_y"].to_numpy()[inside]
         own = y[start - left:stop - left]
-        rows = []
-        for lag in range(lo, hi + 1):
-            f, t = max(start, -lag), min(stop, m - lag)
-            if t <= f:
-                rows.append((lag, 0.0, 0.0, 0.0, 0))
-                continue
-            p, q = x[f - start:t - start], y[f + lag - left:t + lag - left]
-            rows.append((lag, float(p @ q), float(p.sum()), float(q.sum()), t - f))
-        out = pd.DataFrame(rows, columns=["lag_index", "dot", "sa", "sb", "n"])
+        lag = np.arange(lo, hi + 1)
+        first, last = np.maximum(start, -lag), np.minimum(stop, m - lag)
+        last = np.maximum(first, last)
+        size = 1 << (len(x) + len(y)).bit_length()
+        every = np.fft.irfft(np.conj(np.fft.rfft(x, size)) * np.fft.rfft(y, size), size)  # all lags by one product
+        sx, sy = np.r_[0.0, np.cumsum(x)], np.r_[0.0, np.cumsum(y)]
+        some = last > first
+        out = pd.DataFrame({"lag_index": lag, "dot": np.where(some, every[(lag + start - left) % size], 0.0),
+                            "sa": np.where(some, sx[np.clip(last - start, 0, len(x))] - sx[np.clip(first - start, 0, len(x))], 0.0),
+                            "sb": np.where(some, sy[np.clip(last + lag - left, 0, len(y))] - sy[np.clip(first + lag - left, 0, len(y))], 0.0),
+                            "n": np.where(some, last - first, 0)})
         out["ta"], out["taa"], out["tb"], out["tbb"] = x.sum(), x @ x, own.sum(), own @ own
         out["_g"], out["_step"], out["_m"] = int(head["_g"]), float(head["_step"]), m
         for k in names:
@@ -282,7 +287,7 @@ def cross_correlation(
     sums = points.groupBy(*ks, "_g", "_block").applyInPandas(
         partial, key_types + "_g int, _step double, _m long, lag_index long, dot double, sa double, sb double, n long, "
                              "ta double, taa double, tb double, tbb double")
-    if lags is not None and not (len(lags) == 2 and any(isinstance(x, float) for x in lags)):
+    if lags is not None and len(lags) != 2:
         sums = sums.where(F.col("lag_index").isin([int(x) for x in lags]))
     total = sums.groupBy(*ks, "_g", "lag_index").agg(
         F.first("_step").alias("_step"), F.first("_m").alias("_m"),

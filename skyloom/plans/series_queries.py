@@ -61,19 +61,19 @@ def _(spark, d):
 _GRID2 = """SELECT series_id, min(t) AS g0, count(*) * {f} AS m, (max(t) - min(t)) / (count(*) * {f} - 1) AS step FROM {src} GROUP BY 1"""
 
 
-@query("ts4_resample", with_sql({**K, "seg": _SEG.format(src="k"), "g": _GRID2.format(src="k", f=2),
+@query("ts4_resample", with_sql({**K, "seg": _SEG.format(src="k"), "g": _GRID2.format(src="k", f=100),
        "p": "SELECT series_id, j, g0 + j * step AS x FROM (SELECT *, unnest(range(m)) AS j FROM g)"},
        """SELECT p.series_id, CAST(j AS BIGINT) AS j, round(x, 7) AS t, round(y0 + s * (x - x0), 4) AS flux FROM p ASOF JOIN (SELECT * FROM seg WHERE x1 IS NOT NULL) seg
        ON p.series_id = seg.series_id AND p.x + 1e-12 >= seg.x0"""))
 def _(spark, d):
-    out = R.resample(curves(spark, d), ["series_id"], 2, cell=CELL)
+    out = R.resample(curves(spark, d), ["series_id"], cell=CELL)
     return rounded(rounded(out, 7, ["t"]), 4, ["flux"])
 
 
 _PSI = "exp(-(t - 3) * (t - 3) / 2)"
 
 
-@query("ts5_jn7_synthetic_curve", with_sql({**K, "x": f"SELECT *, {_PSI} AS psi FROM k WHERE t < 20",
+@query("ts5_jn7_synthetic_curve", with_sql({**K, "x": f"SELECT *, {_PSI} AS psi FROM k",
        "n": """SELECT series_id, t, row_number() OVER w AS i, count(*) OVER p AS n, (flux - first_value(flux) OVER w) / (max(flux) OVER p - min(flux) OVER p) AS change,
        coalesce(lead(t) OVER w - t, t - lag(t) OVER w) AS step, psi / max(psi) OVER p AS psi FROM x WINDOW w AS (PARTITION BY series_id ORDER BY t), p AS (PARTITION BY series_id)""",
        "y": """SELECT a.series_id, a.t, a.change, sum(b.change * c.psi * CASE WHEN a.i = a.n THEN a.step ELSE b.step END) AS y FROM n a JOIN n b ON a.series_id = b.series_id
@@ -82,7 +82,7 @@ _PSI = "exp(-(t - 3) * (t - 3) / 2)"
        WINDOW p AS (PARTITION BY series_id)"""))
 def _(spark, d):
     k = curves(spark, d).withColumn("psi", F.exp(-(F.col("t") - 3) * (F.col("t") - 3) / 2))
-    out = R.synthetic_curve(k, ["series_id"], t_stop=20.0, cell=CELL, block=256)
+    out = R.synthetic_curve(k, ["series_id"], cell=CELL)
     return rounded(rounded(out, 9, ["t"]), 6, ["change", "synthetic"])
 
 
@@ -99,10 +99,10 @@ def _ccf_ctes(lags: str) -> dict[str, str]:
         out[side] = f"SELECT 'pair' AS series_id, (t - min(t) OVER ()) / 1.5 AS t, flux FROM k WHERE series_id = '{kind}'"
         out[f"s{side}"] = "SELECT * FROM (" + _SEG.format(src=side) + ") WHERE x1 IS NOT NULL"
     for g in ("u", "v"):
-        out[f"g{g}"] = _GRID2.format(src=g, f=2)
+        out[f"g{g}"] = _GRID2.format(src=g, f=100)
         out[f"p{g}"] = f"SELECT series_id, j, step, m, g0 + j * step AS x FROM (SELECT *, unnest(range(m)) AS j FROM g{g})"
         for side in ("u", "v"):
-            out[f"f{g}{side}"] = (f"SELECT p.j, p.step, p.m, arg_max(y0 + s * (x - x0), x0) AS y FROM p{g} p JOIN s{side} ON x0 <= x + 1e-12 OR i = 1 GROUP BY 1, 2, 3")
+            out[f"f{g}{side}"] = (f"SELECT p.j, p.step, p.m, y0 + s * (x - x0) AS y FROM (SELECT *, x + 1e-12 AS near FROM p{g}) p ASOF JOIN s{side} ON near >= x0")
         out[f"c{g}"] = f"SELECT a.j, a.step, a.m, a.y - avg(a.y) OVER () AS a, b.y - avg(b.y) OVER () AS b FROM f{g}u a JOIN f{g}v b USING (j)"
         out[f"e{g}"] = f"SELECT sqrt(sum(a * a) * sum(b * b)) AS e FROM c{g}"
         out[f"r{g}"] = (f"SELECT l AS lag_index, l * any_value(x.step) AS lag, coalesce(sum(x.a * y.b), 0) / any_value(e) AS r FROM c{g} x CROSS JOIN e{g} "
@@ -112,20 +112,20 @@ def _ccf_ctes(lags: str) -> dict[str, str]:
 
 
 _AUTO = ("SELECT unnest(range(-w, w + 1)) AS l FROM (SELECT CAST(least(any_value(m) - 1, floor(10 * log10(any_value(m)))) AS BIGINT) AS w FROM c{g})")
-_WINDOW = ("SELECT unnest(range(CAST(ceil(-0.5 / any_value(step) - 1e-9) AS BIGINT), CAST(floor(1.0::DOUBLE / any_value(step) + 1e-9) AS BIGINT) + 1)) AS l FROM c{g}")
+_WINDOW = ("SELECT unnest(range(CAST(ceil(-0.05 / any_value(step) - 1e-9) AS BIGINT), CAST(floor(0.1::DOUBLE / any_value(step) + 1e-9) AS BIGINT) + 1)) AS l FROM c{g}")
 
 
 @query("ts6_cross_correlation", with_sql(_ccf_ctes(_AUTO), "SELECT 'pair' AS series_id, lag_index, round(lag, 8) AS lag, round(r, 6) AS r FROM ccf"))
 def _(spark, d):
     u, v = _pair(spark, d)
-    out = R.cross_correlation(u, v, ["series_id"], z=0.5, factor=2, cell=CELL, block=512)
+    out = R.cross_correlation(u, v, ["series_id"], z=0.5, cell=CELL)
     return rounded(rounded(out, 8, ["lag"]), 6, ["r"])
 
 
 @query("ts6_time_window_lags", with_sql(_ccf_ctes(_WINDOW), "SELECT 'pair' AS series_id, lag_index, round(lag, 8) AS lag, round(r, 6) AS r FROM ccf"))
 def _(spark, d):
     u, v = _pair(spark, d)
-    out = R.cross_correlation(u, v, ["series_id"], z=0.5, factor=2, lags=(-0.5, 1.0), cell=CELL, block=512)
+    out = R.cross_correlation(u, v, ["series_id"], z=0.5, lags=(-0.05, 0.1), cell=CELL)
     return rounded(rounded(out, 8, ["lag"]), 6, ["r"])
 
 
@@ -133,7 +133,7 @@ def _(spark, d):
     round(sum(CASE WHEN r > 0.8 * top THEN r * lag END) / sum(CASE WHEN r > 0.8 * top THEN r END), 6) AS centroid FROM ccf, (SELECT max(r) AS top FROM ccf)"""))
 def _(spark, d):
     u, v = _pair(spark, d)
-    ccf = stored(R.cross_correlation(u, v, ["series_id"], z=0.5, factor=2, cell=CELL, block=512), "ccf")
+    ccf = stored(R.cross_correlation(u, v, ["series_id"], z=0.5, cell=CELL), "ccf")
     peak = R.ccf_peak(ccf, ["series_id"]).withColumnRenamed("delay", "peak")
     return rounded(peak.join(R.ccf_centroid(ccf, ["series_id"]).withColumnRenamed("delay", "centroid"), "series_id"))
 
@@ -229,7 +229,7 @@ def _(spark, d):
 
 def _delays(spark, d, n_mc=2):
     continuum = curves(spark, d).where("series_id = 'purchase'")
-    return Q.binned_delays(spectra(spark, d), continuum, 35.0, 1540.0, 1680.0, n_mc=n_mc, seed=41, factor=1, cont=_CONT, lags=(-3.0, 6.0))
+    return Q.binned_delays(spectra(spark, d), continuum, 35.0, 1540.0, 1680.0, n_mc=n_mc, seed=41, cont=_CONT, lags=(-3.0, 6.0))
 
 
 def _delays_sql(n_mc: int, seed: int, lo: float, hi: float) -> str:
@@ -242,8 +242,8 @@ def _delays_sql(n_mc: int, seed: int, lo: float, hi: float) -> str:
     for side in ("u", "v"):
         out[f"s{side}"] = "SELECT * FROM (" + seg.format(src=side) + ") WHERE x1 IS NOT NULL"
     for g in ("u", "v"):
-        out[f"p{g}"] = (f"SELECT *, g0 + j * step AS x FROM (SELECT *, unnest(range(m)) AS j FROM (SELECT bin, mc, min(t) AS g0, count(*) AS m, "
-                        f"(max(t) - min(t)) / (count(*) - 1) AS step FROM {g} GROUP BY 1, 2))")
+        out[f"p{g}"] = (f"SELECT *, g0 + j * step AS x FROM (SELECT *, unnest(range(m)) AS j FROM (SELECT bin, mc, min(t) AS g0, count(*) * 100 AS m, "
+                        f"(max(t) - min(t)) / (count(*) * 100 - 1) AS step FROM {g} GROUP BY 1, 2))")
         for side in ("u", "v"):
             out[f"f{g}{side}"] = (f"SELECT p.bin, p.mc, p.j, p.step, arg_max(y0 + s * (x - x0), x0) AS y FROM p{g} p JOIN s{side} q ON p.bin = q.bin AND p.mc = q.mc "
                                   f"AND (x0 <= x + 1e-12 OR i = 1) GROUP BY 1, 2, 3, 4")
