@@ -11,7 +11,7 @@ from ..operators import selection as L
 from ..session import scratch_path
 from ..sources import readers as I
 from ..sources import sinks as O
-from ..sources.manifest import IMAGE_SERVICE, PREVIEW_SERVICE, SPECTRUM_SERVICE, retrieval_manifest
+from ..sources.manifest import IMAGE_SERVICE, PREVIEW_SERVICE, SPECTRUM_SERVICE, retrieval_manifests
 from .bindings import CATALOGUE_SQL, catalogue, table, with_sql
 from .catalogue_queries import LINE_MEASURES
 from .registry import query, rounded
@@ -95,7 +95,7 @@ def _(spark, d):
     round(max(CASE WHEN r = 2 THEN o_totalprice END) - max(CASE WHEN r = 1 THEN o_totalprice END), 4) AS err_up
     FROM (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 3 AS point, (row_number() OVER (ORDER BY o_orderkey) - 1) % 3 AS r FROM orders) GROUP BY 1""")
 def _(spark, d):
-    out = I.fold_triplets(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", "o_custkey", "o_totalprice", cell=4096.0)
+    out = I.fold_triplets(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", "o_custkey", "o_totalprice")
     return rounded(rounded(out, 6, ["v"]), 4, ["err_down", "err_up"])
 
 
@@ -111,7 +111,7 @@ def _(spark, d):
     'spectra/spectrum_' || "specObjID" || '.csv' FROM cat"""))
 def _(spark, d):
     cat = catalogue(spark, d)
-    return L.combine([retrieval_manifest(cat), retrieval_manifest(cat, "spectrum"), retrieval_manifest(cat, "spectrum", "csv")])
+    return retrieval_manifests(cat, [("image", "png"), ("spectrum", "png"), ("spectrum", "csv")])
 
 
 @query("snk2_write_by_class", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")

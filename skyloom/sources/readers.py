@@ -51,11 +51,13 @@ def read_catalogue(spark: SparkSession, paths: Paths, schema: T.StructType = S.C
                    comment: str | None = "#") -> DataFrame:
     """Catalogue files of one shape: a table-name line, a header line, then rows.
 
-    A name line that starts with ``comment`` is left to the CSV reader; any
-    other first two lines are skipped as plain lines.
+    A name line that starts with ``comment`` is left to the CSV reader, which
+    then checks the header's names against the schema: a name line without
+    ``comment`` is an error and not a header. With ``comment=None`` the first
+    two lines are skipped as plain lines.
     """
     if comment:
-        return read_table(spark, paths, schema, comment=comment)
+        return read_table(spark, paths, schema, comment=comment, enforceSchema=False)
     rows = read_lines(spark, paths, skip=2)
     return rows.select(F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " ")).alias("r")).select("r.*")
 
@@ -73,8 +75,15 @@ def read_baskets(spark: SparkSession, path: Paths, skip: int = 1) -> DataFrame:
     return read_lines(spark, path, skip).select(F.array_distinct(F.filter(items, lambda x: x != "")).alias("items"))
 
 
-def fold_triplets(df: DataFrame, order_col: str, v: str = "v", delay: str = "delay", cell: float = 1.0) -> DataFrame:
-    """Groups of three rows (lower, value, upper) to one measurement with two-sided errors."""
+def fold_triplets(df: DataFrame, order_col: str, v: str = "v", delay: str = "delay", cell: float | None = None) -> DataFrame:
+    """Groups of three rows (lower, value, upper) to one measurement with two-sided errors.
+
+    Unless given, ``cell`` is chosen from the count and the limits of the order
+    column, for about 50,000 rows a cell.
+    """
+    if cell is None:
+        n, lo, hi = df.agg(F.count(col(order_col)), F.min(col(order_col)).cast("double"), F.max(col(order_col)).cast("double")).first()
+        cell = ((hi - lo) / -(-n // 50000) if n else 0.0) or 1.0
     placed = ordered(df, [], order_col, cell=cell, index="_i")
     point, role = F.floor((F.col("_i") - 1) / 3), (F.col("_i") - 1) % 3
     picked = placed.groupBy(point.alias("point")).agg(
