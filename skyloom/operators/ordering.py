@@ -9,6 +9,7 @@ a third of the table is spread over as many tasks as it has cells.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -152,38 +153,35 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     fractions: Sequence[float],
-    cells: int = 4096,
+    accuracy: int = 10000,
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group.
+    """Exact, linearly interpolated quantiles per group, from two passes.
 
-    A histogram finds the few cells that contain the wanted ranks; only rows of
-    those cells are counted by distinct value and ranked. Nothing but counts is
-    held per group, so a group of any size is fine.
+    The first pass brackets every wanted rank by approximate quantiles, whose
+    rank error is bounded by 1 / ``accuracy`` of the rows whatever the values
+    are. The second counts the rows below each bracket and the distinct values
+    inside, so only a few ten-thousandths of the rows are ranked.
     """
     keys = list(keys)
     whole = [col(k) for k in keys]
     clean = df.where(col(value).isNotNull() & ~F.isnan(col(value))).select(*whole, col(value).cast("double").alias("_v"))
-    ranged = attach(clean, keys, _lo=F.min("_v"), _hi=F.max("_v"), _n=F.count(F.lit(1)))
-    # the quotient of two halves stays finite for any span
-    share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-    celled = ranged.withColumn(
-        "_c", F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * cells), F.lit(cells - 1))).otherwise(0))
-    hist = celled.groupBy(*whole, "_c").agg(F.count(F.lit(1)).alias("_m"), F.first("_n").alias("_n"))
-    by_cell = W.partitionBy(*whole).orderBy("_c")
-    spans = hist.withColumn("_end", F.sum("_m").over(by_cell.rowsBetween(W.unboundedPreceding, 0))) \
-                .withColumn("_start", F.col("_end") - F.col("_m"))
-    wanted = F.array(*[F.struct(F.lit(float(f)).alias("q"), (F.lit(float(f)) * (F.col("_n") - 1)).alias("pos"))
-                       for f in fractions])
-    needed = spans.withColumn("_w", wanted).where(F.exists(
-        "_w", lambda w: (F.floor(w["pos"]) < F.col("_end")) & (F.ceil(w["pos"]) >= F.col("_start"))))
-    picked = join_null_safe(celled.withColumnRenamed("_n", "_rows"), needed.select(*whole, "_c", "_start", "_w"), [*keys, "_c"])
-    values = picked.groupBy(*whole, "_c", "_v").agg(
-        F.count(F.lit(1)).alias("_k"), F.first("_start").alias("_start"), F.first("_w").alias("_w"))
-    in_cell = W.partitionBy(*whole, "_c").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    placed = values.withColumn("_to", F.col("_start") + F.sum("_k").over(in_cell)) \
-                   .withColumn("_from", F.col("_to") - F.col("_k"))
-    hits = placed.withColumn("_x", F.explode("_w")).where(
-        (F.floor(F.col("_x.pos")) < F.col("_to")) & (F.ceil(F.col("_x.pos")) >= F.col("_from")))
+    sides = [min(1.0, max(0.0, f + 3 * d / accuracy)) for f in fractions for d in (-1, 1)]
+    ranged = attach(clean, keys, _n=F.count(F.lit(1)), _b=F.percentile_approx("_v", sides, accuracy))
+    inside = [(F.col("_v") >= F.col("_b")[2 * i]) & (F.col("_v") <= F.col("_b")[2 * i + 1]) for i in range(len(fractions))]
+    near = reduce(lambda x, y: x | y, inside)
+    counted = ranged.groupBy(*whole, "_n", "_b", F.when(near, F.col("_v")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_k"), F.array(*[F.count_if(F.col("_v") < F.col("_b")[2 * i]) for i in range(len(fractions))]).alias("_under"))
+    group = W.partitionBy(*whole)
+    below = F.array(*[F.sum(F.col("_under")[i]).over(group) for i in range(len(fractions))])
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(f)).alias("q"), (F.lit(float(f)) * (F.col("_n") - 1)).alias("pos"))
+                       for i, f in enumerate(fractions)])
+    held = (counted.withColumn("_below", below).where(F.col("_v").isNotNull())
+            .select(*whole, "_v", "_k", "_b", "_below", F.explode(wanted).alias("_x"))
+            .where((F.col("_v") >= F.element_at("_b", 2 * F.col("_x.i") + 1)) & (F.col("_v") <= F.element_at("_b", 2 * F.col("_x.i") + 2))))
+    in_bracket = W.partitionBy(*whole, "_x.i").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    placed = held.withColumn("_to", F.element_at("_below", F.col("_x.i") + 1) + F.sum("_k").over(in_bracket)) \
+                 .withColumn("_from", F.col("_to") - F.col("_k"))
+    hits = placed.where((F.floor(F.col("_x.pos")) < F.col("_to")) & (F.ceil(F.col("_x.pos")) >= F.col("_from")))
     # of the two order statistics around a rank, the lower is the minimum of the hits, the upper the maximum
     return (
         hits.groupBy(*whole, F.col("_x.q").alias("fraction"))

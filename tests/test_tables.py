@@ -164,7 +164,7 @@ def test_quantiles_are_exact_with_repeats_and_outliers(spark):
     rng = random.Random(2)
     data = [("hot", float(rng.choice([1, 1, 1, 2, 5]))) for _ in range(500)] + [("wide", rng.gauss(0, 1) ** 5) for _ in range(333)] + [("one", 4.0)]
     df = spark.createDataFrame(data, "g string, x double")
-    got = {(r.g, r.fraction): r.quantile for r in exact_quantiles(df, ["g"], "x", [0.0, 0.25, 0.5, 0.9, 1.0], cells=8).collect()}
+    got = {(r.g, r.fraction): r.quantile for r in exact_quantiles(df, ["g"], "x", [0.0, 0.25, 0.5, 0.9, 1.0], accuracy=50).collect()}
     for g in ("hot", "wide", "one"):
         xs = sorted(x for k, x in data if k == g)
         for q in (0.0, 0.25, 0.5, 0.9, 1.0):
