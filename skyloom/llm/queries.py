@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, lines, packing, pii, quality, secrets, simhash, spans, warc
+from . import decontamination, language, lines, packing, pii, quality, secrets, simhash, spans, sql, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,12 +22,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_warc_bundles", """
-    SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
-           CASE WHEN again THEN first_id END AS refers_to
-    FROM (SELECT *, payload_bytes >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again
-          FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
-                       min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first_id FROM pages))""")
+@query("op1_warc_bundles", sql.ARCHIVE)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to seekable bundles, then read the bundles."""
     index = warc.archive(table(spark, sf_dir, "pages"))
@@ -42,7 +37,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, net).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-@query("op3_substring_dedup")
+@query("op3_substring_dedup", sql.SPANS)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -52,7 +47,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-@query("op5_line_templates")
+@query("op5_line_templates", sql.LINES)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.drop_templates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", "text")
@@ -78,6 +73,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.flag_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op10_quality_rules")
+@query("op10_quality_rules", sql.QUALITY)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("cleaned")

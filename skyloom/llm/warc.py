@@ -12,6 +12,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import xxhash
@@ -128,7 +129,7 @@ class Bundle:
         self.out.close()
 
 
-def write_bundles(records: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", frame_bytes: int = 1 << 20,
+def write_bundles(records: DataFrame, folder: str, date: str, frame_bytes: int = 1 << 20,
                   bundle_bytes: int = 1 << 30, level: int = 3) -> DataFrame:
     """Write the rows of ``classify`` and return the stored index, one row per record.
 
@@ -249,6 +250,7 @@ def fetch(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def archive(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Classify, write and index the pages; the folder defaults to one below the shared folder."""
+    """Classify, write and index the pages, dated now; the folder defaults to one below the shared folder."""
+    options.setdefault("date", datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))
     where = folder or scratch_path(pages.sparkSession, "warc")
     return write_bundles(classify(pages), where, **options)
