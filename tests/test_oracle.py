@@ -11,8 +11,8 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
-# fits that take long and have no SQL form are run by the unit tests and by the driver
-SLOW = {"ml6_svm_linear", "ml7_svm_poly", "ml8_svm_rbf", "ml11_sweep", "ml5_forest_importances", "clu3_select_k", "ml10_mlp_regression"}
+# 21 fits; the kernel sweep runs the same code
+SLOW = {"ml11_sweep"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not there")
 
