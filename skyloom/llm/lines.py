@@ -15,7 +15,7 @@ from .common import as_strings, map_texts, order_id, stored, text_key
 WILDCARD = "<*>"
 _DIGIT = re.compile(r"[0-9]")
 _SPACES = re.compile(r"[ \t\n\x0b\x0c\r]+")
-LINES = "k long, h long, leaf long, leaf_first int, form long, tokens array<string>"
+LINES = "k long, h long, leaf long, leaf_first int, form long, tokens string"
 
 
 def masked(line: str) -> list[str]:
@@ -46,7 +46,7 @@ def line_rows(docs: DataFrame, depth: int, least: int) -> DataFrame:
                     leaf, form = place(tokens, depth)
                     if (leaf, form) in forms:
                         continue
-                    for column, value in zip(out.values(), (k, h, leaf, int(leaf not in leaves), form, tokens)):
+                    for column, value in zip(out.values(), (k, h, leaf, int(leaf not in leaves), form, " ".join(tokens))):
                         column.append(value)
                     forms.add((leaf, form))
                     leaves.add(leaf)
@@ -64,7 +64,7 @@ def recurring(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity: fl
     shared = every.groupBy("leaf").agg(F.sum("leaf_first").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
     lines = stored(every.join(shared, "leaf", "left_semi").select("k", "h", "leaf", "form", "tokens"), "lines")
     forms = lines.groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
-    cells = forms.select("leaf", "form", "n", F.posexplode("tokens").alias("at", "token"))
+    cells = forms.select("leaf", "form", "n", F.posexplode(F.split("tokens", " ")).alias("at", "token"))
     fixed = (cells.filter(F.col("at") >= depth).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
              .filter((F.col("n") >= min_docs) & (F.col("token") != WILDCARD)).select("leaf", "at", "token", F.lit(True).alias("fixed")))
     steady = F.coalesce("fixed", (F.col("at") < depth) & (F.col("token") != WILDCARD))
