@@ -40,3 +40,17 @@ def test_top_n_per_class_is_limited_before_the_shuffle(spark):
 def test_mask_and_row_local_work_do_not_shuffle(spark):
     for name in ("flt2_all_positive", "cln1_repair_sizes", "scl1_math", "gen1_uniform_design", "smp5_split"):
         assert "Exchange" not in plan(spark, name)
+
+
+def test_ordered_work_moves_the_table_once(spark):
+    from skyloom.operators.ordering import ordered
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).selectExpr("id % 3 AS k", "CAST(id AS double) AS t", "id AS wide")
+        text = ordered(df, ["k"], "t", cell=10.0, previous=["wide"], index="i")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the table, its summaries by cell, their running totals by series, and the way back to the cells
+    assert text.count("Exchange hashpartitioning") <= 4 and text.count("Window [") <= 2
