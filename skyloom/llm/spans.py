@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_strings, map_texts, order_id, text_key
+from .common import as_strings, map_texts, order_id, stored, text_key
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)")
 _WORD = re.compile(r"\w+")
@@ -74,8 +74,8 @@ def span_rows(docs: DataFrame, least: int, words: int, enough: int) -> DataFrame
 def repeated_spans(docs: DataFrame, least: int = 3, words: int = 20, enough: int = 40, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``(k, h, spans)``: for each document, the runs of sentences that occur before, as an array of ``(first, last)``."""
     rows = span_rows(docs.select(order_id(ident).alias("k"), text_key(text).alias("h"), F.col(text).alias("t")), least, words, enough)
-    seen = (rows.groupBy("p", "q").agg(F.min(F.struct("k", "h", "first")).alias("origin"), F.count("*").alias("n"))
-            .filter("n > 1").drop("n"))
+    seen = stored(rows.groupBy("p", "q").agg(F.min(F.struct("k", "h", "first")).alias("origin"), F.count("*").alias("n"))
+                  .filter("n > 1").drop("n"), "origins")  # as a table of its own, so that the join can split a hot hash
     again = rows.join(seen, ["p", "q"]).filter(F.struct("k", "h", "first") != F.col("origin"))
     return again.groupBy("k", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
