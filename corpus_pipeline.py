@@ -17,7 +17,7 @@ LEAST_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network knows; without a letter, or with no language ahead, they go."""
     net = language.fit(docs, ~language.held_out())
-    probability = language.score_column(net, "text")
+    probability = language.score_column(spark, net, "text")
     return docs.filter(probability >= LEAST_SCORE)
 
 

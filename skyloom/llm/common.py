@@ -40,6 +40,20 @@ def wide_hash(*cols: Column) -> list[Column]:
     return [F.xxhash64(F.lit(7), *cols), F.xxhash64(F.lit(1000003), *cols)]
 
 
+BATCH_ROWS = 512
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let at most ``BATCH_ROWS`` rows at a time cross to Python in this session.
+
+    The default of 10,000 rows is meant for narrow rows; of long texts it is a
+    gigabyte, once in the JVM's direct memory and once in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_texts(df: DataFrame, fn: Callable[[Iterator[dict[str, pa.Array]]], Iterable[dict]], schema: str | StructType,
               rows: int = 512, megabytes: int = 8) -> DataFrame:
     """Run ``fn`` over Arrow columns, in slices of bounded rows and bytes.
@@ -47,6 +61,7 @@ def map_texts(df: DataFrame, fn: Callable[[Iterator[dict[str, pa.Array]]], Itera
     ``fn`` takes an iterator of column dictionaries and yields dictionaries of
     lists or arrays. The slices keep a task's memory flat when texts are long.
     """
+    short_batches(df.sparkSession)
     kind = df.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     names = kind.fieldNames()
     from pyspark.sql.pandas.types import to_arrow_schema

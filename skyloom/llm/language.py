@@ -16,9 +16,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import as_bytes, map_texts
+from .common import as_bytes, map_texts, short_batches
 
 PAD = 255  # a byte that UTF-8 never uses fills the last window of a text
 UNKNOWN = "und"
@@ -253,8 +253,10 @@ def judge(net: Network | None, texts: list[bytes]) -> tuple[list[str], list[floa
             [min(1.0, float(p[i, b])) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, lettered))])
 
 
-def score_column(net: Network | None, text: str = "text") -> Column:
+def score_column(spark: SparkSession, net: Network | None, text: str = "text") -> Column:
     """The score of ``predict`` as a column, for filtering rows without moving them."""
+    short_batches(spark)
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         out: list[float] = []

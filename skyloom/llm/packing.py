@@ -42,7 +42,7 @@ class WordTokens:
     apart by the tokens that end a piece. The table is emptied when it is full.
     """
 
-    def __init__(self, path: str, room: int = 1_200_000):
+    def __init__(self, path: str, room: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
@@ -86,7 +86,7 @@ class WordTokens:
 
 @functools.lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
-    """One table per Python worker, kept between its tasks."""
+    """One vocabulary per Python worker, kept between its tasks."""
     return WordTokens(path)
 
 
@@ -118,6 +118,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
                         out[name].append(value)
                     seen[size] += 1
             yield out | {"task": [task] * len(out["piece"])}
+        tokens.known.clear()  # the worker may go on with other work, and its memory is shared
 
     return map_texts(docs.select(F.col(ident).cast("long").alias("d"), F.col(text).alias("t")), run, PIECES)
 
