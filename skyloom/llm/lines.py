@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_strings, map_texts, order_id, stored, text_key
+from .common import as_strings, map_texts, order_id, short_batches, stored, text_key
 
 WILDCARD = "<*>"
 _DIGIT = re.compile(r"[0-9]")
@@ -73,10 +73,11 @@ def recurring(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity: fl
                                           F.avg(steady.cast("double")).alias("share"))
              .filter(F.col("share") >= similarity).select("leaf", "form", F.array_join("ws.w", " ").alias("pattern"))
              .withColumn("template", F.xxhash64("leaf", "pattern")))
+    named = stored(named, "line-names")  # as a table of its own, so that the join can split a form that very many documents have
     own = lines.select("k", "h", "leaf", "form").join(named, ["leaf", "form"])
     per_doc = own.select("template", "pattern", "k", "h").distinct()
-    templates = (per_doc.groupBy("template", "pattern").agg(F.count("*").alias("n_docs"), F.min(F.struct("k", "h")).alias("origin"))
-                 .filter(F.col("n_docs") >= min_docs))
+    templates = stored(per_doc.groupBy("template", "pattern").agg(F.count("*").alias("n_docs"), F.min(F.struct("k", "h")).alias("origin"))
+                       .filter(F.col("n_docs") >= min_docs), "templates")
     return own.select("k", "h", "form", "template", "pattern"), templates
 
 
@@ -110,6 +111,7 @@ def drop_templates(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarit
     grouping is combined before its shuffle, by form first, so a line in a third
     of all documents is one row per task.
     """
+    short_batches(docs.sparkSession)
     own, templates = recurring(docs, min_docs, depth, similarity, least, ident, text)
     drop = (own.join(templates.select("template", "pattern", "origin"), ["template", "pattern"]).filter(F.struct("k", "h") != F.col("origin"))
             .groupBy("k", "h").agg(F.collect_set("form").alias("forms")))
