@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -18,14 +19,17 @@ _WORD = re.compile(r"\w+")
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """``(start, end, words)`` of every sentence; together they are the whole text. Pieces without a word join the sentence before them."""
     out: list[tuple[int, int, list[str]]] = []
+    low, find = text.lower(), _WORD.findall
+    aligned = len(low) == len(text)  # a few capital letters have longer small ones
     for m in SENTENCE.finditer(text):
-        if m.end() == m.start():
+        begin, end = m.span()
+        if begin == end:
             continue
-        words = _WORD.findall(m[0].lower())
+        words = find(low, begin, end) if aligned else find(text[begin:end].lower())
         if words or not out:
-            out.append((m.start(), m.end(), words))
+            out.append((begin, end, words))
         else:
-            out[-1] = (out[-1][0], m.end(), out[-1][2])
+            out[-1] = (out[-1][0], end, out[-1][2])
     return out
 
 
@@ -50,23 +54,22 @@ def runs(parts: list[tuple[int, int, list[str]]], least: int, words: int, enough
         total -= sizes[first]
 
 
-def _signed(raw: bytes) -> int:
-    return int.from_bytes(raw, "little", signed=True)
-
-
 def span_rows(docs: DataFrame, least: int, words: int, enough: int) -> DataFrame:
     """A row for every run of every document: 128 bits of its words, the document's key and the run's first and last sentence."""
     def run(parts: Iterator[dict[str, pa.Array]]) -> Iterator[dict]:
         for part in parts:
-            out: dict[str, list] = {k: [] for k in ("p", "q", "k", "h", "first", "last")}
-            for k, h, text in zip(part["k"].to_pylist(), part["h"].to_pylist(), as_strings(part["t"])):
+            digests, firsts, lasts, counts = [], [], [], []
+            for text in as_strings(part["t"]):
+                before = len(firsts)
                 for first, last, digest in runs(sentences(text), least, words, enough):
-                    for column, value in zip(out.values(), (_signed(digest[:8]), _signed(digest[8:]), k, h, first, last)):
-                        column.append(value)
-                if len(out["p"]) > 50000:
-                    yield out
-                    out = {k: [] for k in out}
-            yield out
+                    digests.append(digest)
+                    firsts.append(first)
+                    lasts.append(last)
+                counts.append(len(firsts) - before)
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            own = {c: np.repeat(part[c].to_numpy(zero_copy_only=False), counts) for c in ("k", "h")}
+            yield {"p": pa.array(halves[:, 0].copy()), "q": pa.array(halves[:, 1].copy()), "k": pa.array(own["k"]), "h": pa.array(own["h"]),
+                   "first": firsts, "last": lasts}
 
     return map_texts(docs, run, "p long, q long, k long, h long, first int, last int", megabytes=2)
 
