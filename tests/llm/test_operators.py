@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from skyloom.llm import components, decontamination, language, lines, packing, pii, quality, secrets, simhash, spans, warc
+from skyloom.session import scratch_path
 from tests_llm_plain import plain_fingerprint, plain_personal
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, k string, h string, d string, t string, fp string, template string"
@@ -65,7 +66,7 @@ def test_warc_archive(spark):
     rows = [(3, "u3", big), (1, "u1", big), (2, None, big), (None, "n", big), (4, "u4", small), (5, "u5", small), (6, "u6", None), (7, "u7", ""),
             (1, "u1", big), (8, "u\r\nX: y", "z" * 99), (9, "u9", "z" * 99), (10, "a", "q" * 100), (11, "b", "q" * 100), (12, "long", "l" * 3_000_000)]
     pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, payload string, frame string").repartition(2)
-    index = warc.archive(pages, frame_bytes=1500, bundle_bytes=900)
+    index = warc.write_bundles(warc.classify(pages).coalesce(1), scratch_path(spark, "warc"), "2024-01-01T00:00:00Z", frame_bytes=1500, bundle_bytes=900)
     got = warc.read_bundles(index).collect()
     first = defaultdict(list)
     for i, _, t in rows:
