@@ -22,8 +22,9 @@ KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 # fixed values: sizes of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 digests in hexadecimal
 DIGEST_SIZES = frozenset({32, 40, 56, 64, 96, 128})
-IDENTIFIER = re.compile(r"[0-9]+|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[A-Za-z_]+[0-9]{0,4}"
-                        r"|(?:[A-Za-z]+[-_/=+])+[A-Za-z]*[0-9]{0,4}")
+IDENTIFIER = re.compile(r"[0-9]+|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+JOINED = re.compile(r"[A-Za-z_/=+-]+[0-9]{0,4}")  # words in a row, perhaps with a short number
+PART = re.compile(r"[A-Za-z]{3,}")
 ONLY_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, found array<string>"
 
@@ -54,7 +55,19 @@ def inefficient(value: str, encode, ratio: float) -> bool:
     return len(value) < ratio * len(encode(value))
 
 
-def scan(text: str, encode, ratio: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+def random_letters(value: str, encode, ratio: float, letters: float) -> bool:
+    """Whether joined letters are no words: a part as long as a candidate is under ``letters``, or the run is inefficient and its parts together are.
+
+    Parts of one or two letters can't be judged; a run that is mostly such parts is taken for an identifier.
+    """
+    parts = PART.findall(value)
+    if any(len(p) >= 16 and inefficient(p, encode, letters) for p in parts):
+        return True
+    size = sum(map(len, parts))
+    return 2 * size >= len(value) and inefficient(value, encode, ratio) and size < letters * sum(len(encode(p)) for p in parts)
+
+
+def scan(text: str, encode, ratio: float, letters: float = 2.0) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """Base spans ``(start, kind, end)`` in order, and the spans that the token-efficiency test adds."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m["v"]) >= 6]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
@@ -63,23 +76,26 @@ def scan(text: str, encode, ratio: float) -> tuple[list[tuple[int, int, int]], l
     added = []
     for m in CANDIDATE.finditer(text):
         value = m[0]
-        if value.isalpha() or is_known(value) or any(s < m.end() and m.start() < e for s, _, e in base):
+        if is_known(value) or any(s < m.end() and m.start() < e for s, _, e in base):
             continue
-        if inefficient(value, encode, ratio):
+        if random_letters(value, encode, ratio, letters) if JOINED.fullmatch(value) else inefficient(value, encode, ratio):
             added.append((m.start(), m.end()))
     return base, added
 
 
 def find_secrets(docs: DataFrame, vocabulary: str | None = None, ratio: float = 2.2, ident: str = "doc_id",
-                 text: str = "text") -> DataFrame:
+                 text: str = "text", letters: float = 2.0) -> DataFrame:
     """One row per document with the secrets of its whole text (null: empty).
 
     Base spans are keyword assignments, access keys and long hexadecimal runs.
-    The token-efficiency test looks at runs of 16 or more characters of keys
-    that hold more than letters: ordinary words shorten to few tokens, while a
-    random string has under ``ratio`` characters for each token of the
-    vocabulary. Digests of known sizes, UUIDs, plain numbers, joined words and
-    runs that a base span overlaps are left out. ``spans`` lists all spans by
+    The token-efficiency test looks at runs of 16 or more characters of keys:
+    ordinary words shorten to few tokens, while a random string has under
+    ``ratio`` characters for each token of the vocabulary. Letters only, and
+    letters joined by separators with up to four digits at the end, are random
+    if they are under the stricter ``letters``, judged by their parts (see
+    ``random_letters``), as long words of rare languages come near ``ratio``.
+    Digests of known sizes, UUIDs, plain numbers and runs that a base span
+    overlaps are left out. ``spans`` lists all spans by
     start, then kind (assign, access, hex, random), in code points with the end
     exclusive. Repeated rows give repeated results; other columns are not read.
     """
@@ -90,7 +106,7 @@ def find_secrets(docs: DataFrame, vocabulary: str | None = None, ratio: float =
         for part in parts:
             out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans", "found")}
             for value in as_strings(part["t"]):
-                base, added = scan(value, encode, ratio)
+                base, added = scan(value, encode, ratio, letters)
                 spell = lambda xs: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in xs)
                 every = sorted(base + [(s, 3, e) for s, e in added])
                 for kind, name in enumerate(("n_assign", "n_access", "n_hex")):

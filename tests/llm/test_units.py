@@ -2,6 +2,7 @@
 
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -65,6 +66,22 @@ def test_secret_base_spans_and_efficiency():
         assert not secrets.scan(innocent, encode, 2.2)[1], innocent
 
 
+def test_random_letters_are_secrets():
+    encode = secrets.encoding(secrets.vocabulary_path()).encode_ordinary
+    rng = random.Random(5)
+    for letters, least in ((string.ascii_letters, 0.99), (string.ascii_uppercase, 0.99), (string.ascii_lowercase, 0.95)):
+        for make in (lambda own: own, lambda own: own[:11] + "/" + own[11:] + "42", lambda own: own[:14] + "+" + own[14:] + "==", lambda own: "configuration/production/" + own):
+            found = 0
+            for _ in range(300):
+                value = make("".join(rng.choices(letters, k=30)))
+                base, added = secrets.scan(f"see {value} here", encode, 2.2)
+                found += not base and added == [(4, 4 + len(value))]
+            assert found >= least * 300, (letters, found)
+    for innocent in ("internationalization", "getUserNameFromIdentifier", "INTERNATIONALIZATION", "MAX_CONNECTION_TIMEOUT_SECONDS", "com/example/project/Main",
+                     "Donaudampfschifffahrtsgesellschaft", "i_am_a_b_c_d_e_f_g", "a-b-c-d-e-f-g-h-i-j", "=" * 40, "get-user-name-from-id-2024", "__init__/__main__"):
+        assert not secrets.scan(innocent, encode, 2.2)[1], innocent
+
+
 def test_word_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
