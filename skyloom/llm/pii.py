@@ -101,8 +101,8 @@ def disclosing_terms(rows: DataFrame, support: int, generalise: float) -> DataFr
     texts are judged, since a rarer company proves nothing.
 
     Rows are one per distinct (text, entity) and (text, term) of texts with
-    personal data, which are few; the rest of the corpus comes in by term counts
-    that are combined before the shuffle, and counts copies of a text each.
+    personal data, which are few; the rest of the corpus is reduced to one row
+    per text and comes in by term counts that are combined before the shuffle.
     """
     personal = F.greatest(*[F.size(k) for k in KINDS]) > 0
     values = F.concat(*[over(k, lambda kind, s: entity(kind, s["value"])) for k in KINDS])
@@ -115,7 +115,8 @@ def disclosing_terms(rows: DataFrame, support: int, generalise: float) -> DataFr
     near = words.groupBy("term").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= support)
     pairs = words.join(shared.select("h").distinct(), "h", "left_semi").join(near, "term").join(shared, "h")
     together = stored(pairs.groupBy("c", "term", "n_c", "n_near").agg(F.count("*").alias("n_tc")).filter(F.col("n_tc") >= support), "company")
-    elsewhere = (rows.filter(~personal).select(F.explode(terms(F.col("t"))).alias("term")).select(F.xxhash64("term").alias("w"))
+    clean = rows.filter(~personal).select("h", "t").dropDuplicates(["h"])  # copies count once, as everywhere else
+    elsewhere = (clean.select(F.explode(terms(F.col("t"))).alias("term")).select(F.xxhash64("term").alias("w"))
                  .groupBy("w").agg(F.count("*").alias("n_far")))
     wanted = together.select("term").distinct().withColumn("w", F.xxhash64("term")).join(elsewhere, "w", "left").select("term", "n_far")
     judged = together.join(wanted, "term")

@@ -222,6 +222,16 @@ def test_disclosing_terms(spark):
     assert got[60]["n_terms"] == 0 and got[12]["spans"] == "" and got[12]["sanitised"] == rows[6][1] and got[70]["sanitised"] == ""
 
 
+def test_copies_of_a_clean_text_count_once(spark):
+    rows = [(i, f"Zorblatt writes to boss@corp.example about {prose(i, 12)}", None) for i in range(5)]
+    rows += [(100 + i, prose(50 + i, 12), None) for i in range(40)]
+    once = rows + [(1000, "Zorblatt alone", None)]
+    many = rows + [(1000 + i, "Zorblatt alone", None) for i in range(300)]
+    spelled = lambda docs: {r["doc_id"]: r["spans"] for r in pii.find_personal(frame(spark, docs)).collect() if r["doc_id"] < 100}
+    got = spelled(many)
+    assert got == spelled(once) and all("general:0:8" in got[i] or "removed:0:8" in got[i] for i in range(5))
+
+
 def test_personal_data_stays_in_the_engine(spark):
     plan = pii.find_personal(frame(spark, [(1, "a@b.c", None)]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan.replace("PythonRDD", ""))
