@@ -160,7 +160,9 @@ def exact_quantiles(
     The first pass brackets every wanted rank by approximate quantiles, whose
     rank error is bounded by 1 / ``accuracy`` of the rows whatever the values
     are. The second counts the rows below each bracket and the distinct values
-    inside, so only a few ten-thousandths of the rows are ranked.
+    inside, so only a few ten-thousandths of the rows are ranked. In a group of
+    few rows the share of a bracket is less than a row, and an order statistic
+    may be the next value outside, so that is kept on both sides.
     """
     keys = list(keys)
     whole = [col(k) for k in keys]
@@ -170,24 +172,31 @@ def exact_quantiles(
     inside = [(F.col("_v") >= F.col("_b")[2 * i]) & (F.col("_v") <= F.col("_b")[2 * i + 1]) for i in range(len(fractions))]
     near = reduce(lambda x, y: x | y, inside)
     counted = ranged.groupBy(*whole, "_n", "_b", F.when(near, F.col("_v")).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_k"), F.array(*[F.count_if(F.col("_v") < F.col("_b")[2 * i]) for i in range(len(fractions))]).alias("_under"))
+        F.count(F.lit(1)).alias("_k"), *[F.array(*[side(i) for i in range(len(fractions))]).alias(name) for name, side in (
+            ("_under", lambda i: F.count_if(F.col("_v") < F.col("_b")[2 * i])),
+            ("_less", lambda i: F.max(F.when(F.col("_v") < F.col("_b")[2 * i], F.col("_v")))),
+            ("_more", lambda i: F.min(F.when(F.col("_v") > F.col("_b")[2 * i + 1], F.col("_v")))))])
     group = W.partitionBy(*whole)
-    below = F.array(*[F.sum(F.col("_under")[i]).over(group) for i in range(len(fractions))])
+    below, less, more = (F.array(*[fn(F.col(name)[i]).over(group) for i in range(len(fractions))])
+                         for name, fn in (("_under", F.sum), ("_less", F.max), ("_more", F.min)))
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(f)).alias("q"), (F.lit(float(f)) * (F.col("_n") - 1)).alias("pos"))
                        for i, f in enumerate(fractions)])
-    held = (counted.withColumn("_below", below).where(F.col("_v").isNotNull())
-            .select(*whole, "_v", "_k", "_b", "_below", F.explode(wanted).alias("_x"))
+    held = (counted.withColumns({"_below": below, "_less": less, "_more": more}).where(F.col("_v").isNotNull())
+            .select(*whole, "_v", "_k", "_b", "_below", "_less", "_more", F.explode(wanted).alias("_x"))
             .where((F.col("_v") >= F.element_at("_b", 2 * F.col("_x.i") + 1)) & (F.col("_v") <= F.element_at("_b", 2 * F.col("_x.i") + 2))))
     in_bracket = W.partitionBy(*whole, "_x.i").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     placed = held.withColumn("_to", F.element_at("_below", F.col("_x.i") + 1) + F.sum("_k").over(in_bracket)) \
                  .withColumn("_from", F.col("_to") - F.col("_k"))
-    hits = placed.where((F.floor(F.col("_x.pos")) < F.col("_to")) & (F.ceil(F.col("_x.pos")) >= F.col("_from")))
-    # of the two order statistics around a rank, the lower is the minimum of the hits, the upper the maximum
+    low, high = F.floor("_p"), F.ceil("_p")
+    hit = F.when((F.floor(F.col("_x.pos")) < F.col("_to")) & (F.ceil(F.col("_x.pos")) >= F.col("_from")), F.col("_v"))
+    # of the two order statistics around a rank, the lower is the minimum of the hits, the upper the maximum, unless it is next to the bracket
+    outside = lambda rank, inner: F.when(rank < F.col("_start"), F.col("_less")).when(rank >= F.col("_stop"), F.col("_more")).otherwise(inner)
     return (
-        hits.groupBy(*whole, F.col("_x.q").alias("fraction"))
-        .agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.first("_x.pos").alias("_p"))
-        .select(*whole, "fraction",
-                (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_p") - F.floor("_p"))).alias("quantile"))
+        placed.groupBy(*whole, F.col("_x.q").alias("fraction"))
+        .agg(F.min(hit).alias("_a"), F.max(hit).alias("_b"), F.first("_x.pos").alias("_p"), F.min("_from").alias("_start"), F.max("_to").alias("_stop"),
+             F.first(F.element_at("_less", F.col("_x.i") + 1)).alias("_less"), F.first(F.element_at("_more", F.col("_x.i") + 1)).alias("_more"))
+        .withColumns({"_a": outside(low, F.col("_a")), "_b": outside(high, F.col("_b"))})
+        .select(*whole, "fraction", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_p") - low)).alias("quantile"))
     )
 
 

@@ -173,6 +173,17 @@ def test_quantiles_are_exact_with_repeats_and_outliers(spark):
             assert got[g, q] == pytest.approx(lo + (hi - lo) * (p - math.floor(p)))
 
 
+def test_quantiles_of_small_groups_are_exact(spark):
+    sizes = [*range(1, 41), 57, 100, 333, 502, 999, 1000, 1001, 1699, 2000]
+    df = spark.createDataFrame([(n,) for n in sizes], "g int").select("g", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("x"))
+    fractions = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {(r.g, r.fraction): r.quantile for r in exact_quantiles(df, ["g"], "x", fractions).collect()}
+    assert len(got) == len(sizes) * len(fractions)
+    for n in sizes:
+        for q in fractions:
+            assert got[n, q] == pytest.approx(q * (n - 1)), (n, q)
+
+
 def test_samples_and_splits(spark):
     df = spark.range(5000).withColumn("class", F.when(F.col("id") % 3 == 0, "x").otherwise("y"))
     assert P.sample_n(df, 700, "id", 1).count() == 700
