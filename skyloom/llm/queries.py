@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, language, lines, packing, pii, quality, secrets, simhash, spans, sql, warc
+from . import decontamination, html, language, lines, negatives, packing, periods, pii, quality, secrets, simhash, spans, sql, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules", sql.QUALITY)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text; in each document whose checksum ends in 0, the words from some place on first become a repetition."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    sums = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    split = sums.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumns({"n": F.size("w").cast("long"), "g": F.expr("h div 10")})
+    changed = F.expr("""CASE WHEN n > 0 THEN array_join(transform(sequence(0, n - 1), i -> w[int(
+        CASE WHEN i < g % n THEN i ELSE g % n + (i - g % n) % (1 + (n - g % n) div (3 + g % 8)) END)]), ' ') ELSE text END""")
+    return periods.find_runs(split.select("doc_id", changed.alias("text"))).drop("runs")
+
+
+@query("op12_hard_negatives", sql.NEGATIVES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+@query("op13_main_text")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
