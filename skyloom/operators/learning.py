@@ -7,15 +7,14 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import IndexToString, PolynomialExpansion, StringIndexer
 from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.expr import add, col
+from . import trees
 from .clustering import assemble
 from .scaling import scale_standard
 
@@ -93,47 +92,24 @@ def logistic(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str,
         tol=tol, featuresCol="features", labelCol="_y", predictionCol="_p"), standardise=True)[:2]
 
 
-def decision_tree(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, max_depth: int = 30,
-                  max_bins: int = 256, seed: int = 0):
-    """Gini decision tree grown to purity within ``max_depth``.
+def decision_tree(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, **options):
+    """Gini decision tree with exact thresholds, grown until leaves are pure; returns (model, predictions, labels)."""
+    model = trees.fit(train, cols, label, **options)
+    return model, trees.predict(model, test), model.labels
 
-    An approximation: thresholds are the edges of ``max_bins`` bins, and 30 is
-    the greatest depth that Spark ML has.
-    """
-    return _fit_predict(train, test, cols, label, lambda n: DecisionTreeClassifier(
-        impurity="gini", maxDepth=max_depth, maxBins=max_bins, seed=seed, featuresCol="features", labelCol="_y",
-        predictionCol="_p"), standardise=False)
 
+def random_forest(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, count: int = 100, tries: int | None = None, **options):
+    """Forest of such trees on bootstraps, the square root of the features tried at a node unless given.
 
-def random_forest(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, trees: int = 100,
-                  max_depth: int = 30, max_bins: int = 256, seed: int = 0):
-    """Random forest with the limits of ``decision_tree``; returns (model, predictions, importance per feature)."""
-    model, scored, _ = _fit_predict(train, test, cols, label, lambda n: RandomForestClassifier(
-        numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=max_depth, maxBins=max_bins, seed=seed,
-        featuresCol="features", labelCol="_y", predictionCol="_p"), standardise=False)
-    importances = test.sparkSession.createDataFrame(
-        [(c, float(v)) for c, v in zip(cols, model.featureImportances.toArray())], "feature string, importance double")
-    return model, scored, importances
+    Returns (model, predictions, importance per feature).
+    """
+    model = trees.fit(train, cols, label, trees=count, tries=tries or max(1, math.isqrt(len(cols))), **options)
+    return model, trees.predict(model, test), trees.importances(model)
 
 
-def tree_rules(model, labels: Sequence[str], cols: Sequence[str], depth: int = 3) -> DataFrame:
+def tree_rules(model: trees.Forest, depth: int = 3) -> DataFrame:
     """The top of a fitted tree as rows: node, parent, depth, feature, threshold and majority class."""
-    rows, level = [], [(model._java_obj.rootNode() if hasattr(model, "_java_obj") else None, 1, None, 0)]
-    while level:
-        following = []
-        for node, number, parent, at in level:  # at most 2^depth nodes are listed
-            split = node.split() if node.subtreeDepth() > 0 else None
-            cls = labels[int(node.prediction())]
-            if split is None:
-                rows.append((number, parent, at, None, None, cls))
-                continue
-            rows.append((number, parent, at, cols[split.featureIndex()], float(split.threshold()), cls))
-            if at < depth:
-                following.append((node.leftChild(), 2 * number, number, at + 1))
-                following.append((node.rightChild(), 2 * number + 1, number, at + 1))
-        level = following
-    return SparkSession.active().createDataFrame(
-        rows, "node int, parent int, depth int, feature string, threshold double, class string")
+    return trees.rules(model, depth).drop("counts")
 
 
 def fourier_features(df: DataFrame, cols: Sequence[str], gamma: float, size: int = 128, seed: int = 0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas as S
+from ..operators import aggregates as A
 from ..operators import baskets as K
 from ..operators import binning as B
 from ..operators import cleaning as C
@@ -16,6 +17,8 @@ from ..operators import neural as N
 from ..operators import sampling as P
 from ..operators import scaling as Z
 from ..operators import selection as L
+from ..operators import trees as T
+from ..session import stored
 from .bindings import SAMPLES_SQL, catalogue, samples, table, uniform_sql, with_sql
 from .catalogue_queries import LINE_MEASURES, LINE_POSITIVE, MASKED, _W_TERMS, _dominant_sql, _weights_sql, bins_sql, CAT
 from .registry import query, rounded
@@ -387,15 +390,73 @@ def _(spark, d):
     UNION ALL SELECT 7, 3, 2, NULL, NULL, mode(class) FROM t WHERE q > 75.5 AND disc > 10.5"""))
 def _(spark, d):
     parts = P.split(_apart(spark, d), "key", 0.3, seed=14)
-    model, _, labels = M.decision_tree(parts["train"], parts["test"], _APART_COLS, "class")
-    return rounded(M.tree_rules(model, labels, _APART_COLS, 3), 4)
+    return rounded(M.tree_rules(T.fit(parts["train"], _APART_COLS, "class"), 3), 4)
 
 
 @query("ml4_tree_rules_catalogue")
 def _(spark, d):
     parts = _parts(spark, d)
-    model, _, labels = M.decision_tree(parts["train"], parts["test"], FEATURES, "class")
-    return rounded(M.tree_rules(model, labels, FEATURES, 3), 4)
+    return rounded(M.tree_rules(T.fit(parts["train"], FEATURES, "class"), 3), 4)
+
+
+# Classes that overlap: the flags of order lines by four measures. A whole tree puts equal rows in one leaf, so SQL knows every
+# prediction on its own rows; and the exact splits of the first levels are cumulative counts.
+
+_FLAG_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LOCAL_ROWS = 40000  # above it Spark splits a node: from scale factor 0.01 on both ways of growing take part
+
+
+def _split_sql(node: int) -> str:
+    """Best (feature, threshold) of the rows in ``n{node}``, with the weights by class."""
+    lists = " UNION ALL ".join(f"SELECT {k} AS f, {c} AS v, l_returnflag AS y FROM n{node}" for k, c in enumerate(_FLAG_COLS))
+    flags = ("A", "N", "R")
+    sums = ", ".join(f"count(*) FILTER (y = '{y}')::DOUBLE AS {y}" for y in flags)
+    run = ", ".join(f"sum({y}) OVER (PARTITION BY f ORDER BY v) AS l{y}, sum({y}) OVER (PARTITION BY f) AS t{y}" for y in flags)
+
+    def squares(names: list[str]) -> str:
+        return f"({' + '.join(f'({n}) * ({n})' for n in names)}) / ({' + '.join(f'({n})' for n in names)})"
+
+    score = squares([f"l{y}" for y in flags]) + " + " + squares([f"t{y} - l{y}" for y in flags])
+    return f"""SELECT f, (v + next) / 2 AS t FROM (SELECT *, lead(v) OVER (PARTITION BY f ORDER BY v) AS next FROM
+        (SELECT f, v, {run} FROM (SELECT f, v, {sums} FROM ({lists}) GROUP BY 1, 2))) WHERE next IS NOT NULL ORDER BY {score} DESC, f, t LIMIT 1"""
+
+
+def _rules_of(nodes: list[int]) -> str:
+    value = "CASE f " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(_FLAG_COLS)) + " END"
+    ctes = {"n1": f"SELECT {', '.join(_FLAG_COLS)}, l_returnflag FROM lineitem"}
+    for k in nodes:
+        ctes[f"s{k}"] = _split_sql(k)
+        ctes[f"n{2 * k}"] = f"SELECT n{k}.* FROM n{k}, s{k} WHERE {value} <= t"
+        ctes[f"n{2 * k + 1}"] = f"SELECT n{k}.* FROM n{k}, s{k} WHERE {value} > t"
+    names = "CASE f " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_FLAG_COLS)) + " END"
+    rows = [f"""SELECT {k} AS node, {k // 2 if k > 1 else 'NULL'}::INTEGER AS parent, {k.bit_length() - 1} AS depth, (SELECT {names} FROM s{k}) AS feature,
+        (SELECT round(t, 6) FROM s{k}) AS threshold, (SELECT count(*) FROM n{k})::DOUBLE AS n,
+        (SELECT l_returnflag FROM n{k} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS class""" for k in nodes]
+    return with_sql(ctes, " UNION ALL ".join(rows))
+
+
+@query("ml4_tree_rules_lines", _rules_of([1, 2, 3, 4, 5, 6, 7]))
+def _(spark, d):
+    model = T.fit(table(spark, d, "lineitem").select(*_FLAG_COLS, "l_returnflag"), _FLAG_COLS, "l_returnflag", local_rows=_LOCAL_ROWS)
+    mass = F.aggregate("counts", F.lit(0.0), lambda a, b: a + b)
+    return rounded(T.rules(model, 2).withColumn("n", mass).drop("counts"), 6)
+
+
+@query("ml3_decision_tree_lines", f"""WITH v AS (SELECT {', '.join(_FLAG_COLS)}, l_returnflag AS truth, count(*) AS n FROM lineitem GROUP BY ALL),
+    p AS (SELECT {', '.join(_FLAG_COLS)}, arg_min(truth, (-n, truth)) AS predicted FROM v GROUP BY ALL)
+    SELECT truth, predicted, CAST(sum(n) AS BIGINT) AS n FROM v JOIN p USING ({', '.join(_FLAG_COLS)}) GROUP BY 1, 2""")
+def _(spark, d):
+    lines = table(spark, d, "lineitem").select(*_FLAG_COLS, "l_returnflag")
+    scored = T.predict(T.fit(lines, _FLAG_COLS, "l_returnflag", local_rows=_LOCAL_ROWS), lines)
+    return scored.groupBy(F.col("l_returnflag").alias("truth"), F.col("prediction").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ml4_tree_size_lines", """SELECT l_returnflag AS class, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1""")
+def _(spark, d):
+    """What the leaves of the whole tree hold: every row once."""
+    model = T.fit(table(spark, d, "lineitem").select(*_FLAG_COLS, "l_returnflag"), _FLAG_COLS, "l_returnflag", local_rows=_LOCAL_ROWS)
+    leaves = T.node_table(model).filter("feature IS NULL").select(F.posexplode("counts"))
+    return leaves.groupBy(F.array(*[F.lit(x) for x in model.labels])[F.col("pos")].alias("class")).agg(F.sum("col").alias("n"))
 
 
 @query("ml5_forest", _APART_CONFUSION)
@@ -463,10 +524,48 @@ def _(spark, d):
 @query("ml10_mlp_regression")
 def _(spark, d):
     parts = _parts(spark, d, val=0.2)
-    _, scored, _ = N.mlp_regress(parts["train"], parts["test"], [*S.BANDS, *S.RADII], "redshift", val=parts["val"], weight_power=2)
+    _, scored, _ = N.mlp_regress(parts["train"], parts["test"], [*S.BANDS, *S.RADII], "redshift", val=parts["val"], weight_power=2, steps=2)
     return rounded(E.mae_by_class(scored, "redshift", "prediction", "class"), 4)
 
 
+_GRID = [N.Setting(layers, width, power) for layers in (1, 2, 3, 4, 5) for width in (8, 16, 32, 64, 128, 256) for power in (0, 1, 2)]
+_ERRORS = ["avg_err", "QSO_err", "GAL_err", "STAR_err"]
+_SWEPT: dict[tuple[str, str], DataFrame] = {}
+
+
+def _network_sweep(spark, d) -> DataFrame:
+    """The 90 settings on the whole catalogue; written once per application, as the aggregates stand on the same table."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SWEPT:
+        parts = _parts(spark, d, val=0.2)
+        out = N.network_sweep(parts["train"], parts["test"], [*S.BANDS, *S.RADII], "redshift", "class",
+                              {"QSO": "QSO_err", "GALAXY": "GAL_err", "STAR": "STAR_err"}, _GRID, epochs=25, steps=2, val=parts["val"])
+        _SWEPT[key] = stored(out, "network-sweep")
+    return _SWEPT[key]
+
+
+@query("ml11_network_sweep")
+def _(spark, d):
+    return rounded(_network_sweep(spark, d), 6)
+
+
+@query("agg3_network_marginals")
+def _(spark, d):
+    table = _network_sweep(spark, d)
+    axes = [("nLayers", None), ("weightPow", None), ("nPerLayer", None), ("nLayers", F.col("weightPow") == 0), ("nPerLayer", F.col("weightPow") == 0)]
+    parts = [A.sweep_marginals(table, axis, _ERRORS, where).select(F.lit(axis).alias("axis"), F.lit(where is not None).alias("unweighted"),
+                                                                   F.col(axis).alias("value"), *_ERRORS) for axis, where in axes]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return rounded(out, 6)
+
+
+@query("agg4_network_best")
+def _(spark, d):
+    return rounded(A.best_rows(_network_sweep(spark, d).drop("history"), _ERRORS, "setting"), 6)
+
+
 _COSTS = [0.1, 0.5, 1.0, 2.0, 3.0, 4.0, 5.0]
 
 
@@ -514,7 +613,36 @@ def _(spark, d):
     return M.sweep(fit, [{"C": c} for c in _COSTS], {"lines": (parts["train"], parts["test"])}, "file string, C double, n long, few long")
 
 
-@query("set3_sweep_table", """SELECT l_linenumber AS "C", l_returnflag AS file, round(avg(l_discount), 6) AS score FROM lineitem GROUP BY 1, 2""")
+# --- a sweep whose scores SQL knows: the error of "price is C thousand times the quantity" on the lines of each flag
+
+_PRICE_SWEEP = """(SELECT l_returnflag AS file, CAST(c AS DOUBLE) AS "C", avg(abs(l_extendedprice - 1000 * c * l_quantity)) AS score,
+    avg(abs(l_extendedprice - 1000 * c * l_quantity) / l_extendedprice) AS share FROM lineitem CROSS JOIN unnest([1, 2, 3, 4, 5, 6, 7]) AS u(c) GROUP BY 1, 2)"""
+
+
+def _price_sweep(spark, d) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    flags = [r[0] for r in lines.select("l_returnflag").distinct().collect()]  # the data sets of the sweep
+
+    def fit(data, C):
+        miss = F.abs(F.col("l_extendedprice") - 1000 * C * F.col("l_quantity"))
+        return data.agg(F.avg(miss).alias("score"), F.avg(miss / F.col("l_extendedprice")).alias("share")).first().asDict()
+
+    return M.sweep(fit, [{"C": float(c)} for c in range(1, 8)], {f: lines.filter(F.col("l_returnflag") == f) for f in flags},
+                   "file string, C double, score double, share double")
+
+
+@query("set3_sweep_table", f"""SELECT file, "C", round(score, 4) AS score, round(share, 8) AS share FROM {_PRICE_SWEEP}""")
+def _(spark, d):
+    return rounded(rounded(_price_sweep(spark, d), 4, ["score"]), 8, ["share"])
+
+
+@query("agg3_sweep_table", f"""SELECT "C", round(avg(score), 4) AS score, round(avg(share), 8) AS share FROM {_PRICE_SWEEP} WHERE file <> 'N' GROUP BY 1""")
+def _(spark, d):
+    out = A.sweep_marginals(_price_sweep(spark, d), "C", ["score", "share"], F.col("file") != "N")
+    return rounded(rounded(out, 4, ["score"]), 8, ["share"])
+
+
+@query("agg4_sweep_table", " UNION ALL ".join(f"""SELECT * FROM (SELECT '{m}' AS measure, file, "C", round(score, 4) AS score, round(share, 8) AS share
+    FROM {_PRICE_SWEEP} ORDER BY {m}, file LIMIT 1)""" for m in ("score", "share")))
 def _(spark, d):
-    return rounded(table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("C"), F.col("l_returnflag").alias("file"))
-                   .agg(F.avg("l_discount").alias("score")))
+    return rounded(rounded(A.best_rows(_price_sweep(spark, d), ["score", "share"], "file"), 4, ["score"]), 8, ["share"])

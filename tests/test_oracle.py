@@ -11,8 +11,8 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
-# 21 fits; the kernel sweep runs the same code
-SLOW = {"ml11_sweep"}
+# 21 fits, where the kernel sweep runs the same code; 90 networks, which tests/test_neural.py trains in small
+SLOW = {"ml11_sweep", "ml11_network_sweep", "agg3_network_marginals", "agg4_network_best"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not there")
 
