@@ -307,11 +307,15 @@ def ccf_peak(ccf: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def ccf_centroid(ccf: DataFrame, keys: Sequence[str], cut: float = 0.8) -> DataFrame:
-    """Correlation-weighted mean lag over correlations above ``cut`` times the maximum."""
+    """Correlation-weighted mean lag over correlations above ``cut`` times the maximum.
+
+    One row per series. The delay is null where no correlation is positive: the
+    weights would change their sign, and no lag is above the cut.
+    """
     top = F.max("r").over(W.partitionBy(*[col(k) for k in keys]))  # one row per lag
-    near = ccf.withColumn("_top", top).where(F.col("r") > F.lit(float(cut)) * F.col("_top"))
-    return near.groupBy(*[col(k) for k in keys]).agg(
-        (F.sum(F.col("r") * F.col("lag")) / F.nullif(F.sum("r"), F.lit(0.0))).alias("delay"))
+    near = (F.col("_top") > 0) & (F.col("r") > F.lit(float(cut)) * F.col("_top"))
+    return ccf.withColumn("_top", top).groupBy(*[col(k) for k in keys]).agg(
+        (F.sum(F.when(near, F.col("r") * F.col("lag"))) / F.nullif(F.sum(F.when(near, F.col("r"))), F.lit(0.0))).alias("delay"))
 
 
 # --- Monte Carlo ---------------------------------------------------------------------
