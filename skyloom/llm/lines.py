@@ -15,7 +15,7 @@ from .common import as_strings, map_texts, order_id, short_batches, stored, text
 WILDCARD = "<*>"
 _DIGIT = re.compile(r"[0-9]")
 _SPACES = re.compile(r"[ \t\n\x0b\x0c\r]+")
-LINES = "k long, h long, leaf long, leaf_first int, form long, tokens string"
+LINES = "k long, h long, leaf long, leaf_first int, form long, size int, exact boolean, tokens string"
 
 
 def masked(line: str) -> list[str]:
@@ -32,21 +32,23 @@ def place(tokens: list[str], depth: int) -> tuple[int, int]:
     return _hash("\t".join([str(len(tokens)), *tokens[:depth]])), _hash("\t".join(tokens))
 
 
-def line_rows(docs: DataFrame, depth: int, least: int) -> DataFrame:
-    """The distinct forms of every document's lines, with their leaf; ``leaf_first`` is 1 once per document and leaf."""
+def line_rows(docs: DataFrame, depth: int) -> DataFrame:
+    """The distinct forms of every document's lines, with their leaf; ``leaf_first`` is 1 once per document and leaf, and an
+    ``exact`` form has no variable token."""
     def run(parts: Iterator[dict[str, pa.Array]]) -> Iterator[dict]:
         for part in parts:
-            out: dict[str, list] = {k: [] for k in ("k", "h", "leaf", "leaf_first", "form", "tokens")}
+            out: dict[str, list] = {k: [] for k in ("k", "h", "leaf", "leaf_first", "form", "size", "exact", "tokens")}
             for k, h, text in zip(part["k"].to_pylist(), part["h"].to_pylist(), as_strings(part["t"])):
                 forms, leaves = set(), set()
                 for line in text.split("\n"):
                     tokens = masked(line)
-                    if len(tokens) < least:
+                    if not tokens:
                         continue
                     leaf, form = place(tokens, depth)
                     if (leaf, form) in forms:
                         continue
-                    for column, value in zip(out.values(), (k, h, leaf, int(leaf not in leaves), form, " ".join(tokens))):
+                    for column, value in zip(out.values(), (k, h, leaf, int(leaf not in leaves), form, len(tokens),
+                                                                 WILDCARD not in tokens, " ".join(tokens))):
                         column.append(value)
                     forms.add((leaf, form))
                     leaves.add(leaf)
@@ -55,13 +57,18 @@ def line_rows(docs: DataFrame, depth: int, least: int) -> DataFrame:
     return map_texts(docs, run, LINES, megabytes=4)
 
 
-def recurring(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity: float = 0.7, least: int = 3, ident: str = "doc_id",
-              text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(lines, templates)``: the lines ``(k, h, form, template)`` of leaves that ``min_docs`` documents share, and the recurring
-    templates ``(template, pattern, n_docs, origin)``."""
-    rows = docs.select(order_id(ident).alias("k"), text_key(text).alias("h"), F.col(text).alias("t"))
-    every = line_rows(rows, depth, least)
-    shared = every.groupBy("leaf").agg(F.sum("leaf_first").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
+def repeated_lines(every: DataFrame) -> DataFrame:
+    """``(k, h, form)`` of lines without a variable token that an earlier document has too."""
+    exact = every.filter("exact").select("k", "h", "form")
+    found = stored(exact.groupBy("form").agg(F.count("*").alias("n"), F.min(F.struct("k", "h")).alias("origin")).filter("n > 1"), "exact-lines")
+    return exact.join(found, "form").filter(F.struct("k", "h") != F.col("origin")).select("k", "h", "form")
+
+
+def recurring(every: DataFrame, min_docs: int = 5, depth: int = 3, similarity: float = 0.7, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``(lines, templates)`` of stored ``line_rows``: the lines ``(k, h, form, template)`` of leaves that ``min_docs`` documents share,
+    and the recurring templates ``(template, pattern, n_docs, origin)``."""
+    every = every.filter(F.col("size") >= least)
+    shared = stored(every.groupBy("leaf").agg(F.sum("leaf_first").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "shared-leaves")
     lines = stored(every.join(shared, "leaf", "left_semi").select("k", "h", "leaf", "form", "tokens"), "lines")
     forms = lines.groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
     cells = forms.select("leaf", "form", "n", F.posexplode(F.split("tokens", " ")).alias("at", "token"))
@@ -81,12 +88,12 @@ def recurring(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity: fl
     return own.select("k", "h", "form", "template", "pattern"), templates
 
 
-def clean(forms_and_text: list[tuple], least: int, depth: int) -> list[tuple[int, int, str | None]]:
+def clean(forms_and_text: list[tuple], depth: int) -> list[tuple[int, int, str | None]]:
     """``(lines, dropped lines, text)`` of each ``(text, forms to drop)``."""
     out = []
     for value, forms in forms_and_text:
         found, gone = (value or "").split("\n"), set() if forms is None else set(forms)
-        kept = [x for x in found if len(ts := masked(x)) < least or place(ts, depth)[1] not in gone] if gone else found
+        kept = [x for x in found if not (ts := masked(x)) or place(ts, depth)[1] not in gone] if gone else found
         same = len(kept) == len(found)
         out.append((len(found) if value else 0, len(found) - len(kept), value if same else "\n".join(kept)))
     return out
@@ -96,14 +103,15 @@ def drop_templates(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarit
                    text: str = "text") -> DataFrame:
     """The rows of ``docs`` with the text cleaned, and ``n_lines`` and ``n_dropped`` in a struct column ``line_dedup``.
 
-    Lines with ``least`` tokens or more go down a tree of fixed depth: by their
-    number of tokens, then by their ``depth`` leading tokens, where a token with
-    a digit counts as variable. Within a leaf, a later token is fixed if at
+    A line without a variable token (one with a digit) that stands in two
+    documents recurs as it is, however short. For the others, lines with
+    ``least`` tokens or more go down a tree of fixed depth: by their
+    number of tokens, then by their ``depth`` leading tokens. Within a leaf, a later token is fixed if at
     least ``min_docs`` lines (equal ones once per document) have it at its
     place, and variable otherwise. The line's template is its fixed tokens with
     the rest generalised; one with a share of ``similarity`` fixed tokens that
-    lines of ``min_docs`` documents follow is recurring. Its lines are dropped
-    from all documents but its first (smallest identifier, then text), so that
+    lines of ``min_docs`` documents follow is recurring. Recurring lines are
+    dropped from all documents but the first (smallest identifier, then text), so that
     of a text with many copies one stays whole.
 
     Other lines, blank ones too, stay as they are. A null text has no line and
@@ -112,14 +120,16 @@ def drop_templates(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarit
     of all documents is one row per task.
     """
     short_batches(docs.sparkSession)
-    own, templates = recurring(docs, min_docs, depth, similarity, least, ident, text)
+    rows = docs.select(order_id(ident).alias("k"), text_key(text).alias("h"), F.col(text).alias("t"))
+    every = stored(line_rows(rows, depth), "line-rows")  # parsed once
+    own, templates = recurring(every, min_docs, depth, similarity, least)
     drop = (own.join(templates.select("template", "pattern", "origin"), ["template", "pattern"]).filter(F.struct("k", "h") != F.col("origin"))
-            .groupBy("k", "h").agg(F.collect_set("form").alias("forms")))
+            .select("k", "h", "form").unionByName(repeated_lines(every)).groupBy("k", "h").agg(F.collect_set("form").alias("forms")))
     keyed = docs.select(F.struct("*").alias("row"), order_id(ident).alias("k"), text_key(text).alias("h"))
 
     @F.pandas_udf("n_lines long, n_dropped long, text string")
     def cleaned(texts: pd.Series, forms: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(clean(list(zip(texts, forms)), least, depth), columns=["n_lines", "n_dropped", "text"])
+        return pd.DataFrame(clean(list(zip(texts, forms)), depth), columns=["n_lines", "n_dropped", "text"])
 
     found = keyed.join(drop, ["k", "h"], "left").select("row", cleaned(F.col("row")[text], F.col("forms")).alias("found"))
     columns = [F.col("found.text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]

@@ -39,19 +39,22 @@ class WordTokens:
     ids are those of its words in a row. Words are looked up with ASCII letters
     in lower case, which the vocabulary does itself, unless the text has the
     beginning of a special token. Unknown words are encoded together and told
-    apart by the tokens that end a piece. The table is emptied when it is full.
+    apart by the tokens that end a piece. When a generation of the table is full
+    (``room`` bytes of words, ids and entries), it becomes the older one, which
+    is dropped at the next time; words that are met again move to the new one.
+    So the table has at most two generations, and cold words go first.
     """
 
-    def __init__(self, path: str, room: int = 300_000):
+    ENTRY = 200  # bytes of two Python objects and their place in a dictionary
+
+    def __init__(self, path: str, room: int = 24 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
+        self.tokenizer, self.room, self.known, self.older, self.used = Tokenizer.from_file(path), room, {}, {}, 0
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.room:
-            self.known.clear()
         plain, counts = [], []
         for w in words:
             word = w.decode("utf-8", "replace")
@@ -78,9 +81,15 @@ class WordTokens:
         found = list(map(self.known.get, words))
         if None in found:
             missing = [i for i, v in enumerate(found) if v is None]
-            self.learn(list({words[i] for i in missing}))
+            wanted = {words[i] for i in missing}
+            again = {w: self.older[w] for w in wanted if w in self.older}
+            self.known |= again
+            self.learn([w for w in wanted if w not in again])
+            self.used += sum(len(w) + len(self.known[w]) + self.ENTRY for w in wanted)
             for i in missing:
                 found[i] = self.known[words[i]]
+            if self.used > self.room:
+                self.older, self.known, self.used = self.known, {}, 0
         return [b"".join(found[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
@@ -118,7 +127,6 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
                         out[name].append(value)
                     seen[size] += 1
             yield out | {"task": [task] * len(out["piece"])}
-        tokens.known.clear()  # the worker may go on with other work, and its memory is shared
 
     return map_texts(docs.select(F.col(ident).cast("long").alias("d"), F.col(text).alias("t")), run, PIECES)
 

@@ -51,8 +51,9 @@ LINES = f"""
     WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
     l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
     t AS (SELECT *, list_transform({_WORDS.format('line')}, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS ts FROM l),
-    p AS (SELECT *, array_to_string(ts, ' ') AS form, len(ts) || chr(9) || array_to_string(ts[1:3], chr(9)) AS leaf FROM t WHERE len(ts) >= 3),
-    own AS (SELECT DISTINCT doc_id, leaf, form, ts FROM p),
+    p AS (SELECT *, array_to_string(ts, ' ') AS form, len(ts) || chr(9) || array_to_string(ts[1:3], chr(9)) AS leaf FROM t WHERE len(ts) > 0),
+    whole AS (SELECT DISTINCT doc_id, leaf, form, ts FROM p),
+    own AS (SELECT * FROM whole WHERE len(ts) >= 3),
     shared AS (SELECT leaf FROM own GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
     forms AS (SELECT leaf, form, any_value(ts) AS ts, count(*) AS n FROM own SEMI JOIN shared USING (leaf) GROUP BY 1, 2),
     cells AS (SELECT leaf, form, n, unnest(ts) AS w, generate_subscripts(ts, 1) AS pos FROM forms),
@@ -60,7 +61,9 @@ LINES = f"""
     named AS (SELECT leaf, form, string_agg(CASE WHEN fixed THEN w ELSE '<*>' END, ' ' ORDER BY pos) AS pattern FROM marked GROUP BY 1, 2
               HAVING avg(CASE WHEN fixed THEN 1 ELSE 0 END) >= 0.7),
     used AS (SELECT leaf, pattern, count(DISTINCT doc_id) AS n, min(doc_id) AS origin FROM own JOIN named USING (leaf, form) GROUP BY 1, 2 HAVING n >= 5),
-    gone AS (SELECT DISTINCT doc_id, leaf, form FROM own JOIN named USING (leaf, form) JOIN used USING (leaf, pattern) WHERE doc_id <> origin),
+    exact AS (SELECT form, min(doc_id) AS origin FROM whole WHERE NOT list_contains(ts, '<*>') GROUP BY 1 HAVING count(*) > 1),
+    gone AS (SELECT doc_id, leaf, form FROM own JOIN named USING (leaf, form) JOIN used USING (leaf, pattern) WHERE doc_id <> origin
+             UNION SELECT doc_id, leaf, form FROM whole JOIN exact USING (form) WHERE doc_id <> origin),
     kept AS (SELECT l.doc_id, l.i, l.line, g.form IS NOT NULL AS dropped FROM l LEFT JOIN p USING (doc_id, i) LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.leaf = p.leaf AND g.form = p.form)
     SELECT doc_id, CASE WHEN any_value(text) IS NULL OR any_value(text) = '' THEN 0 ELSE count(*) END AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
            CASE WHEN any_value(text) IS NOT NULL THEN coalesce(string_agg(kept.line, chr(10) ORDER BY i) FILTER (NOT dropped), '') END AS text
