@@ -14,6 +14,7 @@ from .common import as_strings, map_texts, order_id, short_batches, stored, text
 
 WILDCARD = "<*>"
 _DIGIT = re.compile(r"[0-9]")
+_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]")
 _SPACES = re.compile(r"[ \t\n\x0b\x0c\r]+")
 LINES = "k long, h long, leaf long, leaf_first int, form long, size int, exact boolean, tokens string"
 
@@ -88,19 +89,21 @@ def recurring(every: DataFrame, min_docs: int = 5, depth: int = 3, similarity: f
     return own.select("k", "h", "form", "template", "pattern"), templates
 
 
-def clean(forms_and_text: list[tuple], depth: int) -> list[tuple[int, int, str | None]]:
-    """``(lines, dropped lines, text)`` of each ``(text, forms to drop)``."""
+def clean(forms_and_text: list[tuple], depth: int, spare: bool = False) -> list[tuple[int, int, str | None]]:
+    """``(lines, dropped lines, text)`` of each ``(text, forms to drop)``; ``spare``: a text that would keep no word stays whole."""
     out = []
     for value, forms in forms_and_text:
         found, gone = (value or "").split("\n"), set() if forms is None else set(forms)
         kept = [x for x in found if not (ts := masked(x)) or place(ts, depth)[1] not in gone] if gone else found
+        if spare and len(kept) < len(found) and not any(map(_WORD.search, kept)):
+            kept = found
         same = len(kept) == len(found)
         out.append((len(found) if value else 0, len(found) - len(kept), value if same else "\n".join(kept)))
     return out
 
 
 def drop_templates(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarity: float = 0.7, least: int = 3, ident: str = "doc_id",
-                   text: str = "text") -> DataFrame:
+                   text: str = "text", spare: bool = False) -> DataFrame:
     """The rows of ``docs`` with the text cleaned, and ``n_lines`` and ``n_dropped`` in a struct column ``line_dedup``.
 
     A line without a variable token (one with a digit) that stands in two
@@ -112,7 +115,8 @@ def drop_templates(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarit
     the rest generalised; one with a share of ``similarity`` fixed tokens that
     lines of ``min_docs`` documents follow is recurring. Recurring lines are
     dropped from all documents but the first (smallest identifier, then text), so that
-    of a text with many copies one stays whole.
+    of a text with many copies one stays whole. With ``spare``, so does a text
+    that would keep no word: it repeats others as a whole.
 
     Other lines, blank ones too, stay as they are. A null text has no line and
     stays null; rows that repeat identifier and text are one document. Every
@@ -129,7 +133,7 @@ def drop_templates(docs: DataFrame, min_docs: int = 5, depth: int = 3, similarit
 
     @F.pandas_udf("n_lines long, n_dropped long, text string")
     def cleaned(texts: pd.Series, forms: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(clean(list(zip(texts, forms)), depth), columns=["n_lines", "n_dropped", "text"])
+        return pd.DataFrame(clean(list(zip(texts, forms)), depth, spare), columns=["n_lines", "n_dropped", "text"])
 
     found = keyed.join(drop, ["k", "h"], "left").select("row", cleaned(F.col("row")[text], F.col("forms")).alias("found"))
     columns = [F.col("found.text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
