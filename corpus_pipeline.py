@@ -22,10 +22,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of recurring templates; one that loses all its words goes."""
-    found = lines.drop_templates(docs)
-    emptied = (F.col("line_dedup.n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return found.filter(~emptied).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Documents without recurring lines; one that has no others stays whole, for the next stage to find it as a copy."""
+    found = lines.drop_templates(docs, spare=True)
+    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
