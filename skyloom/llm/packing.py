@@ -47,7 +47,7 @@ class WordTokens:
 
     ENTRY = 200  # bytes of two Python objects and their place in a dictionary
 
-    def __init__(self, path: str, room: int = 24 << 20):
+    def __init__(self, path: str, room: int = 80 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.known, self.older, self.used = Tokenizer.from_file(path), room, {}, {}, 0
