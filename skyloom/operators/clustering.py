@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.expr import col
+from .blocks import Blocks, matrix, pack, total
 from .ordering import full_grid
 from .scaling import scale_minmax, scale_standard
 from .sampling import sample_fraction
@@ -95,31 +97,156 @@ def silhouette(df: DataFrame, cols: Sequence[str], label: str = "cluster", key:
     return per_row.agg(F.avg(width).alias("silhouette"))
 
 
-def select_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 11), seed: int = 0, *,
-             normalise: bool = False, thin: float | None = None, key: str = "row_id", approx: bool = True):
-    """Fit every k, keep the best silhouette (the smallest k on ties), refit on all rows.
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row (the first of equally near ones) and the squared distance."""
+    distance = np.maximum((x ** 2).sum(1)[:, None] - 2 * x @ centres.T + (centres ** 2).sum(1), 0.0)
+    near = distance.argmin(axis=1)
+    return near, distance[np.arange(len(x)), near]
 
-    ``normalise`` applies to the scoring and to the refit alike. Returns the
-    score table and the final (assignments, centres, model).
+
+def start_points(sample: np.ndarray, k: int, seed: int, tries: int = 8) -> np.ndarray:
+    """Centres of a bounded sample: the best of several fits that begin at rows drawn by their squared distance from the chosen ones."""
+    best = None
+    for attempt in range(tries):
+        rng = np.random.default_rng([seed, k, attempt])
+        centres = sample[[rng.integers(len(sample))]]
+        while len(centres) < min(k, len(sample)):
+            far = _nearest(sample, centres)[1]
+            if not far.sum() > 0:
+                break
+            centres = np.vstack([centres, sample[rng.choice(len(sample), p=far / far.sum())]])
+        for _ in range(20):
+            near, _ = _nearest(sample, centres)
+            centres = np.array([sample[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        cost = _nearest(sample, centres)[1].sum()
+        if best is None or cost < best[0]:
+            best = (cost, centres)
+    return best[1]
+
+
+def lloyd(packed: Blocks, starts: Sequence[np.ndarray], max_iter: int = 300, tol: float = 1e-4) -> list[np.ndarray]:
+    """Lloyd's algorithm from several sets of centres at once: one read of the rows a step for all that still move by more than ``tol``."""
+    centres = [np.asarray(c, np.float64) for c in starts]
+    moving = [len(c) > 0 for c in centres]
+    for _ in range(max_iter):
+        if not any(moving):
+            break
+        asked = [c for c, m in zip(centres, moving) if m]
+
+        def run(m: np.ndarray, block: int) -> np.ndarray:
+            x, times = m[:, :-1], m[:, -1]
+            out = []
+            for own in asked:
+                member = np.zeros((len(x), len(own)))
+                member[np.arange(len(x)), _nearest(x, own)[0]] = times
+                out.append(np.column_stack([member.T @ x, member.sum(axis=0)]).ravel())
+            return np.concatenate(out)
+
+        got, at = total(packed, run, sum(c.size + len(c) for c in asked)), 0
+        for k, own in enumerate(centres):
+            if moving[k]:
+                sums = got[at:at + own.size + len(own)].reshape(len(own), -1)
+                at += own.size + len(own)
+                updated = np.where(sums[:, -1:] > 0, sums[:, :-1] / np.maximum(sums[:, -1:], 1.0), own)
+                moving[k] = bool(np.sqrt(((updated - own) ** 2).sum(axis=1)).max() > tol)
+                centres[k] = updated
+    return centres
+
+
+def squared_silhouettes(packed: Blocks, centres: Sequence[np.ndarray]) -> list[float]:
+    """Mean squared-Euclidean silhouette of the nearest-centre clusters of each set of centres: two reads for all of them."""
+    def sums(m: np.ndarray, block: int) -> np.ndarray:
+        x, times = m[:, :-1], m[:, -1]
+        out = []
+        for own in centres:
+            member = np.zeros((len(x), len(own)))
+            member[np.arange(len(x)), _nearest(x, own)[0]] = times
+            out.append(np.column_stack([member.T @ x, member.T @ (x ** 2).sum(1), member.sum(axis=0)]).ravel())
+        return np.concatenate(out)
+
+    got, at, known = total(packed, sums, sum(c.size + 2 * len(c) for c in centres)), 0, []
+    for own in centres:
+        part = got[at:at + own.size + 2 * len(own)].reshape(len(own), -1)
+        at += own.size + 2 * len(own)
+        known.append((part[:, :-2] / np.maximum(part[:, -1:], 1), part[:, -2] / np.maximum(part[:, -1], 1), part[:, -1]))
+
+    def widths(m: np.ndarray, block: int) -> np.ndarray:
+        x, times = m[:, :-1], m[:, -1]
+        out = []
+        for own, (mean, square, size) in zip(centres, known):
+            near = _nearest(x, own)[0]
+            apart = (x ** 2).sum(1)[:, None] - 2 * x @ mean.T + square  # mean squared distance from a row to each cluster
+            rows = np.arange(len(x))
+            a = apart[rows, near] * size[near] / np.maximum(size[near] - 1, 1)
+            apart[rows, near] = np.inf
+            apart[:, size == 0] = np.inf
+            b = apart.min(axis=1)
+            most = np.maximum(a, b)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                width = np.where((size[near] > 1) & np.isfinite(b) & (most > 0), (b - a) / most, 0.0)
+            out.append(times @ width)
+        return np.array(out)
+
+    return [float(v) / max(packed.rows, 1) for v in total(packed, widths, len(centres))]
+
+
+def select_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 11), seed: int = 0, *, normalise: bool = False, thin: float | None = None,
+             key: str = "row_id", approx: bool = True, sample_rows: int = 4096):
+    """Fit every k in the same passes, keep the best silhouette (the smallest k on ties), refit on all rows if ``thin`` left some out.
+
+    Rows are packed once. Centres begin at those of the ``sample_rows`` rows with
+    the smallest hash, then all rows move the centres of all k together, one
+    read a step; two more reads score all k. ``approx=False`` scores with exact
+    Euclidean distances instead, k after k. ``normalise`` applies to scoring and
+    result alike. Returns the score table and (assignments, centres, the best
+    centres as an array). Rows with a null column take no part in the fits and
+    get no cluster.
     """
+    ks, cols = list(ks), list(cols)
     data = scale_minmax(df, cols) if normalise else df
-    vectors = assemble(data, cols).persist()
+    base = data if thin is None else sample_fraction(data, thin, key, seed)
+    wide = {c: col(c) for c in cols}
+    packed = pack(base, wide, name="cluster-rows").cache()
+    whole = None
     try:
-        base = vectors if thin is None else sample_fraction(vectors, thin, key, seed)
-        scores = []
-        for k in ks:
-            model = KMeans(k=k, seed=seed, maxIter=300, predictionCol="cluster").fit(base)
-            marked = model.transform(base)
-            if approx:
-                score = ClusteringEvaluator(predictionCol="cluster").evaluate(marked)
-            else:
-                score = silhouette(marked.drop("features"), cols, "cluster", key).first()[0]
-            scores.append((int(k), float(score)))
+        blocks_needed = max(1, -(-sample_rows // 256))  # blocks hold hashed rows: a few of them are a sample
+        parts = packed.frame.orderBy(F.xxhash64(F.lit(seed), "block"), "block").limit(blocks_needed).collect()
+        sample = np.concatenate([matrix(r["data"], len(cols)) for r in parts])[:sample_rows, :-1] if parts else np.zeros((0, len(cols)))
+        starts = [start_points(sample, k, seed) if len(sample) else np.zeros((0, len(cols))) for k in ks]
+        centres = lloyd(packed, starts) if len(sample) else starts
+        if not len(sample):
+            scores = [0.0] * len(ks)
+        elif approx:
+            scores = squared_silhouettes(packed, centres)
+        else:
+            scores = [float(silhouette(assign(base, cols, c), cols, "cluster", key).first()[0] or 0.0) for c in centres]
+        best = max(range(len(ks)), key=lambda i: (scores[i], -i))
+        if thin is not None and len(sample):
+            whole = pack(data, wide, name="cluster-rows").cache()
+            centres[best] = lloyd(whole, [centres[best]])[0]
     finally:
-        vectors.unpersist()
-    best = max(scores, key=lambda s: s[1])[0]
-    table = df.sparkSession.createDataFrame(scores, "k int, score double")
-    return table.withColumn("best", F.col("k") == best), kmeans(df, cols, best, seed, normalise=normalise, key=key)
+        packed.close()
+        if whole is not None:
+            whole.close()
+    table = df.sparkSession.createDataFrame([(int(k), s) for k, s in zip(ks, scores)], "k int, score double").withColumn("best", F.col("k") == ks[best])
+    named = df.sparkSession.createDataFrame([(c, *map(float, row)) for c, row in enumerate(centres[best])], "cluster int, " + ", ".join(f"`{c}` double" for c in cols))
+    return table, (assign(data, cols, centres[best]), named, centres[best])
+
+
+def assign(df: DataFrame, cols: Sequence[str], centres: np.ndarray, name: str = "cluster") -> DataFrame:
+    """Rows with the number of the nearest centre, null where a column is."""
+    cols = list(cols)
+
+    @F.pandas_udf("int")
+    def nearest(x: pd.Series) -> pd.Series:
+        rows = np.array([[np.nan if v is None else v for v in r] for r in x], dtype=np.float64).reshape(len(x), len(cols))
+        known = ~np.isnan(rows).any(axis=1)
+        out = pd.Series([None] * len(x), dtype=object)
+        if known.any() and len(centres):
+            out[known] = _nearest(rows[known], centres)[0]
+        return out
+
+    return df.withColumn(name, nearest(F.array(*[col(c).cast("double") for c in cols])))
 
 
 def cluster_class_lift(df: DataFrame, cluster: str = "cluster", cls: str = "class") -> DataFrame:

@@ -5,18 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import IndexToString, PolynomialExpansion, StringIndexer
+import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.expr import add, col
-from . import trees
-from .clustering import assemble
-from .scaling import scale_standard
+from . import convex, trees
+from .blocks import pack
+from .neural import scaling
 
 _PREDICTION = "prediction"
 
@@ -62,36 +62,91 @@ def naive_bayes(train: DataFrame, test: DataFrame, cols: Sequence[str], label: s
     return naive_bayes_predict(test, naive_bayes_model(train, cols, label, weight, alpha), cols)
 
 
-# --- Spark ML classifiers ---------------------------------------------------
+# --- linear machines --------------------------------------------------------
 
-def _fit_predict(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, make: Callable[[int], object],
-                 *, standardise: bool, expand: Callable[[DataFrame], DataFrame] | None = None):
-    """Scale on the training rows, index the label, fit, and name the predicted classes."""
-    if standardise:
-        train, test = scale_standard(train, cols, fit_on=train), scale_standard(test, cols, fit_on=train)
-    train, test = assemble(train, cols), assemble(test, cols)
-    if expand is not None:
-        train, test = expand(train), expand(test)
-    indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(train)
-    ready = indexer.transform(train).persist()
+class Machines(NamedTuple):
+    """Fitted machines: ``fits[k]`` belongs to ``pairs[k]`` (positions among ``labels``); logistic regression and regression have one."""
+
+    cols: list[str]
+    centre: np.ndarray
+    spread: np.ndarray
+    features: Callable[[np.ndarray], np.ndarray]
+    labels: list
+    pairs: list[tuple[int, int]]
+    fits: list[convex.Fit]
+    rows: int
+
+
+def _usable(df: DataFrame, cols: Sequence[str], more: Column) -> DataFrame:
+    known = F.array(*[col(c).cast("double") for c in cols])
+    return df.filter(more.isNotNull() & F.forall(known, lambda v: v.isNotNull() & ~F.isnan(v)))
+
+
+def _classes(df: DataFrame, label: str) -> tuple[list, Column]:
+    """The classes in order, and the position of a row's class."""
+    labels = sorted(r[0] for r in df.select(col(label)).distinct().collect() if r[0] is not None)  # one per class
+    return labels, F.array_position(F.array(*[F.lit(x) for x in labels]), col(label)) - 1 if labels else F.lit(None).cast("int")
+
+
+def _machines(train: DataFrame, cols: Sequence[str], target: Column, features: Callable[[np.ndarray], np.ndarray], losses: Sequence, penalty: np.ndarray,
+              C: float, labels: list, pairs: list, **limits) -> Machines:
+    known = _usable(train, cols, target)
+    centre, spread = scaling(known, cols)
+    blocks = pack(known, {**{f"x{k}": col(c) for k, c in enumerate(cols)}, "y": target}, name="machine-rows").cache()
     try:
-        rows = ready.count()
-        model = make(rows).fit(ready)
+        fits = convex.minimise(blocks, lambda x: features((x - centre) / spread), losses, penalty, C, **limits)
     finally:
-        ready.unpersist()
-    scored = model.transform(test)
-    named = IndexToString(inputCol="_p", outputCol=_PREDICTION, labels=indexer.labels).transform(scored)
-    return model, named.select(*[c for c in test.columns if c not in ("features", "_wide")], _PREDICTION), indexer.labels
+        blocks.close()
+    return Machines(list(cols), centre, spread, features, labels, pairs, fits, blocks.rows)
+
+
+def _with_values(df: DataFrame, model: Machines, answer: Callable[[np.ndarray], np.ndarray], name: str, kind: str) -> DataFrame:
+    """``answer`` of the mapped features of each row, null where a feature is null."""
+    centre, spread, features = model.centre, model.spread, model.features
+
+    @F.pandas_udf(kind)
+    def value(x: pd.Series) -> pd.Series:
+        rows = np.array([[np.nan if v is None else v for v in r] for r in x], dtype=np.float64).reshape(len(x), len(centre))
+        known = ~np.isnan(rows).any(axis=1)
+        out = np.empty(len(x), dtype=object)
+        out[:] = None
+        for k, v in zip(np.flatnonzero(known), answer(features((rows[known] - centre) / spread)) if known.any() else ()):
+            out[k] = v
+        return pd.Series(out)
+
+    return df.withColumn(name, value(F.array(*[col(c).cast("double") for c in model.cols])))
+
+
+def _named(labels: list, place: Column) -> Column:
+    return F.get(F.array(*[F.lit(x) for x in labels or [None]]), place)
+
+
+def logistic(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, C: float = 1.0, flat: float = 1e-10):
+    """Multinomial logistic regression on standardised columns: ``|w|^2 / 2 + C`` times the log-loss, intercepts free.
+
+    Newton steps to a gradient per row below ``flat``: one aggregate of gradient
+    and Hessian a step, whose size depends on classes and columns alone. The
+    scored rows have ``prediction`` and ``probabilities`` in class order; both
+    are null where a feature is. Rows with a null in use are left out.
+    """
+    labels, code = _classes(train, label)
+    features, q = convex.feature_map("linear", len(cols))
+    penalty = np.tile(np.r_[np.ones(q - 1), 0.0], max(1, len(labels)))
+    model = _machines(train, cols, code, features, [convex.Softmax(max(1, len(labels)))], penalty, C, labels, [], flat=flat)
+    weights = model.fits[0].theta.reshape(-1, q)
 
+    def shares(phi: np.ndarray) -> np.ndarray:
+        z = phi @ weights.T
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
 
-def logistic(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, C: float = 1.0,
-             max_iter: int = 1000, tol: float = 1e-4):
-    """Multinomial logistic regression with an L2 penalty of 1 / (C n)."""
-    return _fit_predict(train, test, cols, label, lambda n: LogisticRegression(
-        family="multinomial", regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter,
-        tol=tol, featuresCol="features", labelCol="_y", predictionCol="_p"), standardise=True)[:2]
+    scored = _with_values(test, model, shares, "probabilities", "array<double>")
+    place = F.array_position("probabilities", F.array_max("probabilities")).cast("int") - 1
+    return model, scored.withColumn(_PREDICTION, _named(labels, place))
 
 
+# --- trees ------------------------------------------------------------------
+
 def decision_tree(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, **options):
     """Gini decision tree with exact thresholds, grown until leaves are pure; returns (model, predictions, labels)."""
     model = trees.fit(train, cols, label, **options)
@@ -112,141 +167,52 @@ def tree_rules(model: trees.Forest, depth: int = 3) -> DataFrame:
     return trees.rules(model, depth).drop("counts")
 
 
-def fourier_features(df: DataFrame, cols: Sequence[str], gamma: float, size: int = 128, seed: int = 0) -> DataFrame:
-    """Random Fourier features of the Gaussian kernel exp(-gamma |x - y|^2).
-
-    The directions are drawn once from the seed; an Arrow batch of rows becomes
-    one matrix product. The kernel is approximated with an error of about
-    1 / sqrt(size).
-    """
-    rng = np.random.default_rng(seed)
-    directions = rng.normal(0.0, math.sqrt(2.0 * gamma), (size, len(cols)))
-    phases = rng.uniform(0.0, 2.0 * math.pi, size)
-    scale = math.sqrt(2.0 / size)
-
-    @F.pandas_udf("array<double>")
-    def waves(x):
-        import numpy as np
-        import pandas as pd
-
-        return pd.Series(list(scale * np.cos(np.vstack(x.to_numpy()) @ directions.T + phases)))
-
-    return df.withColumn("features", array_to_vector(waves(F.array(*[col(c).cast("double") for c in cols]))))
-
-
-def svm(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, kernel: str = "rbf", C: float = 1.0,
-        degree: int = 3, gamma: float | None = None, max_iter: int = 100, tol: float = 1e-3, size: int = 128, seed: int = 0):
-    """Support vector classifier, one class against the rest.
+def svm(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, kernel: str = "rbf", C: float = 1.0, degree: int = 3,
+        gamma: float | None = None, gap: float = 1e-3, size: int = 128, seed: int = 0):
+    """Support vector classifier on standardised columns, one class against one, by vote (the first class of equal votes).
 
-    ``linear`` fits hyperplanes, ``poly`` expands the monomials up to
-    ``degree``, ``rbf`` uses random Fourier features with gamma 1 / p unless
-    given. The machines of the classes are fitted side by side over one cached
-    frame.
+    All pairs of classes are fitted in the same passes, each to a relative
+    duality gap below ``gap``: its hinge losses are at the minimum up to that.
+    ``linear`` and ``poly`` have the kernel's exact features, ``rbf`` ``size`` random
+    Fourier features. Rows with a null in use are left out; a null feature has
+    no prediction.
     """
-    expand = None
-    if kernel == "poly":
-        def expand(df: DataFrame) -> DataFrame:
-            wide = PolynomialExpansion(degree=degree, inputCol="features", outputCol="_wide").transform(df)
-            return wide.drop("features").withColumnRenamed("_wide", "features")
-    elif kernel == "rbf":
-        width = 1.0 / len(cols) if gamma is None else gamma
+    labels, code = _classes(train, label)
+    features, q = convex.feature_map(kernel, len(cols), degree=degree, gamma=gamma, size=size, seed=seed)
+    pairs = list(combinations(range(len(labels)), 2))
+    model = _machines(train, cols, code, features, [convex.Hinge(*p) for p in pairs], np.r_[np.ones(q - 1), 0.0], C, labels, pairs, gap=gap)
+    weights = np.array([f.theta for f in model.fits]).reshape(len(pairs), q)
 
-        def expand(df: DataFrame) -> DataFrame:
-            return fourier_features(df.drop("features"), cols, width, size, seed)
-    elif kernel != "linear":
-        raise ValueError(f"unknown kernel {kernel}")
+    def vote(phi: np.ndarray) -> np.ndarray:
+        votes = np.zeros((len(phi), max(1, len(labels))), int)
+        for (a, b), side in zip(pairs, (phi @ weights.T > 0).T):
+            votes[:, b] += side
+            votes[:, a] += ~side
+        return votes.argmax(axis=1)
 
-    def make(n: int):
-        return _OneAgainstRest(LinearSVC(regParam=1.0 / (C * n), standardization=False, maxIter=max_iter, tol=tol,
-                                         featuresCol="features", labelCol="_hit", predictionCol="_ignored"))
+    scored = _with_values(test, model, vote, "_place", "int")
+    return model, scored.withColumn(_PREDICTION, _named(labels, F.col("_place"))).drop("_place")
 
-    return _fit_predict(train, test, cols, label, make, standardise=True, expand=expand)[:2]
 
-
-class _OneAgainstRest:
-    """One linear machine per class; the class with the largest margin wins.
-
-    Margins are read from the JVM-side raw predictions (the OneVsRest of
-    PySpark scores through row-wise Python functions instead).
-    """
-
-    def __init__(self, machine: LinearSVC):
-        self.machine, self.models = machine, []
-
-    def fit(self, ready: DataFrame) -> "_OneAgainstRest":
-        classes = int(ready.agg(F.max("_y")).first()[0]) + 1
-        fit = inheritable_thread_target(ready.sparkSession)(lambda c: self.machine.fit(ready.withColumn("_hit", (F.col("_y") == c).cast("double"))))
-        with ThreadPoolExecutor(min(classes, 8)) as pool:
-            self.models = list(pool.map(fit, range(classes)))
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        for c, model in enumerate(self.models):
-            df = model.setRawPredictionCol(f"_raw{c}").transform(df).drop("_ignored")
-        margins = F.array(*[vector_to_array(f"_raw{c}")[1] for c in range(len(self.models))])
-        best = F.array_position(margins, F.array_max(margins)) - 1
-        return df.withColumn("_p", best.cast("double")).drop(*[f"_raw{c}" for c in range(len(self.models))])
+def certificates(model: Machines) -> DataFrame:
+    """One row per machine: its classes, primal and dual value, relative gap, gradient per row and passes over the rows."""
+    rows = [(*[None if not model.pairs else str(model.labels[p]) for p in (model.pairs[k] if model.pairs else (0, 0))], float(f.primal), float(f.dual), float(f.gap), float(f.slope), f.passes)
+            for k, f in enumerate(model.fits)]
+    return SparkSession.active().createDataFrame(rows, "negative string, positive string, primal double, dual double, gap double, slope double, passes int")
 
 
 # --- linear support vector regression ---------------------------------------
 
-def linear_svr(train: DataFrame, test: DataFrame, cols: Sequence[str], target: str, C: float = 1.0,
-               epsilon: float = 0.0, max_iter: int = 50, tol: float = 1e-5):
-    """Linear support vector regression after standardising.
+def linear_svr(train: DataFrame, test: DataFrame, cols: Sequence[str], target: str, C: float = 1.0, epsilon: float = 0.0, gap: float = 1e-3):
+    """Linear support vector regression on standardised columns: ``|w|^2 / 2 + C sum max(0, |y - w x| - epsilon)``, where x ends in a 1.
 
-    Minimises |w|^2 / 2 + C sum max(0, |y - w x - b| - epsilon) by iteratively
-    reweighted least squares. In each step a task turns its Arrow batches into
-    one sum of the weighted normal equations, Spark adds the sums up, and
-    p (p + 1) numbers come back. Every step starts from the same cached frame,
-    so the lineage stays flat.
+    Newton steps on a smoothed loss until the relative duality gap is below
+    ``gap``. Returns (model, scored rows); ``model.fits[0]`` has weights and gap.
     """
-    train, test = scale_standard(train, cols, fit_on=train), scale_standard(test, cols, fit_on=train)
-    names = [*cols, None]  # None is the constant 1
-    p = len(names)
-
-    def value(name: str | None) -> Column:
-        return F.lit(1.0) if name is None else col(name)
-
-    def equations(weights: np.ndarray, floor: float):
-        def run(batches):
-            import numpy as np
-            import pandas as pd
-
-            total = np.zeros((p, p + 1))
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                x, y = np.column_stack([np.vstack(pdf["x"].to_numpy()), np.ones(len(pdf))]), pdf["_y"].to_numpy()
-                residual = y - x @ weights
-                slack = np.abs(residual) - epsilon
-                factor = np.where(slack > 0, C / np.maximum(slack, floor), 0.0)
-                weighted = x * factor[:, None]
-                total[:, :p] += weighted.T @ x
-                total[:, p] += weighted.T @ (y - np.sign(residual) * epsilon)
-            yield pd.DataFrame({"k": np.arange(p * (p + 1)), "g": total.ravel()})
-        return run
-
-    ready = train.select(F.array(*[col(c).cast("double") for c in cols]).alias("x"), col(target).cast("double").alias("_y")).persist()
-    try:
-        start = ready.agg(F.percentile_approx("_y", 0.5), F.stddev_pop("_y")).first()
-        weights = np.zeros(p)
-        weights[-1] = start[0]
-        floor = 1e-6 * (start[1] or 1.0)
-        for _ in range(max_iter):
-            sums = ready.mapInPandas(equations(weights, floor), "k long, g double").groupBy("k").agg(F.sum("g").alias("g"))
-            flat = np.zeros(p * (p + 1))
-            for row in sums.collect():  # p (p + 1) rows
-                flat[row["k"]] = row["g"]
-            flat = flat.reshape(p, p + 1)
-            updated = np.linalg.solve(np.eye(p) + flat[:, :p], flat[:, p])
-            change = np.abs(updated - weights).max()
-            weights = updated
-            if change <= tol * max(1.0, np.abs(weights).max()):
-                break
-    finally:
-        ready.unpersist()
-    scored = test.withColumn(_PREDICTION, add(F.lit(float(w)) * value(c) for w, c in zip(weights, names)))
-    return weights, scored
+    features, q = convex.feature_map("linear", len(cols))
+    model = _machines(train, cols, col(target).cast("double"), features, [convex.Insensitive(epsilon)], np.ones(q), C, [], [], gap=gap)
+    weights = model.fits[0].theta
+    return model, _with_values(test, model, lambda phi: phi @ weights, _PREDICTION, "double")
 
 
 # --- sweeps ------------------------------------------------------------------

@@ -185,7 +185,7 @@ def predict(nets: Networks, df: DataFrame, which: int = 0, name: str = "predicti
 
     @F.pandas_udf("double")
     def answer(x: pd.Series) -> pd.Series:
-        rows = np.array([[np.nan if v is None else v for v in r] for r in x], dtype=np.float64).reshape(len(x), -1)
+        rows = np.array([[np.nan if v is None else v for v in r] for r in x], dtype=np.float64).reshape(len(x), len(centre))
         out = forward(parameters, sizes, (rows - centre) / spread)[-1][:, 0]
         return pd.Series(out).where(~np.isnan(rows).any(axis=1), None)
 

@@ -470,6 +470,43 @@ def _(spark, d):
     return rounded(M.random_forest(parts["train"], parts["test"], FEATURES, "class", seed=1)[2], 4)
 
 
+# On classes that overlap: a zero gradient in the free intercepts means that probabilities add up to the class counts, and a duality gap
+# below the limit proves that no weights have a smaller objective.
+
+@query("ml2_calibration_lines", "SELECT l_returnflag AS class, count(*)::DOUBLE AS mass FROM lineitem GROUP BY 1")
+def _(spark, d):
+    lines = table(spark, d, "lineitem").select(*_FLAG_COLS, "l_returnflag")
+    model, scored = M.logistic(lines, lines, _FLAG_COLS, "l_returnflag")
+    mass = scored.select(F.posexplode("probabilities")).groupBy("pos").agg(F.round(F.sum("col"), 4).alias("mass"))
+    return mass.select(F.array(*[F.lit(x) for x in model.labels])[F.col("pos")].alias("class"), "mass")
+
+
+_PAIRS = """WITH f AS (SELECT DISTINCT l_returnflag AS y FROM lineitem) SELECT a.y AS negative, b.y AS positive, true AS certified FROM f a JOIN f b ON a.y < b.y"""
+
+
+def _certified(spark, d, kernel):
+    lines = table(spark, d, "lineitem").select(*_FLAG_COLS, "l_returnflag")
+    model, _ = M.svm(lines, lines, _FLAG_COLS, "l_returnflag", kernel)
+    return M.certificates(model).select("negative", "positive", F.col("gap").between(0, 1e-3).alias("certified"))
+
+
+@query("ml6_svm_certificates_lines", _PAIRS)
+def _(spark, d):
+    return _certified(spark, d, "linear")
+
+
+@query("ml7_svm_certificates_lines", _PAIRS)
+def _(spark, d):
+    return _certified(spark, d, "poly")
+
+
+@query("ml9_svr_certificate_lines", "SELECT count(*) AS n, true AS certified FROM lineitem")
+def _(spark, d):
+    lines = table(spark, d, "lineitem")
+    model, _ = M.linear_svr(lines, lines, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    return M.certificates(model).select(F.lit(model.rows).cast("long").alias("n"), F.col("gap").between(0, 1e-3).alias("certified"))
+
+
 @query("ml6_svm_linear", _APART_CONFUSION)
 def _(spark, d):
     return _apart_confusion(spark, d, lambda *a: M.svm(*a, "linear")[1])

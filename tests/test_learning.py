@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ def test_ward_merges(spark):
 def test_svm_separates_blobs(spark, kernel):
     df, _ = _blobs(spark)
     train, test = df.where("row_id % 3 > 0"), df.where("row_id % 3 = 0")
-    _, scored = M.svm(train, test, ["x", "y"], "class", kernel, max_iter=20, size=32)
+    _, scored = M.svm(train, test, ["x", "y"], "class", kernel, size=32)
     assert scored.where("class = prediction").count() / scored.count() > 0.95
 
 
@@ -85,7 +86,7 @@ def test_trees_and_logistic(spark):
     assert rules[0].depth == 0 and rules[0].feature in ("x", "y") and max(r.depth for r in rules) == 1
     _, scored, importance = M.random_forest(train, test, ["x", "y"], "class", count=5)
     assert sum(r.importance for r in importance.collect()) == pytest.approx(1.0)
-    _, scored = M.logistic(train, test, ["x", "y"], "class", max_iter=50)
+    _, scored = M.logistic(train, test, ["x", "y"], "class")
     assert scored.where("class = prediction").count() / scored.count() > 0.95
 
 
@@ -101,3 +102,50 @@ def test_support_vector_regression_ignores_outliers(spark):
 def test_sweep_keeps_one_row_per_fit(spark):
     out = M.sweep(lambda data, C: data * C, [{"C": 1.0}, {"C": 2.0}], {"one": 1.0, "two": 2.0}, "file string, C double, score double")
     assert sorted((r.file, r.C, r.score) for r in out.collect()) == [("one", 1.0, 1.0), ("one", 2.0, 2.0), ("two", 1.0, 2.0), ("two", 2.0, 4.0)]
+
+
+def _plain_silhouette(x, label):
+    square = ((x[:, None] - x[None]) ** 2).sum(2)
+    widths = []
+    for i, own in enumerate(label):
+        same = label == own
+        if same.sum() < 2:
+            widths.append(0.0)
+            continue
+        a = square[i, same].sum() / (same.sum() - 1)
+        b = min(square[i, label == c].mean() for c in set(label.tolist()) - {own})
+        widths.append((b - a) / max(a, b))
+    return float(np.mean(widths))
+
+
+def test_every_k_in_one_pass_equals_plain_numpy(spark):
+    df, rows = _blobs(spark, 240, seed=9)
+    x = np.array([r[2:] for r in rows])
+    tables = []
+    for parts in (1, 5):
+        table, (assigned, named, centres) = G.select_k(df.repartition(parts), ["x", "y"], range(2, 7), seed=3)
+        tables.append({r["k"]: r["score"] for r in table.collect()})
+    assert tables[0] == tables[1] and [r["k"] for r in table.collect() if r["best"]] == [3] and named.count() == 3
+    label = np.array([r["cluster"] for r in assigned.orderBy("row_id").collect()])
+    assert tables[0][3] == pytest.approx(_plain_silhouette(x, label))
+    for c in range(3):
+        assert np.allclose(centres[c], x[label == c].mean(axis=0), atol=1e-4)
+    packed = G.pack(df, {"x": F.col("x"), "y": F.col("y")}, block_rows=40)
+    starts = [x[:k] for k in (2, 4, 5)]
+    together = G.lloyd(packed, starts)
+    for start, got in zip(starts, together):
+        want = start
+        for _ in range(300):
+            near = ((x[:, None] - want[None]) ** 2).sum(2).argmin(1)
+            want = np.array([x[near == c].mean(0) if (near == c).any() else want[c] for c in range(len(want))])
+        assert np.allclose(got, want, atol=1e-2) and (G.lloyd(packed, [start])[0] == got).all()
+        label = ((x[:, None] - got[None]) ** 2).sum(2).argmin(1)
+        assert G.squared_silhouettes(packed, [got])[0] == pytest.approx(_plain_silhouette(x, label))
+
+
+def test_select_k_with_nulls_and_without_rows(spark):
+    df, _ = _blobs(spark, 90, seed=10)
+    more = df.union(spark.createDataFrame([(1000, "a", None, 1.0)], "row_id long, class string, x double, y double"))
+    table, (assigned, _, _) = G.select_k(more, ["x", "y"], (2, 3), normalise=True, thin=0.7)
+    assert table.count() == 2 and assigned.filter("cluster IS NULL").count() == 1 and assigned.count() == 91
+    assert G.select_k(df.limit(0), ["x", "y"], (2, 3))[0].count() == 2
