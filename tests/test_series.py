@@ -104,6 +104,62 @@ def test_cross_correlation(spark, block, t_range):
     assert np.allclose([r.lag for r in got], np.array(lags) * np.mean(steps))
 
 
+def _plain_ccf(tu, u, tv, v, factor, window):
+    """Lag and correlation over the lags of a time window, both grids averaged by lag index."""
+    sums = {}
+    for x in (tu, tv):
+        grid = np.linspace(x[0], x[-1], factor * len(x))
+        step = grid[1] - grid[0]
+        lags = list(range(math.ceil(window[0] / step - 1e-9), math.floor(window[1] / step + 1e-9) + 1))
+        for lag, r in zip(lags, _crosscor(_line(tu, u, grid), _line(tv, v, grid), lags)):
+            sums.setdefault(lag, []).append((lag * step, r))
+    return {lag: np.mean(v, axis=0) for lag, v in sums.items()}
+
+
+def test_time_window_of_lags_for_every_series(spark):
+    tv, v = _curve(6, 26)
+    curves = {k: _curve(10 + n, 20 + n) for n, k in enumerate("abc")}
+    got = R.cross_correlation(_frame(spark, curves), _frame(spark, {k: (tv, v) for k in curves}), ["s"], lags=(-0.5, 1.0), factor=20, cell=3.0, block=64).collect()
+    for k, (t, y) in curves.items():
+        want = _plain_ccf(t - t[0], y, tv - tv[0], v, 20, (-0.5, 1.0))
+        own = {r.lag_index: (r.lag, r.r) for r in got if r.s == k}
+        assert sorted(own) == sorted(want) and all(np.allclose(own[lag], want[lag], atol=1e-9) for lag in want)
+
+
+def test_centroid_is_null_where_nothing_correlates(spark):
+    rows = [("a", k, k / 10, -0.5 - k / 100) for k in range(-3, 4)] + [("b", k, k / 10, 1.0 - abs(k - 1) / 2) for k in range(-3, 4)] + [("c", 0, 0.0, None)]
+    ccf = spark.createDataFrame(rows, "s string, lag_index long, lag double, r double")
+    got = {r.s: r.delay for r in R.ccf_centroid(ccf, ["s"]).collect()}
+    assert got == {"a": None, "b": pytest.approx(0.1), "c": None} and R.ccf_peak(ccf, ["s"]).count() == 3
+
+
+def test_binned_delays_against_numpy(spark):
+    rng = np.random.default_rng(21)
+    lam = np.arange(1500.0, 1560.0, 2.0)
+    days = np.sort(rng.uniform(0, 20, 25))
+    flux = [[5 + math.sin((t - 1 - (w - 1500) / 60) / 2) + 0.05 * rng.normal() for w in lam] for t in days]
+    rows = [(f"v{i}", float(t), float(w), float(f), 0.05, float(f)) for i, t in enumerate(days) for w, f in zip(lam, flux[i])]
+    spectra = spark.createDataFrame(rows, "visit string, t double, `lambda` double, flux double, error double, model_flux double")
+    tc = np.linspace(0, 20, 30)
+    continuum = spark.createDataFrame([(float(t), float(math.sin(t / 2))) for t in tc], "t double, flux double")
+    edges = [(1500.0, 1506.0), (1552.0, 1558.0)]
+    got = {r.bin: r.delay for r in Q.binned_delays(spectra, continuum, 20.0, 1500.0, 1560.0, n_mc=2, seed=5, lags=(-1.0, 4.0), factor=10, cont=edges).collect()}
+    lines = Q.line_light_curves(spectra, 20.0, 1500.0, 1560.0, edges, use_model=True).where("flux IS NOT NULL").select("bin", "t", "flux", "error")
+    drawn = {}
+    for r in R.monte_carlo_curves(lines, ["bin"], 2, 5).collect():
+        drawn.setdefault((r["bin"], r["mc"]), []).append((r["t"], r["flux"]))
+    delays = {b: [] for b, _ in drawn}
+    for (b, _), points in drawn.items():
+        t, y = np.array(sorted(points)).T
+        ccf = np.array(list(_plain_ccf(tc - tc[0], np.sin(tc / 2), t - t[0], y, 10, (-1.0, 4.0)).values()))
+        near = ccf[ccf[:, 1] > 0.8 * ccf[:, 1].max()]
+        if ccf[:, 1].max() > 0:
+            delays[b].append((near[:, 0] * near[:, 1]).sum() / near[:, 1].sum())
+    assert len(got) == 3 and any(delays.values())
+    for b, v in delays.items():
+        assert got[b] == (pytest.approx(np.mean(v), abs=1e-6) if v else None)
+
+
 def test_a_curve_correlates_with_itself_at_lag_zero(spark):
     df = _frame(spark, {"a": _curve(7), "b": _curve(8)})
     ccf = R.cross_correlation(df, df, ["s"], factor=2, shared_times=True)
@@ -185,6 +241,7 @@ def test_binned_delays(spark):
     rows = [(f"v{int(a)}", float(a), 1.0, 1500.0 + k, 0.0, 1e-6, None, float(1.0 + (np.sin((a - 3) / 4) + 3 if 10 < k <= 30 else 0.0)))
             for a in t for k in range(41)]
     spectra = spark.createDataFrame(rows, "visit string, t double, exp double, `lambda` double, flux double, error double, cont_flux double, model_flux double")
+    edges = [(1500.0, 1506.0), (1552.0, 1558.0)]
     got = {r.bin: r.delay for r in Q.binned_delays(spectra, cont, 10.0, 1510.0, 1530.0, n_mc=2, seed=8, factor=1, lags=list(range(-9, 10))).collect()}
     lines = Q.line_light_curves(spectra, 10.0, 1510.0, 1530.0).select("bin", "t", "flux", "error")
     repeats = R.monte_carlo_curves(lines, ["bin"], 2, 8).collect()
