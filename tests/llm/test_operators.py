@@ -11,7 +11,7 @@ import pytest
 
 from skyloom.llm import components, decontamination, language, lines, packing, pii, quality, secrets, simhash, spans, warc
 from skyloom.session import scratch_path
-from tests_llm_plain import plain_fingerprint, plain_personal
+from tests_llm_plain import plain_disclosure, plain_fingerprint, plain_personal
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, k string, h string, d string, t string, fp string, template string"
 
@@ -211,9 +211,15 @@ def test_personal_data(spark):
               "4111111111111111", "12345678901234567890123", "+1 (555) 123-4567", "+1", "+12 ", "+44 20 7946 0958 (", " ", "é", "😀", "word", ".", "\n", "9" * 40, "+"]
     rows = [(i, "".join(rng.choices(pieces, k=rng.randint(0, 9))), None) for i in range(400)]
     rows += [(1000, None, None), (None, "a@b.c", None), (1, "z@y.x", None), (1002, "1 " * 4000 + "4111 1111 1111 1111", None), (1003, "a" * 50000 + "@b.c", None)]
-    got = pii.find_personal(frame(spark, rows), support=10 ** 6).collect()
+    many = "".join(f"u{i}@b.c 10.0.{i % 300}.1 \U0001f600 " for i in range(3000))
+    rows += [(1004, many, None)]
+    got = pii.find_personal(frame(spark, rows), generalise=10.0).collect()
     want = [(i, *plain_personal(t or "")) for i, t, _ in rows]
     assert sorted(((r["doc_id"], (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]), r["base_sha256"], r["spans"]) for r in got), key=str) == sorted(want, key=str)
+    made = plain_disclosure([(i, t or "") for i, t, _ in rows if i != 1004])
+    some = pii.find_personal(frame(spark, [r for r in rows if r[0] != 1004])).collect()
+    assert sorted(((r["doc_id"], r["spans"]) for r in some), key=str) == sorted(made, key=str) and any(r["n_terms"] for r in some)
+    assert pii.find_personal(frame(spark, rows).limit(0)).collect() == []
 
 
 def test_disclosing_terms(spark):
@@ -226,6 +232,30 @@ def test_disclosing_terms(spark):
     assert got[60]["n_terms"] == 0 and got[12]["spans"] == "" and got[12]["sanitised"] == rows[6][1] and got[70]["sanitised"] == ""
 
 
+def test_planted_names_are_found(spark):
+    """Nicknames next to one address and company names next to all addresses of a domain, in texts of frequent words."""
+    rng = random.Random(5)
+    common = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(200)]
+    odds = [1 / (n + 10) for n in range(200)]
+    say = lambda k: " ".join(rng.choices(common, odds, k=k))
+    rows, secret = [], {}
+    for i in range(600):
+        if i % 5 == 0:
+            nick, firm = f"Nick{'abcdefghij'[i // 5 % 10]}{'klmnopqrstuv'[i // 50]}", f"Firm{'uvwxyz'[i // 5 % 6]}"
+            rows.append((i, f"{say(60)} {nick} of {firm} at x{i}y@{firm.lower()}.example {say(60)} {nick} {say(30)}", None))
+            secret[i] = {nick, firm}
+        else:
+            rows.append((i, say(150), None))
+    good = bad = missed = 0
+    for r in pii.find_personal(frame(spark, rows)).collect():
+        text = rows[r["doc_id"]][1]
+        told = {text[int(a):int(b)] for k, a, b in (s.split(":") for s in r["spans"].split(",") if s) if k in ("general", "removed")}
+        want = secret.get(r["doc_id"], set())
+        good, bad, missed = good + len(told & want), bad + len(told - want), missed + len(want - told)
+    print(good, bad, missed)
+    assert good >= 0.95 * (good + missed) and good >= 0.95 * (good + bad)
+
+
 def test_copies_of_a_clean_text_count_once(spark):
     rows = [(i, f"Zorblatt writes to boss@corp.example about {prose(i, 12)}", None) for i in range(5)]
     rows += [(100 + i, prose(50 + i, 12), None) for i in range(40)]

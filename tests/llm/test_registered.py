@@ -14,7 +14,7 @@ import corpus_pipeline
 from skyloom.llm import decontamination, language, lines, packing, secrets, spans
 from skyloom.llm.common import order_id, stored, table, text_key
 from skyloom.llm.queries import ORACLES, QUERIES
-from tests_llm_plain import plain_fingerprint, plain_measure, plain_personal, plain_secrets
+from tests_llm_plain import plain_disclosure, plain_fingerprint, plain_measure, plain_personal, plain_secrets
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not there")
@@ -120,7 +120,9 @@ def test_line_templates(spark, docs):
 
 
 def test_personal_data(spark, docs):
-    for r in rows(spark, "op6_personal_data"):
+    got = rows(spark, "op6_personal_data")
+    assert {r["doc_id"]: r["spans"] for r in got} == dict(plain_disclosure([(i, t) for i, t, _ in docs])) and any(r["n_terms"] for r in got)
+    for r in got:
         counts, digest, base = plain_personal(next(t for i, t, _ in docs if i == r["doc_id"]))
         assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == counts and r["base_sha256"] == digest and r["spans"].startswith(base)
 
