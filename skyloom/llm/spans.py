@@ -34,7 +34,12 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 def runs(parts: list[tuple[int, int, list[str]]], least: int, words: int, enough: int) -> Iterator[tuple[int, int, bytes]]:
-    """``(first, last, digest)``: from every sentence the shortest run of ``least`` sentences and ``words`` words, or of ``enough`` words."""
+    """``(first, last, digest)`` of every shortest run of ``least`` sentences and ``words`` words, or of ``enough`` words.
+
+    From every sentence the shortest run that begins with it, and the shortest
+    that ends with it, so that a repeated passage is covered up to its last
+    sentence. A text that is shorter than any run is a run as a whole.
+    """
     sizes, joined, begin, at = [], [], [], 0
     for _, _, own in parts:
         piece = (" ".join(own) + " ").encode()
@@ -43,15 +48,37 @@ def runs(parts: list[tuple[int, int, list[str]]], least: int, words: int, enough
         joined.append(piece)
         sizes.append(len(own))
     whole, begin = b"".join(joined), [*begin, at]
+    n = len(parts)
+
+    def full(total: int, count: int) -> bool:
+        return total >= words and count >= least or total >= enough
+
+    def run(first: int, last: int) -> tuple[int, int, bytes]:
+        return first, last, xxhash.xxh3_128_digest(whole[begin[first]:begin[last + 1]])
+
+    ends: list[int] = []  # of the runs that begin with sentence 0, 1, ...
     last, total = -1, 0
-    for first in range(len(parts)):
-        while not (total >= words and last - first + 1 >= least or total >= enough):
+    for first in range(n):
+        while last + 1 < n and not full(total, last - first + 1):
             last += 1
-            if last == len(parts):
-                return
             total += sizes[last]
-        yield first, last, xxhash.xxh3_128_digest(whole[begin[first]:begin[last + 1]])
+        if not full(total, last - first + 1):
+            break
+        ends.append(last)
+        yield run(first, last)
         total -= sizes[first]
+    if not ends:
+        if sum(sizes):
+            yield run(0, n - 1)
+        return
+    first, total = 0, 0
+    for last in range(n):
+        total += sizes[last]
+        while full(total - sizes[first], last - first):
+            total -= sizes[first]
+            first += 1
+        if full(total, last - first + 1) and not (first < len(ends) and ends[first] == last):
+            yield run(first, last)
 
 
 def span_rows(docs: DataFrame, least: int, words: int, enough: int) -> DataFrame:
@@ -86,14 +113,15 @@ def repeated_spans(docs: DataFrame, least: int = 3, words: int = 20, enough: int
 def remove_repeats(docs: DataFrame, least: int = 3, words: int = 20, enough: int = 40, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its sentences, those removed, their places and the text that stays.
 
-    Every run of consecutive sentences is hashed over its lower-cased words: at
-    each sentence the shortest run of ``least`` sentences that has ``words``
-    words, or of any number that has ``enough`` words, so that a passage of few
-    long sentences counts too. Runs with equal hashes meet in one global
+    Runs of consecutive sentences are hashed over their lower-cased words: from
+    each sentence, forwards and backwards, the shortest run of ``least``
+    sentences that has ``words`` words, or of any number that has ``enough``
+    words, so that a passage of few long sentences counts too, and a text
+    without such a run as a whole. Every longer run consists of these. Runs with equal hashes meet in one global
     aggregate; the first occurrence (smallest identifier, then text, then place)
     stays, and every sentence that any other occurrence covers is removed.
     ``removed`` lists ``start:end`` in code points, end exclusive. A null text
-    is empty; rows that repeat identifier and text are one document, so they
+    is empty, an empty table gives an empty one, other columns are not read; rows that repeat identifier and text are one document, so they
     don't repeat each other; a null identifier comes first. Hashes are combined
     before the shuffle, so a passage in a third of all documents costs a row per
     task; where its rows meet the answer, adaptive execution splits them.

@@ -77,8 +77,10 @@ SPANS = r"""
     sent AS (SELECT doc_id, CAST(n AS BIGINT) - 1 AS n, CAST(sum(length(s)) AS BIGINT) AS size, string_agg(s, '' ORDER BY i) AS s, coalesce(string_agg(array_to_string(ws, ' '), ' ' ORDER BY i) FILTER (len(ws) > 0), '') AS words,
              CAST(sum(len(ws)) AS BIGINT) AS k FROM placed GROUP BY doc_id, n),
     cum AS (SELECT *, CAST(sum(k) OVER w AS BIGINT) AS upto, CAST(sum(size) OVER w AS BIGINT) AS stop FROM sent WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
-    ends AS (SELECT a.doc_id, a.n AS first, min(b.n) AS last FROM cum a JOIN cum b ON a.doc_id = b.doc_id AND b.n BETWEEN a.n AND a.n + 41
-             AND (b.upto - a.upto + a.k >= 40 OR b.upto - a.upto + a.k >= 20 AND b.n - a.n >= 2) GROUP BY 1, 2),
+    fit AS (SELECT a.doc_id, a.n AS first, b.n AS last FROM cum a JOIN cum b ON a.doc_id = b.doc_id AND b.n BETWEEN a.n AND a.n + 41
+            AND (b.upto - a.upto + a.k >= 40 OR b.upto - a.upto + a.k >= 20 AND b.n - a.n >= 2)),
+    ends AS (SELECT doc_id, first, min(last) AS last FROM fit GROUP BY 1, 2 UNION SELECT doc_id, max(first), last FROM fit GROUP BY 1, 3
+             UNION SELECT doc_id, 0, max(n) FROM cum GROUP BY 1 HAVING sum(k) BETWEEN 1 AND 39 AND NOT (sum(k) >= 20 AND count(*) >= 3)),
     run AS (SELECT e.doc_id, first, last, string_agg(c.words, ' ' ORDER BY c.n) AS body FROM ends e JOIN cum c ON c.doc_id = e.doc_id AND c.n BETWEEN first AND last GROUP BY 1, 2, 3),
     again AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, first) > 1),
     gone AS (SELECT DISTINCT a.doc_id, c.n FROM again a JOIN cum c ON c.doc_id = a.doc_id AND c.n BETWEEN first AND last),

@@ -183,6 +183,14 @@ def test_substring_dedup(spark, mixed):
     assert got == want and any(n for v in got.values() for n, *_ in v)
 
 
+def test_repeats_are_covered_to_their_end(spark):
+    tail = "One long sentence " + prose(3, 30) + ". Another of many words " + prose(4, 30) + ". Short end."
+    rows = [(1, f"{prose(1, 30)}. {tail}", None), (2, f"{prose(2, 30)}. {tail} {prose(5, 30)}.", None), (3, "Thank you.", None), (4, "thank you", None)]
+    got = {r["doc_id"]: r["text"] for r in spans.remove_repeats(frame(spark, rows)).collect()}
+    assert got[1] == rows[0][1] and "end" not in got[2] and "sentence" not in got[2] and got[2].startswith(prose(2, 30)) and prose(5, 30) in got[2]
+    assert got[3] == "Thank you." and got[4] == ""
+
+
 def test_line_templates(spark):
     rows = [(i, f"start {prose(i, 12)}\nUser {i} logged in from host{i} today\nAll rights reserved worldwide\n\nok", "en") for i in range(8)]
     rows += [(20, "User 99 logged out of the site", "en"), (21, None, "en"), (22, "", "en"), (23, "All rights reserved worldwide\nkeep this line here", "en"),

@@ -147,10 +147,14 @@ def test_sentences_cover_the_text_and_runs_are_shortest():
     for text in EDGE_TEXTS + ["One two. Three! Four?\n\nFive... six", ". . a. "]:
         parts = spans.sentences(text)
         assert "".join(text[a:b] for a, b, _ in parts) == text
-        for first, last, _ in spans.runs(parts, 2, 3, 5):
-            size = [len(w) for *_, w in parts[first:last + 1]]
-            assert sum(size) >= 5 or sum(size) >= 3 and len(size) >= 2
-            assert last == first or not (sum(size[:-1]) >= 5 or sum(size[:-1]) >= 3 and len(size) - 1 >= 2)
+        size = [len(w) for *_, w in parts]
+        full = {(a, b): sum(size[a:b + 1]) >= 5 or sum(size[a:b + 1]) >= 3 and b > a for a in range(len(size)) for b in range(a, len(size))}
+        want = {min(r for r in full if full[r] and r[0] == a) for a in range(len(size)) if any(full[r] for r in full if r[0] == a)}
+        want |= {max(r for r in full if full[r] and r[1] == b) for b in range(len(size)) if any(full[r] for r in full if r[1] == b)}
+        if not want and sum(size):
+            want = {(0, len(size) - 1)}
+        got = [(a, b) for a, b, _ in spans.runs(parts, 2, 3, 5)]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_network_gradient():
