@@ -14,12 +14,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import stored
 
 BLOCK_ROWS = 512
 CHUNK = 1 << 16  # numbers of a partial sum that travel as one row
+BATCH_BYTES = 4 << 20  # of blocks that cross to Python at once
 DIRECT = 1 << 22  # partial sums of fewer numbers in all go straight to the driver
 
 
@@ -38,17 +39,26 @@ class Blocks(NamedTuple):
         self.frame.unpersist()
 
 
-def matrix(data: bytes, width: int) -> np.ndarray:
+def matrix(data: bytes | pa.Buffer, width: int) -> np.ndarray:
     """Rows of a block; the last column says how often a row stands."""
     return np.frombuffer(data, "<f8").reshape(-1, width + 1)
 
 
+def _short_batches(spark: SparkSession) -> None:
+    """Let few blocks at a time cross to Python in this session: a batch is else as large as a task's share of the table, up to 256 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().removesuffix("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def pack(df: DataFrame, columns: Mapping[str, Column], block_rows: int = BLOCK_ROWS, name: str = "blocks") -> Blocks:
     """The rows as blocks of about ``block_rows`` different rows, dealt by a hash of their values.
 
     Rows with a null or not-a-number in any column are left out. Equal rows are
     kept once, with their number, so that no value can fill a block.
     """
+    _short_batches(df.sparkSession)
     wide = F.array(*[c.cast("double") for c in columns.values()])
     values = df.select(wide.alias("v")).filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
     distinct = stored(values.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("m")), name + "-rows")
@@ -97,8 +107,8 @@ def total(blocks: Blocks, fn: Callable[[np.ndarray, int], np.ndarray], size: int
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(numbers, np.int64)
         for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
-                out += _integers(np.asarray(fn(matrix(data, width), block), np.float64) / rows, fine)
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                out += _integers(np.asarray(fn(matrix(data.as_buffer(), width), block), np.float64) / rows, fine)
         if out.any():
             yield chunks(out)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions.expr import add, col
 from . import convex, trees
-from .blocks import pack
+from .blocks import BLOCK_ROWS, pack
 from .neural import scaling
 
 _PREDICTION = "prediction"
@@ -110,8 +110,10 @@ def _with_values(df: DataFrame, model: Machines, answer: Callable[[np.ndarray],
         known = ~np.isnan(rows).any(axis=1)
         out = np.empty(len(x), dtype=object)
         out[:] = None
-        for k, v in zip(np.flatnonzero(known), answer(features((rows[known] - centre) / spread)) if known.any() else ()):
-            out[k] = v
+        places = np.flatnonzero(known)
+        for own in np.split(places, range(BLOCK_ROWS, len(places), BLOCK_ROWS)) if len(places) else ():
+            for k, v in zip(own, answer(features((rows[own] - centre) / spread))):
+                out[k] = v
         return pd.Series(out)
 
     return df.withColumn(name, value(F.array(*[col(c).cast("double") for c in model.cols])))

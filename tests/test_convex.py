@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from skyloom.operators import convex
 from skyloom.operators import learning as M
+from skyloom.operators.blocks import pack
 
 COLS = ["a", "b"]
 
@@ -143,3 +145,15 @@ def test_classes_without_structure_take_few_passes(spark):
         model, _ = M.svm(frame(spark, data), frame(spark, data), COLS, "class", kernel)
         assert all(0 <= f.gap <= 1e-3 for f in model.fits)
         assert max(f.passes for f in model.fits) <= 60, [f.passes for f in model.fits]
+
+
+def test_blocks_cross_to_python_in_short_batches(spark):
+    wide = spark.range(60000).select(*[F.xxhash64(F.lit(k), "id").cast("double").alias(f"x{k}") for k in range(16)])
+    packed = pack(wide, {f"x{k}": F.col(f"x{k}") for k in range(16)})
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    seen = [r[0] for r in packed.frame.coalesce(1).mapInArrow(sizes, "bytes long").collect()]
+    assert sum(seen) > 60000 * 17 * 8 and max(seen) < 5 << 20
