@@ -151,3 +151,25 @@ def test_edges(spark):
     empty = T.fit(frame(spark, rows).limit(0), COLS, "class")
     assert [r["prediction"] for r in T.predict(empty, frame(spark, rows[:1])).collect()] == [None]
     assert [tuple(r)[:5] for r in T.rules(model, 2).collect()] == [(1, None, 0, None, None)] and T.rules(empty).count() == 0
+
+
+def test_levels_cost_few_jobs(spark):
+    rows = [(float(k), 0.0, 0.0, "pq"[k % 2]) for k in range(600)]  # the best cut peels one row off an end
+    context, before = spark.sparkContext, {}
+    try:
+        for name, work in {"fit": lambda: T.fit(frame(spark, rows), COLS, "class", local_rows=580), "predict": lambda: T.predict(before["fit"], frame(spark, rows))}.items():
+            context.setJobGroup(f"tree-{name}", name)
+            before[name] = work()
+        assert before["fit"].levels >= 15
+        assert len(context.statusTracker().getJobIdsForGroup("tree-fit")) <= 4 * before["fit"].levels + 25
+        assert len(context.statusTracker().getJobIdsForGroup("tree-predict")) <= 15
+        assert before["predict"].filter("class = prediction").count() == 600
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_threshold_stays_below_the_value_behind_it(spark):
+    rows = [(1.0 - 2.0 ** -53, 0.0, 0.0, "p"), (1.0, 0.0, 0.0, "q")] * 3  # their middle rounds to 1
+    for local_rows in (1, 100):
+        model = T.fit(frame(spark, rows), COLS, "class", local_rows=local_rows)
+        assert T.predict(model, frame(spark, rows)).filter("class = prediction").count() == 6
