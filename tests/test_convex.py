@@ -157,3 +157,17 @@ def test_blocks_cross_to_python_in_short_batches(spark):
 
     seen = [r[0] for r in packed.frame.coalesce(1).mapInArrow(sizes, "bytes long").collect()]
     assert sum(seen) > 60000 * 17 * 8 and max(seen) < 5 << 20
+
+
+def test_costs_share_passes_and_equal_single_fits(spark, monkeypatch):
+    data, packed = frame(spark, rows(300, 6)), []
+    monkeypatch.setattr(M, "pack", lambda *a, **k: packed.append(1) or pack(*a, **k))
+    models, scored = M.svm_costs(data, data, COLS, "class", [0.1, 1.0, 5.0], "linear")
+    assert len(packed) == 1 and len(models) == 3
+    answers = {(r["a"], r["b"]): r["predictions"] for r in scored.collect()}
+    for k, C in enumerate((0.1, 1.0, 5.0)):
+        model, alone = M.svm(data, data, COLS, "class", "linear", C=C)
+        assert all(np.array_equal(x.theta, y.theta) and x.passes == y.passes for x, y in zip(models[k].fits, model.fits))
+        assert all(answers[r["a"], r["b"]][k] == r["prediction"] for r in alone.collect())
+    together = M.sweep(lambda d, points: [p["C"] + d for p in points], [{"C": 1.0}, {"C": 2.0}], {"x": 0.5, "y": 1.5}, "file string, C double, score double", together=True)
+    assert sorted(map(tuple, together.collect())) == [("x", 1.0, 1.5), ("x", 2.0, 2.5), ("y", 1.0, 2.5), ("y", 2.0, 3.5)]
