@@ -123,3 +123,14 @@ def test_chunked_sums_equal_direct_ones(spark, monkeypatch):
     assert (total(blocks, wide, 350, fine=False) == direct).all() and direct == pytest.approx(sum(range(500)) * np.arange(350))
     with pytest.raises(Exception):
         total(blocks, lambda m, block: np.array([np.inf]), 1)
+
+
+def test_blocks_are_dealt_to_all_cores(spark):
+    """However few files or partitions the rows come from; sums of several chunks and the zeros behind a short one are right."""
+    slots = spark.sparkContext.defaultParallelism
+    df = spark.range(0, 40 * 64 * slots, 1, 1).select(F.col("id").cast("double").alias("a"))
+    blocks = pack(df, {"a": F.col("a")}, block_rows=64)
+    held = [r["n"] for r in blocks.frame.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("n").alias("n")).collect()]
+    assert len(held) == slots and max(held) < 1.5 * blocks.rows / slots
+    got = total(blocks, lambda m, block: np.r_[np.zeros(70000), m[:, 0].sum()], 70003)
+    assert got[70000] == pytest.approx(blocks.rows * (blocks.rows - 1) / 2) and not got[:70000].any() and not got[70001:].any()
