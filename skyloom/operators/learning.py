@@ -105,10 +105,10 @@ def _with_values(df: DataFrame, model: Machines, answer: Callable[[np.ndarray],
     centre, spread, features = model.centre, model.spread, model.features
 
     @F.pandas_udf(kind)
-    def value(x: pd.Series) -> pd.Series:
-        rows = np.array([[np.nan if v is None else v for v in r] for r in x], dtype=np.float64).reshape(len(x), len(centre))
+    def value(*x: pd.Series) -> pd.Series:
+        rows = np.column_stack([c.to_numpy(np.float64, na_value=np.nan) for c in x])
         known = ~np.isnan(rows).any(axis=1)
-        out = np.empty(len(x), dtype=object)
+        out = np.empty(len(rows), dtype=object)
         out[:] = None
         places = np.flatnonzero(known)
         for own in np.split(places, range(BLOCK_ROWS, len(places), BLOCK_ROWS)) if len(places) else ():
@@ -116,7 +116,7 @@ def _with_values(df: DataFrame, model: Machines, answer: Callable[[np.ndarray],
                 out[k] = v
         return pd.Series(out)
 
-    return df.withColumn(name, value(F.array(*[col(c).cast("double") for c in model.cols])))
+    return df.withColumn(name, value(*[col(c).cast("double") for c in model.cols]))
 
 
 def _named(labels: list, place: Column) -> Column:

@@ -171,3 +171,28 @@ def test_costs_share_passes_and_equal_single_fits(spark, monkeypatch):
         assert all(answers[r["a"], r["b"]][k] == r["prediction"] for r in alone.collect())
     together = M.sweep(lambda d, points: [p["C"] + d for p in points], [{"C": 1.0}, {"C": 2.0}], {"x": 0.5, "y": 1.5}, "file string, C double, score double", together=True)
     assert sorted(map(tuple, together.collect())) == [("x", 1.0, 1.5), ("x", 2.0, 2.5), ("y", 1.0, 2.5), ("y", 2.0, 3.5)]
+
+
+def test_curvatures_of_a_share_of_the_blocks_reach_the_same_minimum(spark, monkeypatch):
+    """A block without a drawn curvature returns no Hessian; sums and certificates are of all rows."""
+    rng = random.Random(9)
+    data = [(rng.gauss(0, 1) + (c == "q"), rng.gauss(0, 1), c) for c in (rng.choice("pq") for _ in range(3000))]
+    sizes, exact = [], M.svm(frame(spark, data), frame(spark, data), COLS, "class", "poly", gap=1e-4)[0].fits[0]
+    monkeypatch.setattr(convex, "BENT_ROWS", 40)
+    kept = convex.Hinge.sums
+
+    def watched(self, phi, y, times, theta, mu, curved=True):
+        sizes.append(curved)
+        return kept(self, phi, y, times, theta, mu, curved)
+
+    blocks = pack(frame(spark, data).select("a", "b", (F.col("class") == "q").cast("double").alias("y")), {c: F.col(c) for c in ("a", "b", "y")}, block_rows=32)
+    monkeypatch.setattr(convex.Hinge, "sums", watched)
+    monkeypatch.setattr(convex, "total", lambda blocks, fn, size: sum((np.r_[got, np.zeros(size - len(got))] for r in held for got in [fn(np.frombuffer(r["data"], "<f8").reshape(-1, 4), r["block"])])))
+    held, x = blocks.frame.collect(), scaled(data)
+    raw = np.array([r[:2] for r in data])
+    features, q = convex.feature_map("poly", 2)
+    fit, = convex.minimise(blocks, lambda m: features((m - raw.mean(0)) / raw.std(0)), [convex.Hinge(0, 1)], np.r_[np.ones(q - 1), 0.0], 1.0, gap=1e-4)
+    assert 0 < sum(sizes) < 0.7 * len(sizes)
+    assert 0 <= fit.gap <= 1e-4 and fit.primal == pytest.approx(exact.primal, rel=2e-4)
+    over = 1 - np.where([r[2] == "q" for r in data], 1, -1) * (features(x) @ fit.theta)
+    assert fit.primal == pytest.approx(0.5 * fit.theta[:-1] @ fit.theta[:-1] + np.maximum(over, 0).sum(), rel=1e-9)
