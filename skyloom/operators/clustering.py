@@ -18,17 +18,27 @@ from .scaling import scale_minmax, scale_standard
 from .sampling import sample_fraction
 
 
+TASK_BYTES = 64 << 20  # of vectors that a task of a fit keeps
+
+
 def assemble(df: DataFrame, cols: Sequence[str], name: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=name, handleInvalid="error").transform(df)
 
 
 def kmeans(df: DataFrame, cols: Sequence[str], k: int, seed: int = 0, *, normalise: bool = False,
            thin: float | None = None, key: str = "row_id", max_iter: int = 300, tol: float = 1e-4):
-    """Fit Lloyd's algorithm; returns (assignments with ``cluster``, centres, model)."""
+    """Fit Lloyd's algorithm; returns (assignments with ``cluster``, centres, model).
+
+    The fit keeps its vectors, a partition at a time. More than ``TASK_BYTES`` of them are dealt anew, as a file of
+    one row group is read by one task, so that a task's memory doesn't grow with the table.
+    """
     if normalise:
         df = scale_minmax(df, cols)
     vectors = assemble(df, cols)
-    fit_on = vectors if thin is None else sample_fraction(vectors, thin, key, seed)
+    fit_on = (vectors if thin is None else sample_fraction(vectors, thin, key, seed)).select("features")
+    parts = -(-fit_on.count() * (100 + 8 * len(cols)) // TASK_BYTES)
+    if parts > 1:
+        fit_on = fit_on.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, predictionCol="cluster").fit(fit_on)
     centres = df.sparkSession.createDataFrame(
         [(c, *map(float, centre)) for c, centre in enumerate(model.clusterCenters())],

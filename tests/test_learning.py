@@ -149,3 +149,19 @@ def test_select_k_with_nulls_and_without_rows(spark):
     table, (assigned, _, _) = G.select_k(more, ["x", "y"], (2, 3), normalise=True, thin=0.7)
     assert table.count() == 2 and assigned.filter("cluster IS NULL").count() == 1 and assigned.count() == 91
     assert G.select_k(df.limit(0), ["x", "y"], (2, 3))[0].count() == 2
+
+
+def test_kmeans_deals_its_vectors_to_tasks_of_bounded_size(spark, monkeypatch):
+    """Rows that all come in one partition, the others empty, aren't kept by one task."""
+    class Watched(G.KMeans):
+        def fit(self, df):
+            sizes.append([r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()])
+            return super().fit(df)
+
+    sizes = []
+    monkeypatch.setattr(G, "KMeans", Watched), monkeypatch.setattr(G, "TASK_BYTES", 108 * 100, raising=False)
+    df = spark.range(0, 20000, 1, 20).filter("id < 1000").select(F.col("id").alias("row_id"), (F.col("id") % 10 + F.when(F.col("id") < 400, 0).otherwise(5000)).cast("double").alias("x"))
+    assigned, centres, _ = G.kmeans(df, ["x"], 2, seed=7)
+    assert sum(sizes[0]) == 1000 and max(sizes[0]) <= 110
+    assert sorted(r["n"] for r in assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()) == [400, 600]
+    assert sorted(r["x"] for r in centres.collect()) == [4.5, 5004.5]
