@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from skyloom.operators import blocks as B
 from skyloom.operators import convex
 from skyloom.operators import learning as M
 from skyloom.operators.blocks import pack
@@ -196,3 +197,23 @@ def test_curvatures_of_a_share_of_the_blocks_reach_the_same_minimum(spark, monke
     assert 0 <= fit.gap <= 1e-4 and fit.primal == pytest.approx(exact.primal, rel=2e-4)
     over = 1 - np.where([r[2] == "q" for r in data], 1, -1) * (features(x) @ fit.theta)
     assert fit.primal == pytest.approx(0.5 * fit.theta[:-1] @ fit.theta[:-1] + np.maximum(over, 0).sum(), rel=1e-9)
+
+
+def test_wide_machines_take_long_blocks_and_solve_their_steps(spark, monkeypatch):
+    """The curvature of a wide machine is summed over fewer, longer blocks, and its steps need no decomposition."""
+    rng, names, packed = random.Random(10), [f"x{k}" for k in range(11)], []
+    data = spark.createDataFrame([(*[rng.gauss(0, 1) + (c == "q") / 4 for _ in names], c) for c in (rng.choice("pq") for _ in range(900))],
+                                 ", ".join(f"{n} double" for n in names) + ", class string")
+    monkeypatch.setattr(M, "pack", lambda known, columns, rows, name: packed.append(rows) or pack(known, columns, rows, name))
+    monkeypatch.setattr(np.linalg, "lstsq", lambda *a, **k: pytest.fail("a curvature was decomposed"))
+    for kernel, weights, length in (("poly", 287, 1024), ("linear", 12, 512)):
+        fit, = M.svm(data, data, names, "class", kernel)[0].fits
+        assert len(fit.theta) == weights and 0 <= fit.gap <= 1e-3 and packed.pop() == length
+
+
+def test_zeros_of_a_sum_cost_nothing(monkeypatch):
+    sums, values = np.zeros(2 * 3 * B.CHUNK, np.int64), np.zeros(3 * B.CHUNK)
+    values[-1], rounded, kept = 1.5, [], np.rint
+    monkeypatch.setattr(np, "rint", lambda x: rounded.append(x.size) or kept(x))
+    B._add(sums, values, 3, len(values), True)
+    assert sum(rounded) == 2 * B.CHUNK and sums[len(values) - 1] == B.COARSE / 2 and np.count_nonzero(sums) == 1
