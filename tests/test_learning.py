@@ -45,6 +45,24 @@ def test_silhouette_is_exact(spark, blocks):
     assert got == pytest.approx(np.mean(widths))
 
 
+def test_silhouette_of_close_rows_far_from_others(spark):
+    """Products of long vectors lose the digits of short distances."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(40, 3)) * 1e-4 + far for far in (0.0, 2e-3, 1e4)])
+    x[5], label = x[4], np.repeat([0, 1, 2], 40)
+    df = spark.createDataFrame([(k, int(c), *map(float, r)) for k, (c, r) in enumerate(zip(label, x))], "row_id long, cluster int, x double, y double, z double")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    own = np.array([d[i, label == label[i]].sum() / 39 for i in range(120)])
+    other = np.array([min(d[i, label == o].mean() for o in {0, 1, 2} - {label[i]}) for i in range(120)])
+    assert G.silhouette(df, ["x", "y", "z"]).first()[0] == pytest.approx(((other - own) / np.maximum(own, other)).mean(), rel=1e-9)
+
+
+def test_copies_of_a_row_are_bounded():
+    """A row is copied once a block: short blocks would make a thousand copies of half a million rows."""
+    assert G._block_count(524_288, 64, 512, 12) == 64 and G._block_count(40_000, 64, 512, 12) == 8
+    assert G._block_count(500, 64, 512, 12) == 1 and G._block_count(5_000, 64, 512, 12) <= 10 and G._block_count(0, 1, 512, 12) == 1
+
+
 def test_choice_of_k_and_lift(spark):
     df, _ = _blobs(spark)
     scores, (assigned, centres, _) = G.select_k(df, ["x", "y"], range(2, 5), seed=3, normalise=True)
