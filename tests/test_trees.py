@@ -173,3 +173,20 @@ def test_a_threshold_stays_below_the_value_behind_it(spark):
     for local_rows in (1, 100):
         model = T.fit(frame(spark, rows), COLS, "class", local_rows=local_rows)
         assert T.predict(model, frame(spark, rows)).filter("class = prediction").count() == 6
+
+
+def test_a_level_moves_cells_and_not_rows(spark):
+    """What a level shuffles is bounded by cells of tasks; rows of finished nodes are not read again."""
+    rows = [(float(k % 50), float(k % 7), float(k * 37 % 20011) / 100, "pqr"[k * k % 11 % 3]) for k in range(30000)]
+    seen = []
+    thinned, split = T._thinned, T._split_large
+    try:
+        T._thinned = lambda held, *a: seen.append("thin") or thinned(held, *a)
+        T._split_large = lambda held, *a: seen.append(held.rows) or split(held, *a)
+        model = T.fit(frame(spark, rows), COLS, "class", local_rows=4000)
+    finally:
+        T._thinned, T._split_large = thinned, split
+    assert "thin" in seen and seen[-1] < seen[0] / 2
+    one = T.fit(frame(spark, rows), COLS, "class")
+    key = lambda m: sorted((r["node"], r["feature"], r["threshold"], tuple(r["counts"])) for r in T.node_table(m).collect())
+    assert model.levels and not one.levels and key(model) == key(one)
