@@ -177,16 +177,30 @@ def test_a_threshold_stays_below_the_value_behind_it(spark):
 
 def test_a_level_moves_cells_and_not_rows(spark):
     """What a level shuffles is bounded by cells of tasks; rows of finished nodes are not read again."""
-    rows = [(float(k % 50), float(k % 7), float(k * 37 % 20011) / 100, "pqr"[k * k % 11 % 3]) for k in range(30000)]
+    rows = [(float(k), float(k % 7), float(k * 37 % 2011) / 100, "p" if k < 5000 else "qr"[k // 1500 % 2]) for k in range(8000)]
     seen = []
     thinned, split = T._thinned, T._split_large
     try:
         T._thinned = lambda held, *a: seen.append("thin") or thinned(held, *a)
         T._split_large = lambda held, *a: seen.append(held.rows) or split(held, *a)
-        model = T.fit(frame(spark, rows), COLS, "class", local_rows=4000)
+        model = T.fit(frame(spark, rows), COLS, "class", local_rows=1000)
     finally:
         T._thinned, T._split_large = thinned, split
     assert "thin" in seen and seen[-1] < seen[0] / 2
     one = T.fit(frame(spark, rows), COLS, "class")
     key = lambda m: sorted((r["node"], r["feature"], r["threshold"], tuple(r["counts"])) for r in T.node_table(m).collect())
     assert model.levels and not one.levels and key(model) == key(one)
+
+
+def test_trees_go_in_waves_and_subtrees_are_copied_by_their_own_vectors(spark, monkeypatch):
+    rows, asked = table(700, 8, values=60), table(500, 9, values=60)
+    whole = T.fit(frame(spark, rows), COLS, "class", trees=4, tries=2, seed=5, local_rows=60)
+    want = sorted(map(str, T.predict(whole, frame(spark, asked)).collect()))
+    copies = []
+    monkeypatch.setattr(T, "WAVE_ROWS", 500)
+    waves = T._waves
+    monkeypatch.setattr(T, "_waves", lambda n: [copies.append(w) or w for w in waves(n)])
+    model = T.fit(frame(spark, rows), COLS, "class", trees=4, tries=2, seed=5, local_rows=60)
+    assert len(copies) > 1 and [nested(model, t) for t in range(4)] == [nested(whole, t) for t in range(4)]
+    copies.clear()
+    assert sorted(map(str, T.predict(model, frame(spark, asked), slice_rows=50).collect())) == want and len(copies) > 1
